@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows of an Arrow batch; with long texts a batch stays at some tens of MB.
 BATCH_ROWS = 1000
 
@@ -51,6 +53,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def map_batches(df: DataFrame, start: Callable[[], Callable], schema: str) -> DataFrame:
     """Run start() once a task; what it returns turns one RecordBatch into an iterable of RecordBatches."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

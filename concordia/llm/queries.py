@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, language, quality, simhash, token_counts
+from . import bpe, decontamination, exact_dedup, language, lattice_lm, quality, simhash, token_counts
 from .common import read_table
 
 
@@ -26,6 +26,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.fit(documents, read_table(spark, sf_dir, "labels")))
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(read_table(spark, sf_dir, "documents"), bpe.model_bytes(spark))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_language_id, op5_quality, op8_simhash, op9_bpe_roundtrip, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_language_id, op5_quality, op6_lattice_lm, op8_simhash, op9_bpe_roundtrip, op10_decontamination)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}

@@ -6,12 +6,17 @@ library's unigram encoder: of equal scores, the piece that starts first (the lon
 the unknown-character edge, score least - 10, comes last and only where no piece is the character.
 Unknown characters count as their UTF-8 bytes.
 
-Scores add up within a chunk, from one place that no piece spans to the next, in double precision;
-the library adds single-precision scores over the whole text, so sums past 2**24 may round there.
+The vocabulary files at hand are merge vocabularies, whose scores are ranks and no probabilities.
+unigram_vocabulary() gives each piece the log probability that its rank has under Zipf and
+Mandelbrot's law, as a multiple of 1/16: single-precision sums, which the library uses, are then
+exact to 2**20, and the tests hold the counts against the library with these scores. Scores add up
+within a chunk, from one place that no piece spans to the next.
 """
 
 from __future__ import annotations
 
+import math
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +24,18 @@ from pyspark.sql import DataFrame
 from .bpe import MEMO, MEMO_CHARS, SPACE, chunk_pattern, load_vocabulary
 from .common import Shared, batch_of, map_batches
 
+#: Fixed value of the library: what an unknown character's score lies below the least.
 UNKNOWN_PENALTY = 10.0
+#: Mandelbrot's shift of ranks, and steps of a score.
+SHIFT, STEPS = 2.7, 16
+
+
+def unigram_vocabulary(vocabulary: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """The same pieces; normal ones with the log probability of their rank by score, then by id."""
+    ranked = sorted((i for i, v in enumerate(vocabulary) if v[2] == "n"), key=lambda i: (-vocabulary[i][1], i))
+    total = math.log(sum(1 / (r + SHIFT) for r in range(1, len(ranked) + 1)))
+    score = {i: round(STEPS * (-math.log(r + SHIFT) - total)) / STEPS for r, i in enumerate(ranked, 1)}
+    return [(p, score.get(i, s), kind) for i, (p, s, kind) in enumerate(vocabulary)]
 
 
 class UnigramCounter:
@@ -72,7 +88,7 @@ def count_tokens(documents: DataFrame, model: str | bytes) -> DataFrame:
     A null or empty text has 0 of both; repeated rows are counted one by one; other columns are
     ignored. No shuffle.
     """
-    shared = Shared(documents.sparkSession, load_vocabulary(model))
+    shared = Shared(documents.sparkSession, unigram_vocabulary(load_vocabulary(model)))
 
     def start():
         counter = shared.build(UnigramCounter)

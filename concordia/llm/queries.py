@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, language, lattice_lm, quality, simhash, token_counts
+from . import bpe, decontamination, exact_dedup, language, lattice_lm, license_scan, pii, quality, simhash, token_counts
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), bpe.model_bytes(spark))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"), pii.train(pii.labelled_table()))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(read_table(spark, sf_dir, "documents"), bpe.model_bytes(spark))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_language_id, op5_quality, op6_lattice_lm, op8_simhash, op9_bpe_roundtrip, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_exact_dedup, op4_language_id, op5_quality, op6_lattice_lm, op7_license_scan, op8_simhash, op9_bpe_roundtrip, op10_decontamination)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}

@@ -41,6 +41,8 @@ def _ranked(members: DataFrame, keys: list[str]) -> list:
     """members: h and the keys. The members with a rank over 0 in the sorted list of their hash."""
     different = members.distinct()
     shared = different.groupBy("h").count().filter("count > 1").select("h")
+    if shared.isEmpty():  # only hashes were shuffled again for this
+        return []
     rank = F.row_number().over(Window.partitionBy("h").orderBy(*keys)) - 1
     few = different.join(shared, "h", "left_semi").withColumn("r", rank).filter("r > 0").limit(MAX_RANKED + 1).collect()
     if len(few) > MAX_RANKED:

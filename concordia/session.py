@@ -35,3 +35,22 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(archive)
     context._concordia_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one on a local master."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(context, "_concordia_scratch"):
+        context._concordia_scratch = tempfile.mkdtemp(prefix="concordia-")
+    return f"file://{context._concordia_scratch}"
+
+
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Have checkpoints written to the shared folder, where the session doesn't say another."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch(spark))

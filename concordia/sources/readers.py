@@ -68,7 +68,7 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     lines = parsed.filter("not is_json").select("file", F.regexp_extract("value", r"(?m)^MODEL:\s*(.+?)\s*$", 1).alias("model"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     lines = lines.withColumn("q", F.regexp_extract("line", r"^(Q[0-9]+):", 1)).filter(~F.col("line").startswith("MODEL:"))
     lines = lines.withColumn("record", F.sum((F.col("q") != "").cast("int")).over(W.partitionBy("file").orderBy("n"))).filter("record > 0")
-    answers = lines.groupBy("file", "model", "record").agg(F.max("q").alias("qid"), F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.regexp_replace("line", r"^Q[0-9]+:\s*", "").alias("t")))), lambda x: x["t"]), "\n")).alias("answer"))
+    answers = lines.groupBy("file", "model", "record").agg(F.max("q").alias("qid"), F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.regexp_replace("line", r"^Q[0-9]+:\s*", "").alias("t")))), lambda x: x["t"]), "\n"), r"^\s+|\s+$", "").alias("answer"))
     return from_json.unionByName(answers.select("file", "model", "qid", "answer"))
 
 

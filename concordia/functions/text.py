@@ -153,3 +153,13 @@ def short_clock(seconds: Column) -> Column:
     """H:MM:SS"""
     s = F.floor(seconds).cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+
+def typed_citation(text: Column) -> Column:
+    """A typed citation without white space and with a plain dash."""
+    return F.regexp_replace(F.regexp_replace(text, r"[\s ]+", ""), "[–—]", "-")
+
+
+def answer_text(question: Column, quotes: Column) -> Column:
+    """Plain text of an answer: the question, then each quotation (struct text, ref) with its citation."""
+    return F.concat_ws("\n\n", question, F.array_join(F.transform(quotes, lambda q: F.concat(F.lit("“"), q["text"], F.lit("” ("), q["ref"], F.lit(")"))), "\n\n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import language as LG, text as T
 from ..functions.numbers import numbers_udf
-from ..operators import align as AL, ask as ASK, banks as BK, claims as CL, entities as EN, grade as GR, graph as GH, links as LK, recall as RC, spell as SP, verify as VF
+from ..operators import align as AL, ask as ASK, banks as BK, cards as CD, claims as CL, entities as EN, grade as GR, graph as GH, links as LK, recall as RC, spell as SP, verify as VF
 from ..registry import query, table
 from ..session import scratch
 from ..sources import readers as RD
@@ -243,6 +243,7 @@ def alignment_checks(spark, sf_dir):
 
 # --- ask, language, chat
 
+_SENTENCES_OF_PARS = P + r""", split AS (SELECT ref, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM paragraphs)"""
 ASK_RULES = ASK.Rules(terms={"theth": ["thand", "thanon"], "reenti": ["reanthe"]}, specific={"thand"}, names={"the and", "of the"})
 QUESTIONS = ["What is the tionre of ereati (thionesander)?", "How many anthe in paper 5?", "theth er's ing"]
 
@@ -321,6 +322,57 @@ def captions(spark, sf_dir):
     return BK.cues(timed)
 
 
+@query()
+def ask_folded(spark, sf_dir):
+    """A French question with accents folded away on both sides."""
+    rules = ASK.Rules(terms={"verite": ["queelle"]}, asking={"que", "est", "quoi", "dans"}, fold=True)
+    return ASK.answer(pars(spark, sf_dir).filter("author = 'fr'"), ["Où est la vérité entre eux?"], rules)
+
+
+@query(
+    P
+    + r""", c AS (SELECT ref, text, regexp_extract(text, '^\S+ \S+') AS a, regexp_extract(text, '\S+ \S+$') AS b FROM paragraphs WHERE par = 1)
+SELECT ref, CASE WHEN a <> '' AND b <> '' THEN substr(text, 1, CASE WHEN strpos(text, b) > 0 THEN strpos(text, b) + length(b) - 1 END) END AS quote, a <> '' AND b <> '' AS verified FROM c"""
+)
+def card_slices(spark, sf_dir):
+    """Cards from the first words of a paragraph to the first place of its last words, checked again."""
+    p = pars(spark, sf_dir)
+    anchor = lambda pattern: F.regexp_extract("text", pattern, 0)
+    cards = p.filter("par = 1").select(F.lit("t").alias("topic"), "ref", anchor(r"^\S+ \S+").alias("start"), anchor(r"\S+ \S+$").alias("end"))
+    cards = cards.withColumn("start", F.when(F.col("end") == "", None).otherwise(F.nullif("start", F.lit("")))).withColumn("end", F.nullif("end", F.lit("")))
+    return CD.verify_cards(CD.slice_cards(cards, p), p).select("ref", "quote", "verified")
+
+
+@query()
+def quote_times(spark, sf_dir):
+    """When each item's words from the fourth to the twelfth are spoken in a transcript of all of it."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("episode"), words.alias("ws"))
+    quotes = b.select("episode", F.lit(1).alias("n"), F.slice("ws", 4, 9).alias("words"))
+    spoken = b.select("episode", F.posexplode("ws").alias("i", "w")).select("episode", "i", "w", (F.col("i") * 0.4).alias("start"), (F.col("i") * 0.4 + 0.3).alias("end"))
+    return CD.place_quotes(quotes, spoken)
+
+
+@query(_SENTENCES_OF_PARS + r""" SELECT ref, CASE WHEN length(s) > 220 THEN substr(s, 1, 217) || '...' ELSE s END AS excerpt FROM (SELECT ref, coalesce(list_filter(ss, lambda x: regexp_matches(lower(x), '\btion\w*'))[1], ss[1]) AS s FROM split)""")
+def excerpts(spark, sf_dir):
+    """The sentence of each paragraph that has the word, else its first one."""
+    return pars(spark, sf_dir).select("ref", RC.excerpt(F.col("text"), T.prefix_pattern("tion")).alias("excerpt"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_type), 's$', '') AS singular, regexp_replace(replace(p_name, ' ', ''), '[–—]', '-', 'g') AS typed, (['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII', 'XIII', 'XIV', 'XV'])[CAST(p_size % 15 AS INTEGER) + 1] AS roman, CAST(p_size % 15 + 1 AS INTEGER) AS number FROM part")
+def word_forms(spark, sf_dir):
+    """Plurals, typed citations and Roman numbers."""
+    roman = F.element_at(F.array(*[F.lit(r) for r in T.ROMAN]), (F.col("p_size") % 15 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.singular(F.lower("p_type")).alias("singular"), T.typed_citation(F.col("p_name")).alias("typed"), roman.alias("roman"), T.roman_number(roman).alias("number"))
+
+
+@query(P + " SELECT section, 'Asked' || chr(10) || chr(10) || string_agg('“' || text || '” (' || ref || ')', chr(10) || chr(10) ORDER BY par) AS answer FROM paragraphs WHERE par <= 2 GROUP BY section")
+def answer_texts(spark, sf_dir):
+    """The plain text of an answer with two quotations at most."""
+    quotes = pars(spark, sf_dir).filter("par <= 2").groupBy("section").agg(F.array_sort(F.collect_list(F.struct("par", "text", "ref"))).alias("q"))
+    return quotes.select("section", T.answer_text(F.lit("Asked"), F.col("q")).alias("answer"))
+
+
 # --- pages, graphs and streams
 
 @query()

@@ -193,12 +193,12 @@ def best_overlap(spark, sf_dir):
 
 @query(
     P
-    + """, t AS (SELECT ref, upper(text) AS text FROM paragraphs WHERE author = 'en' AND par % 2 = 0)
+    + """, t AS (SELECT ref, 'en: ' || text AS text FROM paragraphs WHERE author = 'en' AND par % 2 = 0)
 SELECT p.ref, coalesce(t.text, p.text) AS text, t.ref IS NULL AS fallback FROM paragraphs p LEFT JOIN t ON p.ref = t.ref WHERE p.author = 'en'"""
 )
 def translation_fallback(spark, sf_dir):
     en = pars(spark, sf_dir).filter("author = 'en'")
-    return J.with_fallback(en.select("ref", "text"), en.filter("par % 2 = 0").select("ref", F.upper("text").alias("text")))
+    return J.with_fallback(en.select("ref", "text"), en.filter("par % 2 = 0").select("ref", F.concat(F.lit("en: "), F.col("text")).alias("text")))
 
 
 _TOPICS = "(VALUES (1, 'thes'), (2, 'tion'), (3, 'ing'), (4, 'ers'), (5, 'andthe')) t(id, name)"

@@ -46,3 +46,13 @@ paragraphs AS (
   SELECT paper || ':' || section || '.' || i AS ref, paper, section, i AS par, author, ls[i] AS text
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM lines) WHERE trim(ls[i]) <> ''
 )"""
+
+
+def write_paragraphs(rows: DataFrame, path: str) -> None:
+    """The prebuilt fact table, one folder a paper, so that a read of one paper opens its folder alone."""
+    rows.repartition("paper", F.pmod(F.xxhash64("section"), F.lit(8))).write.mode("overwrite").partitionBy("paper").parquet(path)
+
+
+def read_paragraphs(spark: SparkSession, path: str, paper: int | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if paper is None else rows.filter(F.col("paper") == paper)

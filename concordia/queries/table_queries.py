@@ -307,7 +307,7 @@ def status_pivot(spark, sf_dir):
     return o.groupBy("bucket").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0, ["F", "O", "P"])
 
 
-@query("SELECT source, sum(quality) AS points, round(100.0 * sum(quality) / count(*), 2)::DOUBLE AS pct, sum(toxic) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY source")
+@query("SELECT source, CAST(sum(quality) AS BIGINT) AS points, round(100.0 * sum(quality) / count(*), 2)::DOUBLE AS pct, CAST(sum(toxic) AS BIGINT) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY source")
 def bench_totals(spark, sf_dir):
     """Points and per cent of each source; labels carry the flags."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")

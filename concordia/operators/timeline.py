@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """rows with place, 1 and up in ascending order, without one task holding all: range partitions are
-    numbered within themselves and moved by the sizes of those before."""
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    within = F.row_number().over(W.partitionBy("__p").orderBy(order))
-    parts = parts.withColumn("__n", within)
-    sizes = parts.groupBy("__p").agg(F.max("__n").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    moved = sizes.select("__p", before.alias("__before"))  # a row for each partition
-    return parts.join(F.broadcast(moved), "__p").withColumn("place", F.col("__n") + F.col("__before")).drop("__p", "__n", "__before")
+def numbered(rows: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+    """rows with place, 1 and up in ascending order of a number or date, without one task holding all: rows
+    are dealt to buckets by quantiles, numbered within these, and moved by the sizes of those before.
+
+    A row's bucket depends on its value and the quantiles alone, so a task that runs again agrees.
+    """
+    n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 100 * n)).head()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    parts = rows.withColumn("__b", bucket)
+    sizes = parts.groupBy("__b").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moved = sizes.select("__b", before.alias("__before"))  # a row for each bucket
+    within = F.row_number().over(W.partitionBy("__b").orderBy(order))
+    return parts.withColumn("__n", within).join(F.broadcast(moved), "__b").withColumn("place", F.col("__n") + F.col("__before")).drop("__b", "__n", "__before")
 
 
 def tiles(rows: DataFrame, order: str, days: int, with_places: bool = False) -> DataFrame:

@@ -98,9 +98,9 @@ def refs_resolved(spark, sf_dir):
     return cited.join(known, "ref", "left").select("draft", "ref", F.col("there").isNull().alias("missing"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def join_anti_unresolved(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)")
@@ -219,17 +219,17 @@ def topics_of_questions(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'part 12' THEN 1 WHEN lower(p_brand) = 'part 12' THEN 2 WHEN starts_with(lower(p_name), 'part') THEN 3 WHEN contains(lower(p_name), '12') THEN 4 END AS tier FROM part)
+    """WITH t AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'red wid' THEN 1 WHEN lower(p_brand) = 'red wid' THEN 2 WHEN starts_with(lower(p_name), 'red') THEN 3 WHEN contains(lower(p_name), 'wid') THEN 4 END AS tier FROM part)
 SELECT p_partkey, p_name, tier FROM t WHERE tier = (SELECT min(tier) FROM t)"""
 )
 def tiered_lookup(spark, sf_dir):
     """Exact name, exact alias, prefix, substring: only the best tier that has rows."""
-    return J.best_tier(table(spark, sf_dir, "part"), "part 12", ["p_name"], ["p_brand"], "12").select("p_partkey", "p_name", "tier")
+    return J.best_tier(table(spark, sf_dir, "part"), "red wid", ["p_name"], ["p_brand"], "wid").select("p_partkey", "p_name", "tier")
 
 
-@query("(SELECT c_nationkey AS k, 'left' AS side FROM customer EXCEPT SELECT s_nationkey, 'left' FROM supplier) UNION ALL (SELECT s_nationkey, 'right' FROM supplier EXCEPT SELECT c_nationkey, 'right' FROM customer)")
+@query("(SELECT c_custkey % 60 AS k, 'left' AS side FROM customer EXCEPT SELECT s_suppkey % 50 + 20, 'left' FROM supplier) UNION ALL (SELECT s_suppkey % 50 + 20, 'right' FROM supplier EXCEPT SELECT c_custkey % 60, 'right' FROM customer)")
 def symmetric_difference(spark, sf_dir):
-    return J.symmetric_difference(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+    return J.symmetric_difference(table(spark, sf_dir, "customer").select((F.col("c_custkey") % 60).alias("k")), table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50 + 20).alias("k")))
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
@@ -602,8 +602,12 @@ def article_search(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter(F.forall(asked, lambda w: F.contains(hay, w))).select("page_id", "url")
 
 
-@query("SELECT user_id, first_event FROM (SELECT user_id, min(event_id) AS first_event FROM events WHERE event_type = 'view' GROUP BY user_id) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query(
+    """WITH e AS (SELECT event_id, event_type, user_id || '/' || strftime(ts, '%Y-%m-%d') AS key FROM events)
+SELECT key, min(event_id) AS first_event FROM e WHERE event_type = 'view' AND key NOT IN (SELECT key FROM e WHERE event_type = 'purchase') GROUP BY key"""
+)
 def study_list(spark, sf_dir):
-    """Adds keep the first of each key; removals take it off."""
-    e = table(spark, sf_dir, "events")
-    return e.filter("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("first_event")).join(e.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
+    """Adds keep the first of each key, here a user's day; removals take it off."""
+    key = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", key.alias("key"))
+    return e.filter("event_type = 'view'").groupBy("key").agg(F.min("event_id").alias("first_event")).join(e.filter("event_type = 'purchase'").select("key"), "key", "left_anti")

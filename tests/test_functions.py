@@ -153,9 +153,9 @@ def test_language(spark):
 
 
 def test_spelling(spark):
-    vocabulary = spark.createDataFrame([("morontia", 9), ("melchizedek", 5), ("reincarnation", 4), ("incarnate", 9), ("poor", 9), ("once", 1)], "word string, n long")
-    asked = spark.createDataFrame([("morontai",), ("melchizadek",), ("reincarnate",), ("spoor",), ("morontia",), ("zzzzzzzz",)], "word string")
-    assert {r.word: r.suggestion for r in spell.suggest(asked, vocabulary).collect()} == {"morontai": "morontia", "melchizadek": "melchizedek", "reincarnate": "reincarnation"}
+    vocabulary = spark.createDataFrame([("lanterns", 9), ("harbourside", 5), ("reincarnation", 4), ("incarnate", 9), ("poor", 9), ("once", 1)], "word string, n long")
+    asked = spark.createDataFrame([("lantrens",), ("harbourzide",), ("reincarnate",), ("spoor",), ("lanterns",), ("zzzzzzzz",)], "word string")
+    assert {r.word: r.suggestion for r in spell.suggest(asked, vocabulary).collect()} == {"lantrens": "lanterns", "harbourzide": "harbourside", "reincarnate": "reincarnation"}
 
 
 def test_alignment():
@@ -178,19 +178,19 @@ def test_links(spark):
 
 
 def test_ask(spark):
-    p = paragraphs(spark, ["The morontia life is the next life.", "Resurrection into the morontia life awaits.", "Bread and water.", "Life of bread."])
-    rules = ask.Rules(terms={"heaven": ["morontia life"]}, specific={"morontia life"})
+    p = paragraphs(spark, ["The lantern walk is the next walk.", "An evening for the lantern walk awaits.", "Bread and water.", "Life of bread."])
+    rules = ask.Rules(terms={"heaven": ["lantern walk"]}, specific={"lantern walk"})
     got = ask.answer(p, ["What is heaven?", "bread"], rules).collect()
     first = {r.qid: r.ref for r in got if r.place == 1}
     assert first == {0: "1:1.1", 1: "1:4.1"} or first == {0: "1:1.1", 1: "1:3.1"}
-    assert all("morontia life" in r.why for r in got if r.qid == 0)
+    assert all("lantern walk" in r.why for r in got if r.qid == 0)
     assert [s.label for s in ask.plan("is paper 12 about bread", ask.Rules(), {"bread": 2})] == ["own words", "paper 12"]
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "topics.txt").write_text("Adam; First man | 74:1.1-3 | Eve | PERSON | x\n detail one\n\nEve | 74:2.1 | | PERSON | x\n")
+    (tmp_path / "topics.txt").write_text("Alder; Black alder | 74:1.1-3 | Elm | TREE | x\n detail one\n\nElm | 74:2.1 | | PERSON | x\n")
     topics = {r.name: r for r in readers.read_topics(spark, str(tmp_path / "topics.txt")).collect()}
-    assert topics["Adam"].refs == ["74:1.1", "74:1.2", "74:1.3"] and topics["Adam"].lines == [" detail one"] and topics["Adam"].names == ["Adam", "First man"] and topics["Eve"].lines == []
+    assert topics["Alder"].refs == ["74:1.1", "74:1.2", "74:1.3"] and topics["Alder"].lines == [" detail one"] and topics["Alder"].names == ["Alder", "Black alder"] and topics["Elm"].lines == []
     (tmp_path / "verses.json").write_text(json.dumps({"books": [{"name": "x", "chapters": [["a  b", "c"], ["d"]]}]}))
     assert [(r.ref, r.text) for r in readers.read_verses(spark, str(tmp_path / "verses.json"), ["Genesis"]).orderBy("ref").collect()] == [("Genesis 1:1", "a b"), ("Genesis 1:2", "c"), ("Genesis 2:1", "d")]
     sheets = tmp_path / "sheets"

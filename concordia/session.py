@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -54,3 +55,10 @@ def keep_checkpoints(spark: SparkSession) -> None:
     """Have checkpoints written to the shared folder, where the session doesn't say another."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(scratch(spark))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again, for results that several branches use."""
+    path = f"{scratch(df.sparkSession)}/concordia/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -119,10 +119,16 @@ def exact_duplicates(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hashe
 def keep_first(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the row with the smallest doc_id,
     and of rows that repeat a doc_id with an equal text one."""
-    kept = exact_duplicates(documents, block_bytes).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).distinct()
+    found = materialize(exact_duplicates(documents, block_bytes).select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"), "kept"), "found")
     rows = documents.withColumn("__id", F.col("doc_id")).withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    stay = rows.join(kept, F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__sha") == F.col("k_sha")), "left_semi")
-    return stay.dropDuplicates(["__id", "__sha"]).select(*documents.columns)
+    same = F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__sha") == F.col("k_sha"))
+    # the texts cross the network once, for the rows that go; again only the few that repeat a doc_id
+    stay = rows.join(found.filter("not kept").select("k_id", "k_sha"), same, "left_anti")
+    again = found.filter("kept").groupBy("k_id", "k_sha").count().filter("count > 1").select("k_id", "k_sha")
+    if not again.isEmpty():
+        once = stay.join(again, same, "left_semi").dropDuplicates(["__id", "__sha"])
+        stay = stay.join(again, same, "left_anti").unionByName(once)
+    return stay.select(*documents.columns)
 
 
 ORACLE_SQL = r"""

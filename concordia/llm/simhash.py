@@ -197,7 +197,9 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, max_list: int = M
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    stay = near_duplicates(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    rows = documents.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each component, the one with the smallest doc_id, with all its columns. Rows that
+    repeat a doc_id with different texts stay if one of them does."""
+    found = near_duplicates(documents).groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = found.filter("not stays").select(F.col("doc_id").alias("__gone"))
+    rows = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
     return rows.select(*documents.columns)

@@ -56,11 +56,12 @@ class MergeCodec:
         self.end = next(i for i, (p, _, kind) in enumerate(vocabulary) if kind == "c" and p == "</s>")
         self.machine = ahocorasick.Automaton()
         for p, i in normal.items():
-            self.machine.add_word(p, (len(p), i))
+            self.machine.add_word(p, (len(p) - 1, i))
         self.machine.make_automaton()
-        self.chunks = chunk_pattern(normal)
+        self.size = [len(p) for p, _, _ in vocabulary]
+        self.chunks, self.known = chunk_pattern(normal), frozenset(p for p in normal if len(p) == 1)
+        #: (token before or -1, token): whether they may stand together
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.own: dict[int, bool] = {}
         self.memo: dict[str, str] = {}
         as_bytes = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == "b" else b"" if kind == "c" else b" \xe2\x81\x87 " if kind == "u" else p.replace(SPACE, " ").encode()
         self.surface = {str(i): as_bytes(p, kind) for i, (p, _, kind) in enumerate(vocabulary)}
@@ -92,51 +93,57 @@ class MergeCodec:
         return None if None in ids else ids
 
     def compatible(self, a: int, b: int) -> bool:
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.vocabulary[a][0] + self.vocabulary[b][0]) == [a, b]
-        return known
-
-    def reachable(self, a: int) -> bool:
-        """Whether merging a token's own text gives the token."""
-        if (known := self.own.get(a)) is None:
-            known = self.own[a] = self.merged(self.vocabulary[a][0]) == [a]
+        """Whether merging the text of both gives both; of b alone if a is -1."""
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
+        known = self.merged((self.vocabulary[a][0] if a >= 0 else "") + self.vocabulary[b][0]) == ([a, b] if a >= 0 else [b])
+        self.pairs[a, b] = known
         return known
 
     def segment(self, text: str) -> list[int]:
         """A text of characters that all are pieces."""
-        n = len(text)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.machine.iter(text):
-            at[end + 1 - length].append((end + 1, token))  # shorter ones end sooner, so the longest is last
-        open_to = bytearray(b"\1") * (n + 1)
-        path: list[tuple[int, int, int]] = []  # token, its start, its place in at[start]
-        pos, k = 0, len(at[0]) - 1
+        n, size, known = len(text), self.size, self.pairs.get
+        at: list[list[int]] = [[] for _ in text]
+        for end, (back, token) in self.machine.iter(text):
+            at[end - back].append(token)  # shorter ones end sooner, so the longest is last
+        failed = bytearray(n + 1)
+        ids: list[int] = []
+        places: list[int] = []
+        pos, last = 0, -1
+        k = len(at[0]) - 1 if n else -1
         while pos < n:
+            options = at[pos]
             while k >= 0:
-                end, token = at[pos][k]
-                if open_to[end] and (self.compatible(path[-1][0], token) if path else self.reachable(token)):
-                    break
+                token = options[k]
+                if not failed[pos + size[token]]:
+                    fits = known((last, token))
+                    if self.compatible(last, token) if fits is None else fits:
+                        break
                 k -= 1
             else:
-                open_to[pos] = 0
-                if not path:
+                failed[pos] = 1
+                if not ids:
                     raise ValueError("no encoding")
-                _, pos, k = path.pop()
-                k -= 1
+                pos -= size[ids.pop()]
+                k = places.pop() - 1
+                last = ids[-1] if ids else -1
                 continue
-            path.append((token, pos, k))
-            pos = end
-            k = len(at[pos]) - 1 if pos < n else -1
-        return [t for t, _, _ in path]
+            ids.append(token)
+            places.append(k)
+            last = token
+            pos += size[token]
+            if pos < n:
+                k = len(at[pos]) - 1
+        return ids
 
     def chunk(self, text: str) -> list[int]:
         """Characters that are no pieces become their bytes; what stands between them is encoded apart."""
+        if self.known.issuperset(text):
+            return self.segment(text)
         ids: list[int] = []
         run = ""
         for c in text:
-            if c in self.id_of:
+            if c in self.known:
                 run += c
                 continue
             if run:

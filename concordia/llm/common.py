@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import scratch, ship
 
 #: Rows of an Arrow batch; with long texts a batch stays at some tens of MB.
 BATCH_ROWS = 1000
@@ -21,23 +20,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one on a local master."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not hasattr(context, "_concordia_scratch"):
-        context._concordia_scratch = tempfile.mkdtemp(prefix="concordia-")
-    return f"file://{context._concordia_scratch}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/concordia/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/concordia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ship
 
 
-def round_robin(candidates: DataFrame, n: int, per_paper: int = 2, keep: int = 50) -> DataFrame:
+def round_robin(candidates: DataFrame, n: int, per_paper: int = 2) -> DataFrame:
     """candidates(topic, ref, paper, score): one of each topic in turn, at most per_paper of a paper, n in
-    all. The choice looks at the best `keep` of each topic, which top-k picks in parallel; a topic that
-    runs out is passed over."""
+    all; a topic that runs out is passed over. Best scores first, ties by the numbers in ref, then by ref.
+
+    A topic never uses more than per_paper rows of a paper. Of these rows its best 2 * n are enough: before
+    its last turn it has taken fewer than n, and has passed over per_paper rows at most of each full paper,
+    fewer than n too, as full papers hold per_paper chosen rows each."""
     ship(candidates.sparkSession)
-    best = candidates.groupBy("topic").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ref", "paper"))), 1, keep).alias("c"))
+    numbers = F.transform(F.regexp_extract_all("ref", F.lit("([0-9]+)")), lambda x: x.try_cast("long"))
+    rows = candidates.select("topic", "ref", "paper", F.struct((-F.col("score")).alias("s"), numbers.alias("n"), "ref").alias("key"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key"))
+    best = rows.withColumn("place", rank("topic", "paper")).filter(F.col("place") <= per_paper).withColumn("place", rank("topic")).filter(F.col("place") <= 2 * n).drop("key")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        queues = {t: list(c) for t, c in sorted(zip(frame.topic, frame.c))}
+        queues = {t: [*zip(q.ref, q.paper)] for t, q in frame.sort_values("place").groupby("topic")}
         used: dict[int, int] = {}
         chosen = []
         while len(chosen) < n and any(queues.values()):
             for topic, queue in queues.items():
                 while queue:
-                    row = queue.pop(0)
-                    if used.get(row["paper"], 0) < per_paper:
-                        used[row["paper"]] = used.get(row["paper"], 0) + 1
-                        chosen.append((len(chosen) + 1, topic, row["ref"]))
+                    ref, paper = queue.pop(0)
+                    if used.get(paper, 0) < per_paper:
+                        used[paper] = used.get(paper, 0) + 1
+                        chosen.append((len(chosen) + 1, topic, ref))
                         break
                 if len(chosen) == n:
                     break

@@ -214,3 +214,29 @@ def test_readers(spark, tmp_path):
 def test_banks(spark):
     rows = spark.createDataFrame([("a", f"r{k}", 1, float(9 - k)) for k in range(4)] + [("b", "s", 2, 1.0)], "topic string, ref string, paper int, score double")
     assert [(r.place, r.topic, r.ref) for r in banks.round_robin(rows, 5).orderBy("place").collect()] == [(1, "a", "r0"), (2, "b", "s"), (3, "a", "r1")]
+
+
+def test_bank_looks_at_whole_topics(spark):
+    import random
+
+    # a hot paper: all of the best sixty are of paper 0
+    hot = [("a", f"0:1.{k}", 0, 160.0) for k in range(60)] + [("a", f"{p}:1.1", p, 150.0) for p in range(1, 12)] + [("b", f"{p}:2.1", p, 9.0) for p in (2, 10)]
+    rows = lambda data: spark.createDataFrame(data, "topic string, ref string, paper int, score double").repartition(7)
+    got = [(r.topic, r.ref) for r in banks.round_robin(rows(hot), 8).orderBy("place").collect()]
+    assert got == [("a", "0:1.0"), ("b", "2:2.1"), ("a", "0:1.1"), ("b", "10:2.1"), ("a", "1:1.1"), ("a", "2:1.1"), ("a", "3:1.1"), ("a", "4:1.1")]
+
+    rng = random.Random(5)
+    for n, papers in ((6, 3), (12, 9), (20, 40)):
+        data = [(rng.choice("aaab") + rng.choice("xy"), f"{p}:1.{k}", p, float(rng.randrange(4))) for k in range(300) for p in [min(rng.randrange(papers), rng.randrange(papers))]]
+        order = lambda r: (-r[3], [int(x) for x in r[1].replace(":", ".").split(".")])
+        left, want, used = {t: sorted((r for r in data if r[0] == t), key=order) for t in sorted({r[0] for r in data})}, [], {}
+        while len(want) < n:
+            before = len(want)
+            for queue in left.values():
+                if len(want) < n and (r := next((r for r in queue if used.get(r[2], 0) < 2), None)):
+                    queue.remove(r)
+                    used[r[2]] = used.get(r[2], 0) + 1
+                    want.append((r[0], r[1]))
+            if len(want) == before:
+                break
+        assert [(r.topic, r.ref) for r in banks.round_robin(rows(data), n).orderBy("place").collect()] == want

@@ -1,18 +1,25 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, and exact shingle
-containment verifies them.
+containment over the whole text verifies them.
 
 Words are runs of letters and digits, lower-cased. Templates are dealt to size classes (powers of
 two of their shingles); for each class a text has windows of twice the class's size, one starting
-at every class size, so any stretch of a template's length lies within one window. A band is one
-minimum of a hash family over a window's shingles, and the template is retrieved if any of BANDS
-minima agrees. A window that holds a share c of a template of n shingles agrees in one band with
-probability at least c*n / (window + n) >= 0.8/5 = 0.16, and in one of 128 with 1 - 2e-10. Windows
-without any shingle of any template are skipped: they can't contain one.
+at every class size. A band is one minimum of a hash family over a window's shingles, and the
+template is retrieved if any of BANDS minima agrees in any window. Windows only retrieve, so a copy
+need not lie within one. If the text holds a share c of a template of n shingles, however far words
+that were put in drive its parts, one band agrees with probability at least c*n / (window + n) >=
+0.8/5 = 0.16: each shingle that is held is in a window, and is the least of this window and the
+template with probability 1 / (window + n). One of 128 bands agrees with 1 - 2e-10. Windows without
+any shingle of any template are skipped: no template's minimum is in them.
+
+A retrieved template's shingles in the text fall into runs that follow the template's order without
+a gap longer than the template. Stretches of one or more runs, left to right, that hold 0.8 of its
+shingles are its copies.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,7 +75,8 @@ class Index:
 
     templates: dict[str, str]
     number: dict[str, int] = field(default_factory=dict)
-    sets: dict[str, frozenset[int]] = field(default_factory=dict)
+    #: template id: {number of a shingle: its places in the template}
+    places: dict[str, dict[int, list[int]]] = field(default_factory=dict)
     #: class size: {(band, minimum): template ids}
     buckets: dict[int, dict[tuple[int, int], list[str]]] = field(default_factory=dict)
 
@@ -77,7 +85,9 @@ class Index:
             if len(words_of(text)) < SHINGLE:
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
             own = shingles_of(words_of(text))
-            self.sets[name] = frozenset(self.number.setdefault(s, len(self.number)) for s in own)
+            places = self.places[name] = {}
+            for i, s in enumerate(own):
+                places.setdefault(self.number.setdefault(s, len(self.number)), []).append(i)
             size = 1 << (len(own) - 1).bit_length()
             for band, low in enumerate(self.minima(hashes(own))):
                 self.buckets.setdefault(size, {}).setdefault((band, int(low)), []).append(name)
@@ -100,30 +110,66 @@ class Index:
                 out[i] = k
         return out
 
+    def retrieved(self, words: list[str], at: np.ndarray) -> set[str]:
+        """Templates that agree in a band of some window; at: the places of shingles of templates."""
+        out: set[str] = set()
+        for size, bucket in self.buckets.items():
+            left = {n for names in bucket.values() for n in names}
+            for k in sorted({int(p) // size - d for p in at for d in (0, 1) if p // size - d >= 0}):
+                own = shingles_of(words[k * size : k * size + 2 * size + SHINGLE - 1])
+                low = self.minima(hashes(own))
+                found = {n for band, v in enumerate(low) for n in bucket.get((band, int(v)), ())}
+                out |= found
+                left -= found
+                if not left:
+                    break
+        return out
+
+    def stretches(self, name: str, numbers: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first shingle, last shingle, containment) of each copy of a template; copies don't overlap."""
+        places = self.places[name]
+        runs: list[tuple[int, int, set[int]]] = []
+        last = place = -1
+        for p in at:
+            p, k = int(p), int(numbers[p])
+            if (own := places.get(k)) is None:
+                continue
+            i = bisect_right(own, place)
+            if runs and i < len(own) and p - last <= len(places) + SHINGLE:
+                place = own[i]
+                runs[-1][2].add(k)
+                runs[-1] = (runs[-1][0], p, runs[-1][2])
+            else:
+                place = own[0]
+                runs.append((p, p, {k}))
+            last = p
+        out, held = [], set()
+        for r, run in enumerate(runs):
+            held |= run[2]
+            if len(held) / len(places) < LEAST_CONTAINED:
+                continue
+            # the latest run from which enough is held: what stands before belongs to no copy
+            held, first = set(), r + 1
+            while len(held) / len(places) < LEAST_CONTAINED:
+                first -= 1
+                held |= runs[first][2]
+            out.append((runs[first][0], run[1], len(held) / len(places)))
+            held = set()
+        return out
+
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(template id, first character, end, containment): the best window of each template found."""
+        """(template id, first character, end, containment) of every copy, by template and place."""
         words = words_of(text)
         numbers = self.numbers(words)
         at = np.flatnonzero(numbers >= 0)
         if not len(at):
             return []
-        found: dict[str, tuple[float, int, int]] = {}
-        for size, bucket in self.buckets.items():
-            for k in sorted({int(p) // size - d for p in at for d in (0, 1) if p // size - d >= 0}):
-                a, b = k * size, min(len(words), k * size + 2 * size)
-                inside = at[(at >= a) & (at < b)]
-                own = shingles_of(words[a : b + SHINGLE - 1])
-                low = self.minima(hashes(own))
-                for name in {n for band, v in enumerate(low) for n in bucket.get((band, int(v)), ())}:
-                    hit = [int(p) for p in inside if int(numbers[p]) in self.sets[name]]
-                    share = len({int(numbers[p]) for p in hit}) / len(self.sets[name])
-                    if share >= LEAST_CONTAINED and (name not in found or share > found[name][0]):
-                        found[name] = (share, hit[0], hit[-1])
+        found = [(n, *x) for n in sorted(self.retrieved(words, at)) for x in self.stretches(n, numbers, at)]
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
         end = lambda p: spans[min(p + SHINGLE, len(words)) - 1][1]
-        return [(n, spans[a][0], end(b), share) for n, (share, a, b) in sorted(found.items())]
+        return [(n, spans[a][0], end(b), share) for n, a, b, share in found]
 
 
 _RNG = np.random.default_rng(11)
@@ -139,10 +185,10 @@ def hashes(shingles: list[str]) -> np.ndarray:
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row for each row of documents(doc_id, text): doc_id, n_licenses, licenses (template ids,
-    sorted, comma-joined), spans (struct template, start, end, containment; code points).
+    """One row for each row of documents(doc_id, text): doc_id, n_licenses, licenses (different template
+    ids, sorted, comma-joined), spans (struct template, start, end, containment; code points) of every copy.
 
-    A template is found if a window holds at least 0.8 of its 5-word shingles. Null and empty texts
+    A template is found if the text holds at least 0.8 of its 5-word shingles. Null and empty texts
     have none; repeated rows are scanned one by one; other columns are ignored. No shuffle.
     """
     shared = Shared(documents.sparkSession, templates)
@@ -152,9 +198,10 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -
 
         def each(batch):
             found = [index.scan(t or "") for t in batch["text"].to_pylist()]
+            names = [sorted({n for n, *_ in x}) for x in found]
             kind = pa.list_(pa.struct([("template", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))
             yield batch_of(
-                doc_id=batch["doc_id"], n_licenses=pa.array([*map(len, found)], pa.int64()), licenses=pa.array([",".join(n for n, *_ in x) for x in found], pa.string()),
+                doc_id=batch["doc_id"], n_licenses=pa.array([*map(len, names)], pa.int64()), licenses=pa.array([*map(",".join, names)], pa.string()),
                 spans=pa.array([[{"template": n, "start": a, "end": b, "containment": c} for n, a, b, c in x] for x in found], kind),
             )
 

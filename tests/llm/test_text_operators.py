@@ -82,6 +82,34 @@ def test_license_containment_and_place():
         LS.Index({"short": "two words"})
 
 
+@pytest.mark.parametrize("name, block", [("ISC", 10), ("ISC", 20), ("ISC", 300), ("GPL-3.0#2", 40), ("MIT#2", 80), ("MIT#2", 2000)])
+def test_license_with_a_block_inside(name, block):
+    index = LS.Index({name: LS.TEMPLATES[name]})
+    words = LS.TEMPLATES[name].split()
+    half = len(words) // 2
+    want = {*LS.shingles_of(LS.words_of(LS.TEMPLATES[name]))}
+    for before in range(0, 140, 1 if block < 300 else 10):
+        text = " ".join(["pad"] * before + words[:half] + ["block"] * block + words[half:] + ["pad"] * 30)
+        share = len(want & {*LS.shingles_of(LS.words_of(text))}) / len(want)
+        assert share >= 0.8
+        assert index.scan(text) == [(name, 4 * before, len(text) - 121, share)]
+
+
+def test_license_copies_have_a_span_each(spark):
+    index = LS.Index(dict(LS.TEMPLATES))
+    isc, bsd, mit = (LS.TEMPLATES[n] for n in ("ISC", "BSD-3-Clause", "MIT#1"))
+    words = isc.split()
+    split = " ".join(words[:15] + ["block"] * 60 + words[15:])
+    # strays before and after, copies side by side, with a block inside, and of a template that repeats itself
+    text = " ".join(words[15:22] + ["pad"] * 90) + "\n".join(["", isc, isc, split, split, bsd, bsd, mit, mit, ""]) + " ".join(["pad"] * 90 + words[:9])
+    got = index.scan(text)
+    assert [text[a:b].strip(".") for n, a, b, _ in got if n == "ISC"] == [x.strip(".") for x in (isc, isc, split, split)]
+    assert [text[a:b].strip(".") for n, a, b, _ in got if n == "BSD-3-Clause"] == [bsd.strip(".")] * 2
+    assert [text[a:b] for n, a, b, _ in got if n == "MIT#1"] == [mit.strip(".")] * 2 and len(got) == 8
+    row = LS.scan_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string")).head()
+    assert (row.n_licenses, row.licenses, len(row.spans)) == (3, "BSD-3-Clause,ISC,MIT#1", 8)
+
+
 def brute_hits(text, items, size=10):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))

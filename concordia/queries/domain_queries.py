@@ -10,7 +10,7 @@ from ..functions import language as LG, text as T
 from ..functions.numbers import numbers_udf
 from ..operators import align as AL, ask as ASK, banks as BK, cards as CD, claims as CL, entities as EN, grade as GR, graph as GH, links as LK, recall as RC, spell as SP, verify as VF
 from ..registry import query, table
-from ..session import scratch
+from ..session import keep_checkpoints, scratch
 from ..sources import readers as RD
 from ..sources.corpus import PARAGRAPHS_SQL as P
 from ..streaming import jobs as ST
@@ -134,6 +134,20 @@ def recall_unread(spark, sf_dir):
     return RC.unread(due, needed, cited, reviewed).groupBy("draft_id").agg(F.count("*").alias("n"), F.min("ref").alias("first_ref"))
 
 
+@query()
+def recall_unread_all(spark, sf_dir):
+    """The same for all drafts, here every document."""
+    keep_checkpoints(spark)
+    due = RC.triggers(recall_drafts(spark, sf_dir), RULES, LIMITING).checkpoint()
+    needed = RC.required(pars(spark, sf_dir), RULES, [3, 7])
+    ids = due.select("draft_id").distinct()
+    own = F.when(F.col("draft_id") % 50 == 0, (F.col("draft_id") / 50).cast("int").cast("string"))
+    key = F.explode(F.array(F.struct(F.lit("10-14").alias("key"), F.lit("read in full last week").alias("reason")), F.struct(F.lit("2").alias("key"), F.lit("about another subject").alias("reason")), F.struct(F.lit("5").alias("key"), F.lit("short").alias("reason")), F.struct(own.alias("key"), F.lit("the draft's own source text").alias("reason"))))
+    reviewed = ids.select("draft_id", key.alias("x")).select("draft_id", "x.*")
+    cited = ids.select("draft_id", F.lit("0:0.0").alias("ref"))
+    return RC.unread_counts(due, needed, cited, reviewed)
+
+
 # --- grading
 
 @query(

@@ -240,3 +240,36 @@ def test_bank_looks_at_whole_topics(spark):
             if len(want) == before:
                 break
         assert [(r.topic, r.ref) for r in banks.round_robin(rows(data), n).orderBy("place").collect()] == want
+
+
+def test_unread_counts_like_unread(spark):
+    import random
+
+    rng = random.Random(3)
+    frame = spark.createDataFrame
+    triggered = frame([(d, g, "title") for d in range(40) for g in "abc" if rng.random() < 0.5], "draft_id int, id string, why string")
+    needed = frame([(g, f"{p}:1.{k}", p) for p in range(6) for k in range(5) for g in "abcd" if rng.random() < 0.4], "id string, ref string, paper int")
+    # many citations of one paper, whole papers reviewed, and a draft of which nothing is left
+    cited = frame([(d, f"{rng.choice((0, 0, 0, 3))}:1.{rng.randrange(5)}") for d in range(40) for _ in range(d % 9)], "draft_id int, ref string")
+    reviewed = frame([(d, rng.choice(("1", "0-2", "4:1.0", "5")), rng.choice(("short", "read in full last week"))) for d in range(40) for _ in range(2)] + [(7, "0-5", "read in full last week")], "draft_id int, key string, reason string")
+    want = {}
+    for r in recall.unread(triggered, needed, cited, reviewed).collect():
+        want.setdefault(r.draft_id, []).append(r.ref)
+    got = {r.draft_id: (r.n, r.first_ref) for r in recall.unread_counts(triggered, needed, cited, reviewed).collect()}
+    assert 7 not in got and len(got) > 20 and got == {d: (len(refs), min(refs)) for d, refs in want.items()}
+    nothing = cited.limit(0), reviewed.limit(0)
+    assert sum(r.n for r in recall.unread_counts(triggered, needed, *nothing).collect()) == recall.unread(triggered, needed, *nothing).count()
+
+
+def test_unread_of_all_drafts(spark):
+    import duckdb
+
+    from concordia.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    sql = ORACLES["recall_unread"].replace(" WHERE draft_id % 50 = 0", "")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = sorted(con.execute(sql).fetchall())
+    assert sql != ORACLES["recall_unread"] and len({d % 50 for d, *_ in want}) > 20
+    assert sorted(map(tuple, QUERIES["recall_unread_all"](spark, folder).collect())) == want

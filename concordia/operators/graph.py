@@ -13,15 +13,17 @@ def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
-    """start(id): id, depth of every node reached, breadth first; a node keeps its least depth, so cycles end.
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """start(id): id, depth of every node reached, breadth first; a node keeps its least depth, so cycles end;
+    a round that finds no new node is the last.
 
     Each round joins only the newest nodes and is written out, so its lineage stays one round deep.
     """
     keep_checkpoints(edges.sparkSession)
     seen = start.select("id", F.lit(0).alias("depth")).distinct()
-    front = seen
-    for depth in range(1, most + 1):
+    front, depth = seen, 0
+    while True:
+        depth += 1
         new = front.join(edges, front["id"] == edges["a"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
         front = new.select("id", F.lit(depth).alias("depth")).checkpoint()
         if front.isEmpty():

@@ -273,3 +273,9 @@ def test_unread_of_all_drafts(spark):
     want = sorted(con.execute(sql).fetchall())
     assert sql != ORACLES["recall_unread"] and len({d % 50 for d, *_ in want}) > 20
     assert sorted(map(tuple, QUERIES["recall_unread_all"](spark, folder).collect())) == want
+
+
+def test_reachable_has_no_deepest_round(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(103)] + [(103, 0)], "a int, b int").coalesce(1).cache()
+    got = graph.reachable(edges, spark.createDataFrame([(0,)], "id int")).collect()
+    assert sorted((r.id, r.depth) for r in got) == [(k, k) for k in range(104)]

@@ -7,11 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch, ship
 
-#: Rows of an Arrow batch; with long texts a batch stays at some tens of MB.
+#: Rows that an operator turns at once. Spark closes an Arrow batch at spark.sql.execution.arrow.maxBytesPerBatch
+#: (64 MB unless set) or its own number of rows, and no batch is smaller than one row: a task holds so many bytes
+#: of text, or one text.
 BATCH_ROWS = 1000
 
 
@@ -26,7 +28,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(spark)}/concordia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that no plan needs any more: rounds of a loop leave nothing behind."""
+    for df in tables:
+        _remove(df.sparkSession, df._written_at)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by their quoted names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -40,13 +63,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 def map_batches(df: DataFrame, start: Callable[[], Callable], schema: str) -> DataFrame:
     """Run start() once a task; what it returns turns one RecordBatch into an iterable of RecordBatches."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         for batch in batches:
-            if batch.num_rows:
-                yield from each(batch)
+            for first in range(0, batch.num_rows, BATCH_ROWS):
+                yield from each(batch.slice(first, BATCH_ROWS))
         if hasattr(each, "finish"):
             yield from each.finish()
 
@@ -58,7 +80,7 @@ def batch_of(**columns) -> pa.RecordBatch:
 
 
 class Shared:
-    """A broadcast value, and what a Python worker builds of it: kept between tasks, only the latest few."""
+    """A broadcast value, and what a Python worker builds of it: kept between tasks, only the latest two."""
 
     _built: dict = {}
 
@@ -71,7 +93,7 @@ class Shared:
 
     def build(self, make: Callable):
         if (self.key, make) not in Shared._built:
-            while len(Shared._built) >= 4:
+            while len(Shared._built) >= 2:
                 Shared._built.pop(next(iter(Shared._built)))
             Shared._built[self.key, make] = make(self.sent.value)
         return Shared._built[self.key, make]

@@ -14,9 +14,10 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """doc_id null for one row, repeated for two, and columns whose names the operators use themselves."""
-    rows = [(None if k == 3 else 1 if k in (13,) else k, t, "en" if k % 2 else None, "src0", None, 7, "x") for k, t in enumerate(TEXTS)]
+    own = ["k_id", "k_sha", "__id", "__sha", "__gone", "id", "sha", "row", "kept", "th", "hash", "h", "name", "level", "component_id", "d.e"]
+    rows = [(None if k == 3 else 1 if k in (13,) else k, t, "en" if k % 2 else None, "src0", None, 7, "x", *(f"{c}{k}" for c in own)) for k, t in enumerate(TEXTS)]
     rows.append(rows[7])
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, fp string")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, fp string, " + ", ".join(f"`{c}` string" for c in own))
 
 
 @pytest.fixture(scope="session")

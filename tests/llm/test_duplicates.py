@@ -48,9 +48,26 @@ def test_exact_odd_rows(odd, empty):
     assert sum(r.doc_id == 7 and r.kept for r in rows) == 2
     kept = exact_dedup.keep_first(odd)
     assert kept.columns == odd.columns and sum(r.doc_id == 7 for r in kept.collect()) == 1
+    assert {*kept.collect()} <= {*odd.collect()}
     assert exact_dedup.exact_duplicates(empty).count() == exact_dedup.keep_first(empty).count() == 0
 
 
+def test_exact_keeps_the_least_of_a_repeated_id(spark):
+    rows = [(1, "a  b", "y"), (1, "a b", "z"), (1, "a b", "x"), (2, "a b", "w"), (1, "c", "v")]
+    for data in (rows, rows[::-1]):
+        kept = exact_dedup.keep_first(spark.createDataFrame(data, "doc_id int, text string, id string"))
+        assert sorted(r.text for r in kept.collect()) == ["a  b", "c"]
+
+
+def test_names_are_integers_by_level(spark):
+    """Three blocks need two levels; a text that is another's first block has another level."""
+    df = spark.createDataFrame([(1, "aabbcc"), (2, "aabbcc"), (3, "aabbcd"), (4, "aa"), (5, "aabb"), (6, "aabbccdd")], "doc_id int, text string")
+    _, names = exact_dedup.identities(df, 2)
+    got = {r.doc_id: (r.level, r.name) for r in names.collect()}
+    assert got[1] == got[2] and len({*got.values()}) == 5 and [got[k][0] for k in (1, 4, 5, 6)] == [2, 0, 1, 2]
+    assert all(isinstance(n, int) and n >= 0 for _, n in got.values())
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:

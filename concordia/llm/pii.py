@@ -2,15 +2,23 @@
 
 The field's features are word shapes of a token and its neighbours, hashed to weights for each tag
 (outside, or begin and inside of each kind). It is trained by Adam on the log likelihood over a
-small labelled table and decoded by Viterbi, many segments at once as padded numpy batches. A
-segment is what stands around digits, @ and (at): a token far from these is outside by definition.
+small labelled table and decoded by Viterbi over the whole text, in padded numpy batches.
+
+One constraint belongs to the model: a token with no anchor (digits, @, (at) or [at]) within REACH
+tokens is outside. Where a tag is fixed, the best path falls into the best path before and the best
+one behind, so a text is decoded run by run: a run is what lies between fixed tokens, and it starts
+and ends with the moves from and to the tag outside. Features see the true neighbours across a run's
+ends. The tests hold this against Viterbi over all tokens of whole texts with the same constraint.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +29,10 @@ from .common import Shared, batch_of, map_batches
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 BUCKETS = 1 << 12
-#: Characters of context on each side of an anchor, and tokens that are decoded at once.
-CONTEXT, BATCH_TOKENS = 40, 20_000
+#: Tokens on each side of an anchor whose tags are free, and tokens on each side that features see.
+REACH, SIGHT = 12, 3
+#: Tokens that are decoded at once, and steps of a long run whose scores are held at once.
+BATCH_TOKENS, STEPS = 20_000, 4096
 
 # The patterns start only where a match can, so that long runs take linear time: a match from the
 # middle of a run of digits, or of characters of a mail name, ends as the one from its start.
@@ -34,7 +44,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|\S")
-_ANCHOR = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_WORD = re.compile(r"\S+")
+_ANCHOR = re.compile(r"[0-9]+|@|\(at\)|\[at\]", re.I)
+_MAIL_SIGN = re.compile(r"@|\(\s?at\s?\)|\[\s?at\s?\]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -78,16 +90,49 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # --- the random field
 
 
-def segments(text: str) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(offset, token spans) of the stretches around anchors."""
-    out: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+@dataclass
+class Run:
+    """Tokens first to last of some neighbours' spans; whether the text starts and ends with it."""
+
+    spans: list[tuple[int, int]]
+    first: int
+    last: int
+    opens: bool
+    closes: bool
+
+
+def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
+
+
+def runs_of(text: str) -> Iterator[Run]:
+    """The runs of tokens with an anchor within REACH. Every word is a token at least, so the words around
+    an anchor hold its run and what the run's features see."""
+    anchors = [m.start() for m in _ANCHOR.finditer(text)]
+    if not anchors:
+        return
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, around = [a for a, _ in words], REACH + SIGHT + 1
+    parts: list[list[int]] = []
+    for a in anchors:
+        k = bisect_right(starts, a) - 1
+        low, high = max(0, k - around), min(len(words), k + around + 1)
+        if parts and low <= parts[-1][1]:
+            parts[-1][1] = high
         else:
-            out.append([a, b])
-    return [(a, [t.span() for t in _TOKEN.finditer(text, a, b)]) for a, b in out]
+            parts.append([low, high])
+    marks = {*anchors}
+    for low, high in parts:
+        spans = tokens_of(text, words[low][0], words[high - 1][1])
+        free: list[list[int]] = []
+        for k, (a, _) in enumerate(spans):
+            if a in marks:
+                if free and k - REACH <= free[-1][1]:
+                    free[-1][1] = min(len(spans), k + REACH + 1)
+                else:
+                    free.append([max(0, k - REACH), min(len(spans), k + REACH + 1)])
+        for first, last in free:
+            yield Run(spans, first, last, low == 0 and first == 0, high == len(words) and last == len(spans))
 
 
 def _shape(token: str) -> str:
@@ -97,19 +142,27 @@ def _shape(token: str) -> str:
     return ("X" if token.isupper() else "x") + ("1" if len(token) == 1 else "") if c.isalpha() else c
 
 
+@lru_cache(1 << 17)
 def _hash(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "replace")) % BUCKETS
 
 
-def token_features(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
-    shapes = [_shape(text[a:b]) for a, b in spans]
-    glued = [k > 0 and spans[k - 1][1] == spans[k][0] for k in range(len(spans))] + [False]
-    near = lambda k: shapes[k] if 0 <= k < len(shapes) else "#"
-    small = [text[a:b].lower() if b - a <= 3 and not text[a].isdigit() else "" for a, b in spans]
-    out = []
-    for k, s in enumerate(shapes):
-        left, right = "+" if glued[k] else "_", "+" if glued[k + 1] else "_"
-        out.append([_hash(f) for f in (f"0{s}", f"1{near(k - 1)}{left}{s}", f"2{s}{right}{near(k + 1)}", f"3{near(k - 2)}|{near(k - 1)}{left}{s}", f"4{s}{right}{near(k + 1)}|{near(k + 2)}", f"5{near(k - 1)}{left}{s}{right}{near(k + 1)}", f"6{small[k]}", f"7{near(k - 3)}|{near(k - 2)}|{near(k - 1)}|{s}")])
+def token_features(text: str, spans: list[tuple[int, int]], first: int = 0, last: int | None = None) -> np.ndarray:
+    """Hashed features of tokens first to last, which see the others."""
+    last = len(spans) if last is None else last
+    low, high = max(0, first - SIGHT), min(len(spans), last + SIGHT)
+    shapes = ["#"] * SIGHT + [_shape(text[a:b]) for a, b in spans[low:high]] + ["#"] * SIGHT
+    glue = ["+" if k and spans[k - 1][1] == spans[k][0] else "_" for k in range(low, high)] + ["_"]
+    if high < len(spans) and spans[high - 1][1] == spans[high][0]:
+        glue[-1] = "+"
+    out = np.empty((last - first, WIDTH), np.int16)
+    for k in range(first, last):
+        i = k - low
+        p3, p2, p1, s, n1, n2 = shapes[i : i + 6]
+        left, right = glue[i], glue[i + 1]
+        a, b = spans[k]
+        small = text[a:b].lower() if b - a <= 3 and not "0" <= text[a] <= "9" else ""
+        out[k - first] = [_hash(f) for f in (f"0{s}", f"1{p1}{left}{s}", f"2{s}{right}{n1}", f"3{p2}|{p1}{left}{s}", f"4{s}{right}{n1}|{n2}", f"5{p1}{left}{s}{right}{n1}", f"6{small}", f"7{p3}|{p2}|{p1}|{s}")]
     return out
 
 
@@ -126,32 +179,40 @@ class Field:
         return [self.weights, self.moves, self.first]
 
 
-def _padded(rows: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([*map(len, rows)])
-    out = np.zeros((len(rows), sizes.max(), WIDTH), np.int32)
+    out = np.zeros((len(rows), sizes.max(), WIDTH), np.int16)
     for k, r in enumerate(rows):
         out[k, : len(r)] = r
     return out, sizes
 
 
-def decode(field: Field, rows: list[list[list[int]]]) -> list[np.ndarray]:
-    """The best tags of each segment."""
+def decode(field: Field, rows: list[np.ndarray], opens: list[bool] | None = None, closes: list[bool] | None = None) -> list[np.ndarray]:
+    """The best tags of each run's features; a run that doesn't open (close) its text follows (precedes) the
+    tag outside. Runs of like length are decoded together."""
+    opens, closes = opens or [True] * len(rows), closes or [True] * len(rows)
     out: list[np.ndarray] = [np.zeros(0, int)] * len(rows)
-    order = sorted((k for k in range(len(rows)) if rows[k]), key=lambda k: len(rows[k]))
+    order = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: -len(rows[k]))
     while order:
-        batch: list[int] = []
-        while order and (not batch or (len(batch) + 1) * len(rows[order[0]]) <= BATCH_TOKENS):
-            batch.append(order.pop(0))
+        batch = [order.pop()]
+        while order and (len(batch) + 1) * len(rows[order[-1]]) <= BATCH_TOKENS:
+            batch.append(order.pop())
         x, sizes = _padded([rows[k] for k in batch])
-        emit = field.weights[x].sum(axis=2)
-        score, back = field.first + emit[:, 0], np.zeros(emit.shape, np.int8)
-        for t in range(1, emit.shape[1]):
+        back = np.zeros((*x.shape[:2], len(TAGS)), np.int8)
+        score = np.where(np.array([opens[k] for k in batch])[:, None], field.first, field.moves[0])
+        for t in range(x.shape[1]):
+            if t % STEPS == 0:
+                emit = field.weights[x[:, t : t + STEPS]].sum(axis=2)
+            if t == 0:
+                score = score + emit[:, 0]
+                continue
             each = score[:, :, None] + field.moves
             live = (t < sizes)[:, None]
             back[:, t] = np.where(live, each.argmax(axis=1), np.arange(len(TAGS)))
-            score = np.where(live, each.max(axis=1) + emit[:, t], score)
-        tag, path = score.argmax(axis=1), np.zeros(emit.shape[:2], int)
-        for t in range(emit.shape[1] - 1, -1, -1):
+            score = np.where(live, each.max(axis=1) + emit[:, t % STEPS], score)
+        score = score + np.where(np.array([closes[k] for k in batch])[:, None], 0, field.moves[:, 0])
+        tag, path = score.argmax(axis=1), np.zeros(x.shape[:2], np.int8)
+        for t in range(x.shape[1] - 1, -1, -1):
             path[:, t] = tag
             tag = back[np.arange(len(batch)), t, tag] if t else tag
         for k, p, n in zip(batch, path, sizes):
@@ -165,13 +226,12 @@ def _log_sum(v: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 60, rate: float = 0.15, penalty: float = 1e-4) -> Field:
-    """examples: (text, labelled spans)."""
+    """examples: (text, labelled spans), each text a whole sequence."""
     rows, tags = [], []
     for text, spans in examples:
-        for _, tokens in segments(text):
-            if tokens:
-                rows.append(token_features(text, tokens))
-                tags.append([_tag_of(a, b, spans) for a, b in tokens])
+        if tokens := tokens_of(text):
+            rows.append(token_features(text, tokens))
+            tags.append([_tag_of(a, b, spans) for a, b in tokens])
     n = len(TAGS)
     field = Field(np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros(n))
     if not rows:
@@ -220,31 +280,53 @@ def _tag_of(a: int, b: int, spans: list[tuple[str, int, int]]) -> int:
 _LEAST = {"ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
 
 
+def spans_of(tokens: list[tuple[int, int]], tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the stretches that the tags mark."""
+    spans: list[list] = []
+    before = ""
+    for (a, b), tag in zip(tokens, tags):
+        name = TAGS[tag]
+        kind = name[2:]
+        if kind and name[0] == "I" and before == kind:
+            spans[-1][2] = b
+        elif kind:
+            spans.append([kind, a, b])
+        before = kind
+    return [(k, a, b) for k, a, b in spans]
+
+
 def added_spans(field: Field, texts: list[str], base: list[dict[str, list[tuple[int, int]]]]) -> list[list[tuple[str, int, int]]]:
     """The field's spans that overlap no base span."""
-    parts = [(k, tokens) for k, t in enumerate(texts) for _, tokens in segments(t)]
-    tags = decode(field, [token_features(texts[k], tokens) for k, tokens in parts])
+    runs = [(k, r) for k, t in enumerate(texts) for r in runs_of(t)]
+    tags = decode(field, [token_features(texts[k], r.spans, r.first, r.last) for k, r in runs], [r.opens for _, r in runs], [r.closes for _, r in runs])
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (k, tokens), path in zip(parts, tags):
-        taken = [s for spans in base[k].values() for s in spans]
-        spans: list[list] = []
-        for (a, b), tag in zip(tokens, path):
-            name = TAGS[tag]
-            if name == "O":
-                spans.append([])
-            elif name[0] == "I" and spans and spans[-1] and spans[-1][0] == name[2:]:
-                spans[-1][2] = b
-            else:
-                spans.append([name[2:], a, b])
-        for s in spans:
-            if s and not any(s[1] < e and a < s[2] for a, e in taken) and _plausible(s[0], texts[k][s[1] : s[2]]):
-                out[k].append((s[0], s[1], s[2]))
+    taken = [_merged([s for spans in b.values() for s in spans]) for b in base]
+    for (k, r), path in zip(runs, tags):
+        if path.any():
+            out[k] += [(kind, a, b) for kind, a, b in spans_of(r.spans[r.first : r.last], path) if _plausible(kind, texts[k][a:b]) and not _overlaps(taken[k], a, b)]
     return out
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union, both ascending."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _overlaps(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    k = bisect_right(taken[1], a)
+    return k < len(taken[0]) and taken[0][k] < b
+
+
 def _plausible(kind: str, found: str) -> bool:
     if kind == "email":
-        return "." in found and ("@" in found or "at" in found.lower())
+        return "." in found and bool(_MAIL_SIGN.search(found))
     low, high = _LEAST[kind]
     return low <= len(_NO_DIGIT.sub("", found)) <= high and (kind != "ip" or found.count(".") == 3)
 
@@ -300,7 +382,9 @@ def find_personal_data(documents: DataFrame, field: Field) -> DataFrame:
     base_sha256 of the base spans; spans, all of them, and n_added, those of the field.
 
     Spans are kind:start:end in code points, end exclusive, by kind as listed, then start. Null
-    counts as empty; repeated rows are searched one by one; other columns are ignored. No shuffle.
+    counts as empty, with no spans; an empty table gives no rows; repeated rows are searched one by
+    one; of paths with equal scores the one with the lower tags is taken; other columns are ignored.
+    Time and memory grow in proportion to a text's length. No shuffle.
     """
     from hashlib import sha256
 

@@ -41,6 +41,76 @@ def test_long_runs_take_linear_time():
         pii.base_spans(run)
 
 
+def test_long_texts_take_linear_time():
+    """Dense with spans, with and without personal data: eight times the text, at most some sixteen times the time."""
+    import time
+
+    unit = "mail ann.b@x.org or bob (at) host.com, call 555-123-4567 or +1 (183) 555-1276 from 10.0.0.1 "
+    seconds = []
+    for n in (200, 1600):
+        text, began = unit * n, time.process_time()
+        base = pii.base_spans(text)
+        added = pii.added_spans(FIELD, [text], [base])[0]
+        seconds.append(time.process_time() - began)
+        assert len(base["email"]) == n and len(added) >= n
+    assert seconds[1] < 16 * seconds[0] + 1
+    began = time.process_time()
+    prose = "some plain words without any sign " * 300_000
+    assert pii.added_spans(FIELD, [prose + "(at)"], [pii.base_spans(prose)]) == [[]] and time.process_time() - began < 20
+
+
+def whole_decode(field, text):
+    """Plain Viterbi over all tokens; a tag other than outside only within REACH of an anchor."""
+    import numpy as np
+
+    tokens = pii.tokens_of(text)
+    marks = {m.start() for m in re.finditer(r"[0-9]+|@|\(at\)|\[at\]", text, re.I)}
+    anchors = [k for k, (a, _) in enumerate(tokens) if a in marks]
+    free = {i for k in anchors for i in range(k - pii.REACH, k + pii.REACH + 1)}
+    emit = field.weights[pii.token_features(text, tokens)].sum(axis=1) if tokens else np.zeros((0, len(pii.TAGS)))
+    for k in range(len(tokens)):
+        if k not in free:
+            emit[k, 1:] = -np.inf
+    score, back = field.first, []
+    for k, e in enumerate(emit):
+        if k:
+            each = score[:, None] + field.moves
+            back.append(each.argmax(axis=0))
+            score = each.max(axis=0)
+        score = score + e
+    path = [int(score.argmax())] if tokens else []
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return tokens, path[::-1]
+
+
+def test_runs_decode_as_whole_texts(texts):
+    """On documents, and with random weights, where the field would mark far tokens if it could."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    wild = pii.Field(rng.normal(size=(pii.BUCKETS, len(pii.TAGS))), rng.normal(size=(len(pii.TAGS),) * 2), rng.normal(size=len(pii.TAGS)))
+    odd = ["", "no sign", "1", "a" * 300 + "(AT)" + "b" * 300 + ".org", "x y z " * 30 + "q[at]r.com" + " x y z" * 30 + " 55", "\u0663 é1é ñ@ñ . , - " * 9]
+    some = [t for t in texts.values() if len(t) < 20_000][:60]
+    for field in (FIELD, wild):
+        for text in odd + some:
+            got = {}
+            runs = [*pii.runs_of(text)]
+            for r, path in zip(runs, pii.decode(field, [pii.token_features(text, r.spans, r.first, r.last) for r in runs], [r.opens for r in runs], [r.closes for r in runs])):
+                got |= dict(zip(r.spans[r.first : r.last], map(int, path)))
+            tokens, want = whole_decode(field, text)
+            assert [got.get(t, 0) for t in tokens] == want
+
+
+def test_added_spans_on_documents(documents, texts):
+    for r in pii.find_personal_data(documents, FIELD).collect():
+        base = brute_base(texts[r.doc_id])
+        taken = [s for spans in base.values() for s in spans]
+        found = [(k, a, b) for k, a, b in pii.spans_of(*whole_decode(FIELD, texts[r.doc_id])) if pii._plausible(k, texts[r.doc_id][a:b]) and not any(a < e and s < b for s, e in taken)]
+        want = sorted([(k, *s) for k, spans in base.items() for s in spans] + found, key=lambda x: (pii.KINDS.index(x[0]), x[1:]))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in want) and r.n_added == len(found)
+
+
 def test_field_finds_held_out_cases():
     cases = pii.labelled_table(300, seed=77)
     empty = {k: [] for k in pii.KINDS}
@@ -55,10 +125,11 @@ def test_field_decodes_as_by_enumeration():
 
     rng = np.random.default_rng(1)
     field = pii.Field(rng.normal(size=(pii.BUCKETS, len(pii.TAGS))), rng.normal(size=(len(pii.TAGS),) * 2), rng.normal(size=len(pii.TAGS)))
-    rows = [[list(map(int, rng.integers(0, pii.BUCKETS, pii.WIDTH))) for _ in range(n)] for n in (1, 3, 2, 4)]
-    for row, got in zip(rows, pii.decode(field, rows)):
+    rows = [rng.integers(0, pii.BUCKETS, (n, pii.WIDTH)).astype(np.int16) for n in (1, 3, 2, 4, 4, 3)]
+    opens, closes = [True, True, False, True, False, True], [True, True, True, False, False, True]
+    for row, o, c, got in zip(rows, opens, closes, pii.decode(field, rows, opens, closes)):
         emit = [field.weights[f].sum(axis=0) for f in row]
-        value = lambda p: field.first[p[0]] + sum(e[t] for e, t in zip(emit, p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        value = lambda p: (field.first if o else field.moves[0])[p[0]] + sum(e[t] for e, t in zip(emit, p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:])) + (0 if c else field.moves[p[-1], 0])  # noqa: B023, E731
         assert tuple(got) == max(itertools.product(range(len(pii.TAGS)), repeat=len(row)), key=value)
 
 

@@ -176,9 +176,46 @@ def test_license_copies_have_a_span_each(spark):
     got = index.scan(text)
     assert [text[a:b].strip(".") for n, a, b, _ in got if n == "ISC"] == [x.strip(".") for x in (isc, isc, split, split)]
     assert [text[a:b].strip(".") for n, a, b, _ in got if n == "BSD-3-Clause"] == [bsd.strip(".")] * 2
-    assert [text[a:b] for n, a, b, _ in got if n == "MIT#1"] == [mit.strip(".")] * 2 and len(got) == 8
-    row = LS.scan_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string")).head()
-    assert (row.n_licenses, row.licenses, len(row.spans)) == (3, "BSD-3-Clause,ISC,MIT#1", 8)
+    assert [text[a:b] for n, a, b, _ in got if n == "MIT#1"] == [mit.strip(".")] * 2
+    assert [n for n, *_ in got] == ["BSD-3-Clause"] * 2 + ["BSD-notice"] * 2 + ["ISC"] * 4 + ["MIT#1"] * 2
+    row = LS.scan_licenses(spark.createDataFrame([(1, text), (1, text)], "doc_id int, text string")).collect()
+    assert [(r.n_licenses, r.licenses, len(r.spans)) for r in row] == [(4, "BSD-3-Clause,BSD-notice,ISC,MIT#1", 10)] * 2
+
+
+def test_bands_alone_retrieve_what_containment_finds(documents, texts):
+    """Recall of the bands over documents, over copies with words put in or changed, and over texts read as one sequence."""
+    import random
+
+    index, rng = LS.Index(dict(LS.TEMPLATES)), random.Random(6)
+    cases = [t for t in texts.values()]
+    for name, body in LS.TEMPLATES.items():
+        for k in range(30):
+            words = body.split()
+            for _ in range(len(words) // 60 * (k % 3 > 0)):
+                at = rng.randrange(len(words))
+                words[at : at + (k % 3 == 1)] = ["changed"]
+            cases.append(" ".join(["pad"] * rng.randrange(900) + words + ["pad"] * rng.randrange(900)))
+    sequence = index.scan_all(cases)
+    right = total = 0
+    for text, found in zip(cases, sequence):
+        own = {*LS.shingles_of(LS.words_of(text))}
+        want = {n for n, x in LS.TEMPLATES.items() if len(own & (s := {*LS.shingles_of(LS.words_of(x))})) >= 0.8 * len(s)}
+        alone = {n for n, *_ in index.retrieved(LS.words_of(text))}
+        assert {n for n, *_ in found} == {n for n, *_ in index.scan(text)}
+        right, total = right + len(want & alone), total + len(want)
+    assert total > 400 and right == total
+
+
+def test_license_scan_of_a_long_text_takes_linear_time():
+    import time
+
+    index = LS.Index(dict(LS.TEMPLATES))
+    body, seconds = LS.TEMPLATES["ISC"] + " and some other words between the copies ", []
+    for n in (400, 3200):
+        began = time.process_time()
+        assert sum(x[0] == "ISC" for x in index.scan(body * n)) == n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 16 * seconds[0] + 1
 
 
 def brute_hits(text, items, size=10):

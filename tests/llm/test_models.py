@@ -101,17 +101,23 @@ def recursion(word):
     return a[-1]
 
 
-def test_marginals_and_expected_counts():
-    words = ["the", "a", "naïve", "漢x字", "x" * 70, "͸", "ereation"]
+def test_marginals():
+    words = ["the", "a", "naïve", "漢x字", "x" * 70, "͸", "ereation", "lange漢" * 400]
     for got, w in zip(LATTICE.marginals([w.encode() for w in words]), words):
-        assert got == pytest.approx(recursion(w), abs=1e-9)
+        assert got == pytest.approx(recursion(w), abs=1e-8)
     assert np.exp(PRIOR[np.isfinite(PRIOR)]).sum() == pytest.approx(1)
-    known = ["the", "naïve", "ereation"]
-    expected = LATTICE.expected([w.encode() for w in known], [3, 1, 2])
-    chars = sum(n * len(p) for n, (p, _, kind) in zip(expected, VOCABULARY) if kind == "n")
-    assert chars == pytest.approx(sum(k * (1 + len(w)) for k, w in zip((3, 1, 2), known)))
-    logp, end = LM.fitted(PRIOR, expected, 5)
-    assert np.exp(logp).sum() + math.exp(end) == pytest.approx(1)
+    assert LATTICE.marginals([]).shape == (0,)
+
+
+def test_one_long_word_takes_linear_time():
+    import time
+
+    seconds = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        assert LATTICE.marginals([b"unspaced" * n])[0] < 0
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 16 * seconds[0] + 1
 
 
 @pytest.mark.parametrize("hot_words", [LM.HOT_WORDS, 40])
@@ -125,8 +131,30 @@ def test_scores_like_sql_and_recursion(documents, texts, hot_words):
         r = rows[doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out, n, known, train)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
-    a, b = sorted(rows)[:2]
-    assert rows[a].score / rows[a].n_tokens < -1
+    # the score by the plain recursion over every word, with the vocabulary's scores as they are
+    marginal, ends = {}, len(texts) - len(held)
+    stop = (ends + 1) / (train + 2)
+    for i, t in texts.items():
+        words = [w.decode() for w in t.encode().lower().split()]
+        for w in words:
+            if w not in marginal:
+                marginal[w] = recursion(w)
+        want = math.log(stop) + sum(marginal[w] + math.log(1 - stop) for w in words)
+        assert rows[i].score == pytest.approx(want / math.log(10), rel=1e-8)
+
+
+def test_scores_do_not_depend_on_order_and_long_words_are_hot(spark):
+    long = "y" * 500
+    data = [(k, f"{long} word{k % 7} Word{k} rare{k} {long}") for k in range(60)]
+    a = LM.score(spark.createDataFrame(data, "doc_id long, text string").repartition(5), MODEL, 3).collect()
+    b = LM.score(spark.createDataFrame(data[::-1], "doc_id long, text string").repartition(2), MODEL).collect()
+    assert sorted(a) == sorted(b) and all(r.n_tokens == 6 for r in a)
+    one = next(r for r in a if r.doc_id == 0)
+    words = [long, "word0", "word0", "rare0", long]
+    ends = sum(zlib.crc32(str(k).encode()) % 7 != 2 for k in range(60))
+    stop = (ends + 1) / (one.train_tokens + 2)
+    assert one.train_tokens == 6 * ends
+    assert one.score * math.log(10) == pytest.approx(math.log(stop) + sum(recursion(w) + math.log(1 - stop) for w in words), rel=1e-8)
 
 
 def test_language_model_odd_rows(odd, empty):

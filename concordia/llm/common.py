@@ -75,6 +75,23 @@ def map_batches(df: DataFrame, start: Callable[[], Callable], schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, start: Callable[[], Callable]) -> DataFrame:
+    """The rows of df(text) whose text passes, with all columns whatever their names. start() gives what turns
+    UTF-8 texts (null as empty) into a list of booleans."""
+    at = df.columns.index("text")
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+    def begin():
+        passes = start()
+
+        def each(batch):
+            yield batch.filter(pa.array(passes([(t or "").encode() for t in batch.column(at).to_pylist()]), pa.bool_()))
+
+        return each
+
+    return map_batches(plain, begin, plain.schema).toDF(*df.columns)
+
+
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in columns.items()})
 

@@ -2,19 +2,24 @@
 
 A text is its words in order. Every word of the benchmark gets a symbol (one code point), every
 other word the symbol 0, so the automaton runs over word symbols and a match gives word positions
-at once; word positions are mapped to offsets of the original text where spans are asked for.
+at once; word positions are mapped to offsets of the original text where spans are asked for. A text
+is parted into words and scanned once.
+
+A benchmark whose windows take over SHARD_BYTES is dealt to several automata, one after another:
+each shard is collected, sent, used to write down its matches, and dropped before the next, so the
+driver and the workers hold one at a time whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Shared, batch_of, map_batches, materialize
+from .common import Shared, batch_of, filter_texts, map_batches, materialize, release
 
 #: Words of a window.
 WINDOW = 10
@@ -76,16 +81,25 @@ def window_table(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return map_batches(rows, start, "window binary, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def shards(benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[bytes, list[str]]]]:
-    """The windows dealt by their hash to as many lists as keep each within shard_bytes. The size is
-    measured first and one shard is collected at a time."""
+Windows = list[tuple[bytes, list[str]]]
+
+
+def shards(benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> tuple[int, Iterator[Windows]]:
+    """How many lists of at most about shard_bytes the windows are dealt to by their hash, and these, each
+    collected when it is asked for."""
     table = window_table(benchmark, size)
     total = table.agg(F.sum(F.octet_length("window") + 16 * F.size("items"))).head()[0] or 0
     n = -(-total // shard_bytes) or 1
-    if n > 1:
-        table = materialize(table, "windows")
-    part = lambda k: table if n == 1 else table.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == k)
-    return [[(bytes(r.window), list(r["items"])) for r in part(k).toLocalIterator()] for k in range(n)]
+
+    def parts():
+        rows = table if n == 1 else materialize(table, "windows")
+        for k in range(n):
+            part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == k)
+            yield [(bytes(r.window), list(r["items"])) for r in part.toLocalIterator()]
+        if n > 1:
+            release(rows)
+
+    return n, parts()
 
 
 def _covered(found: list[tuple[int, int]]) -> int:
@@ -109,36 +123,81 @@ def spans_of(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _ in out]
 
 
+_RESULT = "n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<struct<start:int,end:int>>, contaminated boolean"
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each row of documents(doc_id, text): doc_id, n_words, n_hit, n_items, items
     (sorted), spans (struct start, end; of the original text), contaminated.
 
-    A null text has no words and isn't contaminated; an empty benchmark hits nothing; repeated rows
-    are judged one by one; other columns are ignored. One scan of the text and no shuffle; a
-    benchmark beyond shard_bytes adds one automaton, and one Python stage, for each shard.
+    A null or empty text has no words and isn't contaminated; an empty benchmark, or one of null texts,
+    hits nothing; equal items are all named; an empty table gives no rows; repeated rows are judged one
+    by one; other columns are ignored. One scan of each text and no shuffle. For a benchmark beyond
+    shard_bytes, one scan for each shard, and the matches of different texts are joined to the rows.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = shards(benchmark, size, shard_bytes)
-    schema = f"doc_id {kind}, text binary, hits array<int>, items array<string>"
-    rows = rows.select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    n, parts = shards(benchmark, size, shard_bytes)
+    if n == 1:
+        return map_batches(rows, _judge(Shared(documents.sparkSession, next(parts))), f"doc_id {kind}, {_RESULT}")
+    rows, found = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit(b"")), 256)), []
     for part in parts:
-        rows = map_batches(rows, _scan(Shared(spark, part)), schema)
-    return map_batches(rows, _close, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<struct<start:int,end:int>>, contaminated boolean")
+        shared = Shared(documents.sparkSession, part)
+        found.append(materialize(map_batches(rows.select("sha", "text"), _matches(shared), "sha string, hits array<int>, items array<string>").dropDuplicates(["sha"]), "matches"))
+        shared.sent.destroy()
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    joined = every.groupBy("sha").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return map_batches(rows.join(joined, "sha", "left").select("doc_id", "text", "hits", "items"), _close, f"doc_id {kind}, {_RESULT}")
 
 
-def _scan(part):
+def _result(doc_id: pa.Array, texts: list[bytes | None], n_words: list[int], hits: list[list[tuple[int, int]]], items: list[list[str]]) -> pa.RecordBatch:
+    spans = [[{"start": a, "end": b} for a, b in spans_of(t.decode("utf-8", "replace"), h)] if h else [] for t, h in zip(texts, hits)]
+    n_hit = [_covered(h) for h in hits]
+    return batch_of(
+        doc_id=doc_id, n_words=pa.array(n_words, pa.int64()), n_hit=pa.array(n_hit, pa.int64()), n_items=pa.array([len(x) for x in items], pa.int64()), items=pa.array(items, pa.list_(pa.string())),
+        spans=pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), contaminated=pa.array([n > 0 for n in n_hit], pa.bool_()),
+    )
+
+
+def _found(auto: Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+    """Hit word ranges, and the items that have their windows."""
+    found = auto.matches(words)
+    return [(a, b) for a, b, _ in found], sorted({i for w in {w for _, _, w in found} for i in auto.items[w]})
+
+
+def _judge(part: Shared):
     def start():
         auto = part.build(Automaton)
 
         def each(batch):
-            hits, items = batch["hits"].to_pylist(), batch["items"].to_pylist()
-            for k, text in enumerate(batch["text"].to_pylist()):
-                if found := auto.matches(words_of(text)):
-                    hits[k] = [*hits[k], *(x for a, b, _ in found for x in (a, b))]
-                    items[k] = sorted({*items[k], *(i for w in {w for _, _, w in found} for i in auto.items[w])})
-            yield batch_of(doc_id=batch["doc_id"], text=batch["text"], hits=pa.array(hits, pa.list_(pa.int32())), items=pa.array(items, pa.list_(pa.string())))
+            texts = batch["text"].to_pylist()
+            n_words, found = [], []
+            for text in texts:
+                words = words_of(text)
+                n_words.append(len(words))
+                found.append(_found(auto, words))
+            yield _result(batch["doc_id"], texts, n_words, [h for h, _ in found], [x for _, x in found])
+
+        return each
+
+    return start
+
+
+def _matches(part: Shared):
+    """The matches of one shard, in the texts that have any."""
+
+    def start():
+        auto = part.build(Automaton)
+
+        def each(batch):
+            found = [(sha, *_found(auto, words_of(t))) for sha, t in zip(batch["sha"].to_pylist(), batch["text"].to_pylist())]
+            found = [x for x in found if x[1]]
+            yield batch_of(
+                sha=pa.array([x[0] for x in found], pa.string()), hits=pa.array([[p for ab in x[1] for p in ab] for x in found], pa.list_(pa.int32())),
+                items=pa.array([x[2] for x in found], pa.list_(pa.string())),
+            )
 
         return each
 
@@ -147,37 +206,36 @@ def _scan(part):
 
 def _close():
     def each(batch):
-        n_words, n_hit, spans = [], [], []
-        for text, flat in zip(batch["text"].to_pylist(), batch["hits"].to_pylist()):
-            n_words.append(len(words_of(text)))
-            hits = [*zip(flat[::2], flat[1::2])]
-            n_hit.append(_covered(hits))
-            spans.append([{"start": a, "end": b} for a, b in spans_of(text.decode("utf-8", "replace"), hits)] if hits else [])
-        items = batch["items"].to_pylist()
-        yield batch_of(
-            doc_id=batch["doc_id"], n_words=pa.array(n_words, pa.int64()), n_hit=pa.array(n_hit, pa.int64()), n_items=pa.array([len(x) for x in items], pa.int64()), items=pa.array(items, pa.list_(pa.string())),
-            spans=pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), contaminated=pa.array([n > 0 for n in n_hit]),
-        )
+        texts, flat = batch["text"].to_pylist(), [x or [] for x in batch["hits"].to_pylist()]
+        items = [sorted(x or []) for x in batch["items"].to_pylist()]
+        yield _result(batch["doc_id"], texts, [len(words_of(t)) for t in texts], [[*zip(x[::2], x[1::2])] for x in flat], items)
 
     return each
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The rows whose text has no window of the benchmark, with all their columns."""
-    at = documents.columns.index("text")
+    """The rows whose text has no window of the benchmark, with all their columns.
+
+    Null and empty texts have none and stay; an empty benchmark keeps every row; repeated rows stay or
+    go together; an empty table stays empty. For a benchmark beyond shard_bytes the rows that are left
+    are written after each shard.
+    """
+    n, parts = shards(benchmark, size, shard_bytes)
     rows = documents
-    for part in shards(benchmark, size, shard_bytes):
+    for part in parts:
         shared = Shared(documents.sparkSession, part)
 
         def start(shared=shared):
             auto = shared.build(Automaton)
-
-            def each(batch):
-                yield batch.filter(pa.array([not auto.matches(words_of(t.encode() if t else b"")) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-            return each
-
-        rows = map_batches(rows, start, documents.schema)
+            return lambda texts: [not auto.matches(words_of(t)) for t in texts]
+
+        left = filter_texts(rows, start)
+        if n == 1:
+            return left
+        before, rows = rows, materialize(left, "clean")
+        shared.sent.destroy()
+        if before is not documents:
+            release(before)
     return rows
 
 

@@ -251,7 +251,12 @@ def test_decontamination_cases(spark, odd, empty):
     assert (got[1].n_words, got[1].n_hit, got[1]["items"]) == (5, 2, ["a", "a2"]) and docs.head().text[got[1].spans[0].start : got[1].spans[0].end] == "two words"
     assert (got[2].n_hit, got[3].n_words, got[3].n_hit, got[4].n_hit, got[5].n_hit) == (2, 0, 0, 10, 11)
     assert [r.doc_id for r in DC.keep_clean(docs, items).collect()] == [3]
+    assert [r.doc_id for r in DC.keep_clean(docs, items, shard_bytes=60).collect()] == [3]
+    twice = docs.unionByName(docs)
+    assert sorted(map(repr, DC.decontaminate(twice, items).collect())) == sorted(map(repr, DC.decontaminate(twice, items, shard_bytes=60).collect())) and DC.shards(items, shard_bytes=60)[0] > 1
     assert DC.decontaminate(odd, items).count() == odd.count() and DC.keep_clean(odd, items.limit(0)).columns == odd.columns
+    seven = [r for r in DC.decontaminate(odd, spark.createDataFrame([(1, "b c d"), (2, "B c d")], "item_id int, text string")).collect() if r.doc_id == 7]
+    assert [(r.n_words, r.n_hit, r["items"]) for r in seven] == [(12, 3, ["1", "2"])] * 2
     assert DC.decontaminate(odd, items.limit(0)).filter("contaminated").count() == 0
     assert DC.decontaminate(empty, items).count() == pii.find_personal_data(empty, FIELD).count() == LS.scan_licenses(empty).count() == 0
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Shared, batch_of, map_batches
 from .quality import fold
@@ -25,8 +25,8 @@ FAMILIES = {
     "pl": "slavic", "ru": "slavic", "cs": "slavic", "uk": "slavic", "bg": "slavic",
 }
 BUCKETS = 4096
-#: Bounds of the training sample: about so many rows of each language, and bytes of a text that is taken.
-SAMPLE_ROWS, SAMPLE_BYTES = 500, 64_000
+#: Bound of the training sample: rows of each language, whose texts are taken whole.
+SAMPLE_ROWS = 500
 PENALTY, ROUNDS = 1e-3, 150
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -111,25 +111,28 @@ def train(texts: list[str], langs: list[str]) -> Identifier:
 
 
 def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> Identifier:
-    """Learns from documents(doc_id, text, lang) outside the held-out fold with a text and a lang."""
+    """Learns from documents(doc_id, text, lang) outside the held-out fold with a text and a lang: of each
+    language the `rows` texts whose doc_id hashes least, the same each time. Equal rows count once; an
+    empty table gives an identifier without languages, one language is predicted always."""
     known = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return Identifier()
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, rows / n) * (1 << 30)))).otherwise(share)
-    few = known.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share) & (F.octet_length("text") <= SAMPLE_BYTES))
-    got = sorted(few.dropDuplicates(["doc_id", "lang"]).collect(), key=lambda r: (str(r.doc_id), r.lang))
-    return train([r.text for r in got], [r["lang"] for r in got])
+    # first the ids and digests, without the texts; only the chosen texts are collected
+    keys = known.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
+    few = keys.withColumn("n", first).filter(F.col("n") <= rows).drop("n")
+    # broadcast: `rows` ids of each language
+    texts = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["lang", "doc_id", "h"]).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
+    got = sorted(texts.collect(), key=lambda r: (str(r.doc_id), r.lang, r.h))
+    return train([r.text for r in got], [r["lang"] for r in got]) if got else Identifier()
 
 
 def identify(documents: DataFrame, found: Identifier) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of documents(doc_id, text).
 
-    lang_pred is a language of the training rows, or und (score 0) for a text that is null or has no
-    letter; score is the product of the probabilities of the closest family and language decision.
-    Repeated rows are judged one by one; other columns are ignored. No shuffle.
+    lang_pred is a language of the training rows, or und (score 0) for a text that is null, empty or has no
+    letter; score is the product of the probabilities of the closest family and language decision. Of
+    names with equally many wins the one with the larger margins, then the first by name, is taken.
+    Repeated rows are judged one by one and alike; an empty table gives no rows; a null doc_id is not
+    held out; other columns are ignored. No shuffle.
     """
     shared = Shared(documents.sparkSession, found)
 

@@ -3,7 +3,8 @@
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters, each a
 weight for every byte value at every place of a short span, slide over each chunk; every filter's
 largest response in a chunk is kept, and the mean and the maximum over the chunks go to a logistic
-output. It is trained by Adam on a bounded, balanced sample of labelled rows.
+output. It is trained by Adam on a balanced sample of labelled rows, whose number is bounded; their
+texts are taken whole, in training as in scoring.
 """
 
 from __future__ import annotations
@@ -14,14 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Shared, batch_of, map_batches
+from .common import Shared, batch_of, filter_texts, map_batches
 
 #: Bytes of a chunk, bytes from one chunk's start to the next, bytes under a filter, filters.
 CHUNK, STEP, SPAN, FILTERS = 256, 224, 4, 8
-#: Bounds of the training sample: rows of each label, bytes of a text that is taken, chunks that one
-#: text adds (evenly spaced). They bound the fit alone; scoring has no bound.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_CHUNKS = 1200, 64_000, 24
-EPOCHS, RATE, GROUP = 14, 0.01, 32
+#: Bound of the training sample: rows of each label. It bounds the fit alone; scoring has no bound.
+SAMPLE_ROWS = 600
+EPOCHS, RATE, GROUP = 20, 0.01, 32
 #: Chunks that are convolved at once (some 8 MB).
 SLICE = 1024
 
@@ -54,12 +54,18 @@ def _responses(net: Network, chunks: np.ndarray) -> np.ndarray:
     return out
 
 
-def pooled(net: Network, chunks: np.ndarray) -> np.ndarray:
-    """The largest response of each filter in each chunk, at least 0."""
-    out = np.empty((len(chunks), len(net.bias)), np.float32)
+def pooled(net: Network, chunks: np.ndarray, places: bool = False):
+    """The largest response of each filter in each chunk, at least 0; with places, also where it is."""
+    out, place = np.empty((len(chunks), len(net.bias)), np.float32), np.empty((len(chunks), len(net.bias)), np.intp)
     for i in range(0, len(chunks), SLICE):
-        out[i : i + SLICE] = _responses(net, chunks[i : i + SLICE]).max(axis=1)
-    return np.maximum(out + net.bias, 0)
+        r = _responses(net, chunks[i : i + SLICE])
+        if places:
+            place[i : i + SLICE] = r.argmax(axis=1)
+            out[i : i + SLICE] = np.take_along_axis(r, place[i : i + SLICE, None], axis=1)[:, 0]
+        else:
+            out[i : i + SLICE] = r.max(axis=1)
+    out = np.maximum(out + net.bias, 0)
+    return (out, place) if places else out
 
 
 def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
@@ -82,7 +88,6 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
         net.offset[0] = 0 if not labels else 20 if labels[0] else -20
         return net
     each = [chunks_of(t) for t in texts]
-    each = [c[np.linspace(0, len(c) - 1, SAMPLE_CHUNKS).astype(int)] if len(c) > SAMPLE_CHUNKS else c for c in each]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     first, second = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     step = 0
@@ -102,9 +107,7 @@ def _gradients(net: Network, each: list[np.ndarray], y: np.ndarray, weight: np.n
     chunks = np.concatenate(each)
     sizes = np.array([*map(len, each)])
     starts, doc = np.cumsum([0, *sizes])[:-1], np.repeat(np.arange(len(each)), sizes)
-    r = _responses(net, chunks)
-    place = r.argmax(axis=1)
-    pool = np.maximum(np.take_along_axis(r, place[:, None], axis=1)[:, 0] + net.bias, 0)
+    pool, place = pooled(net, chunks, places=True)
     mean, most = np.add.reduceat(pool, starts) / sizes[:, None], np.maximum.reduceat(pool, starts)
     p = 1 / (1 + np.exp(-(mean @ net.mean_weight + most @ net.max_weight + net.offset[0])))
     g = (p - y) * weight / len(each)
@@ -122,15 +125,16 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int]]:
-    """Up to `rows` labelled texts of each label, the same each time: those with the smallest hashes of
-    doc_id outside the held-out fold. A doc_id with both labels counts as 0."""
+    """Up to `rows` labelled whole texts of each label, the same each time: those with the smallest hashes
+    of doc_id outside the held-out fold. A doc_id with both labels counts as 0; of rows that repeat a
+    doc_id the least text is taken; null texts count as empty; labels without a document add nothing."""
     known = labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     few = known.filter("quality = 0").orderBy(*order).limit(rows).unionByName(known.filter("quality = 1").orderBy(*order).limit(rows))
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    got = texts.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r.doc_id)
-    return [bytes(r.text) for r in got], [int(r.quality) for r in got]
+    # broadcast: 2 * rows ids
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = sorted(texts.collect(), key=lambda r: r.doc_id)
+    return [r.text.encode() for r in got], [int(r.quality) for r in got]
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
@@ -140,8 +144,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Net
 def score(documents: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of documents(doc_id, text).
 
-    The score is the probability of label 1 from the whole text's bytes; a null text counts as
-    empty; repeated rows are scored one by one; other columns are ignored. No shuffle.
+    The score is the probability of label 1 from the whole text's bytes; a null or empty text is one
+    chunk of zeros; repeated rows are scored one by one and alike; a score of exactly 0.5 is label 1; an
+    empty table gives no rows; a null doc_id is not held out; other columns are ignored. No shuffle.
     """
     shared = Shared(documents.sparkSession, net)
 
@@ -159,16 +164,11 @@ def score(documents: DataFrame, net: Network) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, net: Network) -> DataFrame:
-    """The rows whose text has a score of at least 0.5, with all their columns."""
+    """The rows whose text has a score of at least 0.5, with all their columns, whatever these are called. Null
+    texts are judged as empty ones; repeated rows stay or go together; an empty table stays empty."""
     shared = Shared(documents.sparkSession, net)
-    at = documents.columns.index("text")
 
     def start():
-        def each(batch):
-            texts = [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
-            s = np.concatenate([probabilities(shared.value, texts[i : i + 128]) for i in range(0, len(texts), 128)])
-            yield batch.filter(pa.array(s >= 0.5))
-
-        return each
+        return lambda texts: [s >= 0.5 for i in range(0, len(texts), 128) for s in probabilities(shared.value, texts[i : i + 128])]
 
-    return map_batches(documents, start, documents.schema)
+    return filter_texts(documents, start)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batch_of, lower_ascii_words, map_batches, materialize
+from .common import batch_of, lower_ascii_words, map_batches, materialize, release, unused
 
 SHINGLE = 3
 SEED = 42
@@ -55,18 +55,23 @@ def fingerprint(data: bytes | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows with one doc_id apart; null as the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row of documents(doc_id, text)."""
+    """doc_id, th (a hash of the text), fp (the fingerprint as a signed long) for each row of documents(doc_id, text)."""
 
     def start():
         def each(batch):
             fp = np.array([fingerprint(t, size) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield batch_of(doc_id=batch["doc_id"], fp=pa.array(fp))
+            yield batch_of(doc_id=batch["doc_id"], th=batch["th"], fp=pa.array(fp))
 
         return each
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", F.col("text").cast("binary").alias("text")), start, f"doc_id {kind}, fp bigint")
+    return map_batches(documents.select("doc_id", text_hash(F.col("text")).alias("th"), F.col("text").cast("binary").alias("text")), start, f"doc_id {kind}, th bigint, fp bigint")
 
 
 def roots_of(fps: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -162,44 +167,59 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     edges = materialize(edges, "edges")
     while True:
+        last = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+        first = least
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = materialize(large, "large")
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         edges = materialize(small.select("a", F.col("m").alias("b")).unionByName(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        release(last, first, large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         if now == before:
             return edges
         before = now
 
 
+def _grouped(documents: DataFrame, size: int, max_list: int) -> DataFrame:
+    """doc_id, th, fp, head of each row: the struct (whether null, doc_id, th) of its component's first row, which
+    is the one with the smallest doc_id (null ids last), then the smallest th."""
+    rows = materialize(fingerprints(documents, size), "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    entries = materialize(rows.groupBy("fp").agg(F.min(own).alias("least")), "entries")
+    found = links(entries.select("fp"), max_list)
+    signed = found.select(F.greatest("fp", "root").alias("a"), F.least("fp", "root").alias("b"))
+    stars = components(signed).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    entries = entries.join(stars, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    entries = materialize(entries, "rooted")
+    heads = materialize(entries.groupBy("root").agg(F.min("least").alias("head")), "heads")
+    named = materialize(entries.join(heads, "root").select("fp", "head"), "named")
+    return rows.join(named, "fp")
+
+
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, max_list: int = MAX_LIST) -> DataFrame:
     """One row for each row of documents(doc_id, text): doc_id, fingerprint (16 hex digits),
     component_id (the smallest doc_id reachable over links of at most 3 differing bits).
 
     A text of fewer than `size` words is one shingle; a null or empty text has the fingerprint zero,
     linked like any other; rows with one doc_id and different texts stand in the component of each;
-    other columns are ignored.
+    a component whose ids are all null has a null component_id; an empty table gives no rows; other
+    columns are ignored.
     """
-    rows = materialize(fingerprints(documents, size), "fingerprints")
-    entries = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "entries")
-    found = links(entries.select("fp"), max_list)
-    signed = found.select(F.greatest("fp", "root").alias("a"), F.least("fp", "root").alias("b"))
-    stars = components(signed).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    entries = entries.join(stars, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    entries = materialize(entries, "rooted")
-    heads = materialize(entries.groupBy("root").agg(F.min("least_id").alias("component_id")), "heads")
-    named = materialize(entries.join(heads, "root").select("fp", "component_id"), "named")
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select("doc_id", hex16.alias("fingerprint"), "component_id")
+    return _grouped(documents, size, max_list).select("doc_id", hex16.alias("fingerprint"), F.col("head.doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns. Rows that
-    repeat a doc_id with different texts stay if one of them does."""
-    found = near_duplicates(documents).groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = found.filter("not stays").select(F.col("doc_id").alias("__gone"))
-    rows = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return rows.select(*documents.columns)
+    """One document of each component with all its columns, whatever these are called: the one with the
+    smallest doc_id, null ids last, and of texts that share this doc_id the one whose hash is least. Rows
+    that repeat a doc_id with an equal text are one document and stay or go together. Null and empty
+    texts are near each other; an empty table stays empty."""
+    found = _grouped(documents, SHINGLE, MAX_LIST)
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))
+    gone = found.filter(~stays).select("doc_id", "th").distinct().alias("g")
+    th = unused(documents, "th")
+    rows = documents.withColumn(th, text_hash(F.col("text"))).alias("d")
+    return rows.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{th}") == F.col("g.th")), "left_anti").drop(th)

@@ -132,10 +132,21 @@ def test_roots_in_a_list(values):
     assert [int(x) for x in got] == [int(fps[w]) for w in want]
 
 
+def test_one_of_a_doc_id_with_near_texts_stays(spark):
+    long = " ".join(f"w{k}" for k in range(400))
+    df = spark.createDataFrame([(5, long), (5, long + " end"), (None, long + " end"), (9, long), (None, "alone here now"), (4, "some other text")], "doc_id int, text string")
+    assert simhash.near_duplicates(df).select("component_id").distinct().count() == 3
+    assert sorted((r.doc_id or 0, r.text[:4]) for r in simhash.keep_one(df).collect()) == [(0, "alon"), (4, "some"), (5, long[:4])]
+
+
 def test_near_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
     zero = [r for r in rows if r.doc_id in (0, 2)]
     assert all(r.fingerprint == "0" * 16 and r.component_id == 0 for r in zero)
-    assert simhash.keep_one(odd).columns == odd.columns
+    kept = simhash.keep_one(odd).collect()
+    assert simhash.keep_one(odd).columns == odd.columns and {*kept} <= {*odd.collect()}
+    assert sum(r.doc_id == 7 for r in kept) == 2 and [r.doc_id for r in kept if not (r.text or "").strip()] == [0]
+    # "one" has a null doc_id in one row, and 1 in another
+    assert [r.doc_id for r in kept if r.text == "one"] == [1]
     assert simhash.near_duplicates(empty).count() == simhash.keep_one(empty).count() == 0

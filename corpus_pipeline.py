@@ -9,27 +9,34 @@ from concordia.llm.common import materialize, read_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Learns from labels and the documents at hand. Null texts are
+    judged as empty; repeated rows stay or go together; no documents give none, no labels keep all."""
     return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id stays."""
+    """Of equal texts, the document with the smallest doc_id stays, once; null counts as empty, a null doc_id
+    stays only among null ones; no documents give none."""
     return exact_dedup.keep_first(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar fingerprints, the document with the smallest doc_id stays."""
+    """Of each component of similar fingerprints, the document with the smallest doc_id stays (null ids last);
+    null and empty texts are near each other; rows that repeat id and text stay together; no documents
+    give none."""
     return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go as a whole. Null and empty texts stay; repeated rows stay or go
+    together; no documents give none, an empty benchmark keeps all."""
     return decontamination.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (with the end id), and the digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens, ids (with the end id), and the digests of the ids and of the text decoded from them, for
+    each row. A null or empty text has the end id alone; repeated rows are encoded alike; no documents
+    give none."""
     return bpe.encode_checked(docs, bpe.model_bytes(spark))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Marks that quote normalisation removes, common words that are no search terms,
 #: entities and what they stand for.
@@ -99,6 +99,34 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
 
 
+def starting_terms(text: Column, terms: list[str]) -> Column:
+    """The term at each word that starts with one of the terms (words of plain characters), the longest if
+    several do: one pass for all terms."""
+    longest = "|".join(re.escape(t) for t in sorted({*terms}, key=lambda t: (-len(t), t)))
+    return F.regexp_extract_all(text, F.lit(f"(?<!{WORD})({longest}){WORD}*"), F.lit(1))
+
+
+def is_plain(term: str) -> bool:
+    return bool(re.fullmatch(f"{WORD}+", term))
+
+
+def with_term_counts(rows: DataFrame, form: str, terms: list[str], name: str) -> DataFrame:
+    """rows with an array of how many words of column `form` start with each term. Terms of plain
+    characters are found by one pass, others by one each."""
+    plain = [t for t in terms if is_plain(t)]
+    found = unused(rows, "__found")
+    rows = rows.withColumn(found, starting_terms(F.col(form), plain) if plain else F.array().cast("array<string>"))
+    one = lambda t: F.size(F.filter(found, lambda m: m.startswith(t))) if is_plain(t) else count_matches(F.col(form), prefix_pattern(t))
+    return rows.withColumn(name, F.array(*[one(t) for t in terms]).cast("array<int>")).drop(found)
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name that rows doesn't have."""
+    while name in rows.columns:
+        name += "_"
+    return name
+
+
 def snippet(text: Column, pattern: str, before: int, size: int) -> Column:
     """`size` characters that start `before` characters ahead of the first match, dots where text was cut."""
     at = F.greatest(F.regexp_instr(text, F.lit(pattern)) - 1 - before, F.lit(0))

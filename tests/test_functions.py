@@ -97,6 +97,54 @@ def test_quote_extraction():
     assert not list(verify.cited_quotes('"A known title" (1:1.1)', frozenset({"a known title"})))
 
 
+def test_quotation_is_read_paragraph_by_paragraph():
+    cite = lambda text: [(q["body"], q["citation"], q["line"]) for q in verify.cited_quotes(text)]
+    assert cite('"an evolutionary world" does "one of the high" make "his appearance" (52:4.2)') == [(b, "52:4.2", 1) for b in ("an evolutionary world", "one of the high", "his appearance")]
+    assert cite('It warns against "stereotyped systems of beliefs" and more (120:3.7).') == [("stereotyped systems of beliefs", "120:3.7", 1)]
+    assert cite('It warns against "stereotyped systems" and more (120:3.7).') == []  # two words are too few so far off
+    assert cite('"It was so for an age." And then "he came to learn" (1:1.1)') == [("he came to learn", "1:1.1", 1)]
+    assert cite('"first of two" (1:1.1) and "second of two"*, <em> (1:1.2); "third" words (1:1.3)') == [("first of two", "1:1.1", 1), ("second of two", "1:1.2", 1)]
+    assert cite("one\n\n \n“open “inner one” and out” (2:2.2) \"never closed (2:2.3)") == [("open “inner one” and out", "2:2.2", 4)]
+    assert cite('"cells | of a table" (1:1.1) "12 34" (1:1.2) "words in here (1:1.3) and on" (1:1.4)') == []
+    assert cite("\ufeff---\nq: \"two words\" (1:1.1)\n---\n\"two words\" (1:1.2)") == [("two words", "1:1.2", 4)]
+
+
+def brute_aligned(a, b):
+    """A longest common subsequence by recursion: its length."""
+    from functools import cache
+
+    @cache
+    def longest(i, j):
+        if i == len(a) or j == len(b):
+            return 0
+        return longest(i + 1, j + 1) + 1 if a[i] == b[j] else max(longest(i + 1, j), longest(i, j + 1))
+
+    return longest(0, 0)
+
+
+def test_alignment_is_longest():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("xyzw") for _ in range(rng.randrange(12))] for _ in range(2))
+        pairs = verify.aligned(a, b)
+        assert len(pairs) == brute_aligned(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+    assert verify.aligned(["a"] * 2001, ["b"] * 2000) is None and verify.word_diff("a " * 2001, "a " * 2000) == (0, [])
+    # words that moved: blocks would say less
+    assert verify.word_diff("c d a b x", "a b x c d")[0] == 60
+    assert verify.word_diff("one two three four", "zero one 2 two four five") == (75, [{"quote_says": "(nothing)", "source_says": "2"}, {"quote_says": "three", "source_says": "(nothing)"}])
+
+
+def test_elsewhere(spark):
+    p = paragraphs(spark, ["Nothing here.", "And he came down from the hill—and bound the dragon.", "Again he came *down* from the hill and left", "he came down from the hill", "so he came down from the hill", "He came down from the hill.", "when he came down from the hill"])
+    rows = [(1, "He came down from the hill", ["1:1.1"]), (2, "came down from", ["1:1.1"]), (3, "x ... bound the dragon [...] he came down from", ["9:9.9"]), (4, "and bound the dragon", ["9:9.9"]), (5, "he came down from the hill", ["1:4.1"]), (6, "oh my ... from the hill and left", ["1:1.1"])]
+    q = spark.createDataFrame(rows, "quote_id int, body string, refs array<string>")
+    found = {r.quote_id: r.found_at for r in verify.find_elsewhere(verify.verdicts(q, p), p).collect()}
+    assert found == {1: ["1:2.1", "1:3.1", "1:4.1", "1:5.1", "1:6.1"], 4: ["1:2.1"], 6: ["1:3.1"]}
+
+
 def test_word_diff():
     assert verify.word_diff("the vine grew badly", "so the vine grew well now") == (75, [{"quote_says": "badly", "source_says": "(nothing)"}])
     assert verify.word_diff("xx yy", "aa") == (0, [])
@@ -105,6 +153,7 @@ def test_word_diff():
 def test_dashes():
     marks = verify.own_dashes('Ours — here. "Theirs — there" and https://x.y/a–b\n```\na — b\n```\nok -- fine\n')
     assert [(m["line"], m["mark"]) for m in marks] == [(1, "—"), (5, "--")]
+    assert [m["mark"] for m in verify.own_dashes("---\ntitle: \"Our title — here\"\n---\na&ndash;b &#8212; c\n\n“x — “y” — z” and -- no--no")] == ["—", "&ndash;", "&#8212;", "--"]
 
 
 def test_recall(spark):
@@ -121,13 +170,16 @@ def test_recall(spark):
     assert [g.id for g in recall.resolve("Andes", groups)] == ["peru"] and recall.resolve("Chile", groups)[0].id == '"Chile"'
 
 
-@pytest.mark.parametrize(("phrase", "n"), [("eighty-five thousand", 85000), ("two hundred and five", 205), ("half a million", 500000), ("a hundred", 100), ("nine", 9), ("and", None)])
+@pytest.mark.parametrize(("phrase", "n"), [("three million two hundred thousand and six", 3200006), ("a quarter of a million", 250000), ("one hundred and twenty-three", 123), ("eighty-five thousand", 85000), ("two hundred and five", 205), ("half a million", 500000), ("a hundred", 100), ("nine", 9), ("and", None)])
 def test_number_words(phrase, n):
-    assert N.value_of(phrase.replace("half a million", "half million")) == n
+    assert N.value_of(phrase) == n
 
 
 def test_numbers():
     assert N.numbers_in("In 12:3.4 there were 1,500 and eighty-five thousand, or 2.5") == {1500.0, 85000.0, 2.5}
+    assert N.numbers_in("1234,567 12,34 1,500.5 v2 12abc 2.5.3 half a million, a hundred men, an hour, see 78:5.7-9") == {1234, 567, 12, 34, 1500, 5, 2.5, 3, 500000, 100}
+    assert N.own_numbers("500 B.C. and 40 B. C. and 7 per cent of pp. 4, 5 and 6 years, Sections 4 to 9 days; 7:30 days; 90 %; five years, 30-40,000 miles, 12–15 days, 2,000 men, 300 men") == {500, 40, 7, 90, 30, 40000, 12, 15, 2000}
+    assert N.own_numbers("The dating (late migrations, c. 6000-2000 BCE) comes from 78:5.7.") == {6000, 2000}
     assert N.own_numbers('We say 20 years, "300 years" of Paper 66 and 12 apples, thirteen days (78:5.7)') == {20.0, 13.0}
 
 
@@ -139,9 +191,30 @@ def test_claims(spark):
     assert kinds == [("C2 NUMBER", 5), ("C3 BOOK WORDS", 13)]
     alone = spark.createDataFrame([(1, "The book says it rained.\n", False), (2, "The book never says it.\n", False), (3, "const a = 'The book says that it has rained for a very long time'\n", True)], "draft_id int, text string, is_data boolean")
     assert sorted((r.draft_id, r.kind) for r in claims.check_claims(alone, p).collect()) == [(1, "C1 UNCITED"), (3, "C1 UNCITED")]
+    assert claims.split_sentences("See Smith et al. 2020. In e.g. Rome. Ask Dr. X. Then (c. 9) went. No. 5 is") == ["See Smith et al. 2020.", "In e.g. Rome.", "Ask Dr. X. Then (c. 9) went.", "No. 5 is"]
+    assert claims.clauses("It says x; he came, but the study says 5 while") == ["It says x", "he came,", "the study says 5 while"]
+    assert claims.blocks_of("---\ntitle: x\n---\n# T\n\nOne\r\ntwo\n\n```\ncode\n\ncode\n```\nthree\n---\nfour\n####### seven\n***\n") == [(6, "One two"), (14, "three"), (16, "four ####### seven")]
+    literals = "a = 'it'; b = '78:5.7'; c = `forty characters of prose and some more of it\n\nand \\` more`; d='" + "path/" * 9 + "'; e = 'open\n'"
+    assert claims.blocks_of(literals, True) == [(1, "78:5.7"), (1, "forty characters of prose and some more of it"), (3, "and \\` more")]
     assert claims.split_sentences('He came c. 5 B.C. to us. "It is. So." he said! Yes') == ["He came c. 5 B.C. to us.", '"It is. So." he said!', "Yes"]
 
 
+CLAIM_TEXTS = ["They reached the south.", "It was eighty-five thousand years ago.", "By embarking in a fleet of small boats from there, they reached the far land."]
+
+
+@pytest.mark.parametrize(
+    ("draft", "kinds"),
+    [
+        ("The book's dating (late migrations, c. 6000-2000 BCE) gives 1:1.1.", ["C2 NUMBER"]), ("The book says they crossed about 85,000 years ago (1:2.1).", []),
+        ("The book says they came (1:1.1), but the settlement is estimated at AD 1150 to 1280 (Smith et al. 2024).", []), ("The book describes teaching there.\n\nMore of our own prose.", ["C1 UNCITED"]),
+        ("The book never names them.", []), ('He wrote that "embarking in a fleet of small boats from there" long ago.', ["C3 BOOK WORDS"]), ('He wrote that "embarking in a fleet of small boats from there" (1:3.1).', []),
+    ],
+)
+def test_claim_cases(spark, draft, kinds):
+    d = spark.createDataFrame([(1, draft, False)], "draft_id int, text string, is_data boolean")
+    assert [r.kind for r in claims.check_claims(d, paragraphs(spark, CLAIM_TEXTS)).collect()] == kinds
+
+
 def test_language(spark):
     lang = lambda t: one(spark, LG.detect_language(F.col("t")), t=t)
     assert [lang("What is the book about?"), lang("¿Que dice la gente?"), lang("Où est le livre?"), lang("Wer ist der Mann?"), lang("zzz")] == ["en", "es", "fr", "de", "en"]

@@ -49,6 +49,13 @@ def query_terms(query: str) -> tuple[str, list[str]]:
     return phrase, [w for w in words if len(w) > 1 and w not in STOP_WORDS] or phrase.split()
 
 
+def search_terms(text: Column) -> Column:
+    """query_terms()'s terms of a column of queries."""
+    words = F.split(F.trim(F.translate(F.lower(text), "‘’“”", "''\"\"")), " ")
+    kept = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Za-z0-9_'-]", "")), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
+
+
 def search_form(text: Column) -> Column:
     """Lower case with straight quotes."""
     return F.translate(F.lower(text), "‘’“”", "''\"\"")

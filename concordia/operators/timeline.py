@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -58,20 +60,33 @@ def interpolate(rows: DataFrame, keys: list[str], order: list[str], value: str)
     return rows.withColumn(value, F.coalesce(F.col(value), line, F.col("__a"), F.col("__b"))).drop("__a", "__b", "__i")
 
 
-def minimal_span(rows: DataFrame, key: str, tokens: str, asked: list[str], below: int) -> DataFrame:
-    """The least distance between first and last of a stretch with all asked words, if it is below the bound:
-    a fold over each row's tokens with the latest place of each word."""
-    start = F.struct(F.array(*[F.lit(None).cast("int") for _ in asked]).alias("at"), F.lit(None).cast("int").alias("best"), F.lit(1).alias("i"))
+def shortest_stretch(tokens: Column, tests: list[Callable[[Column], Column]]) -> Column:
+    """The least distance between first and last of a stretch of tokens that passes every test, null if none
+    does: a fold over the tokens with the latest place of each."""
+    start = F.struct(F.array(*[F.lit(None).cast("int") for _ in tests]).alias("at"), F.lit(None).cast("int").alias("best"), F.lit(1).alias("i"))
 
     def step(acc, w):
-        at = F.array(*[F.when(w == a, acc["i"]).otherwise(acc["at"][k]) for k, a in enumerate(asked)])
+        at = F.array(*[F.when(test(w), acc["i"]).otherwise(acc["at"][k]) for k, test in enumerate(tests)])
         known = F.forall(at, lambda x: x.isNotNull())
         return F.struct(at.alias("at"), F.least(acc["best"], F.when(known, F.array_max(at) - F.array_min(at))).alias("best"), (acc["i"] + 1).alias("i"))
 
-    best = F.aggregate(tokens, start, step, lambda acc: acc["best"])
+    return F.aggregate(tokens, start, step, lambda acc: acc["best"])
+
+
+def minimal_span(rows: DataFrame, key: str, tokens: str, asked: list[str], below: int) -> DataFrame:
+    """key, span: the shortest stretch with all asked words, if it is below the bound."""
+    best = shortest_stretch(F.col(tokens), [lambda w, a=a: w == a for a in asked])
     return rows.select(key, best.cast("long").alias("span")).filter(F.col("span") < below)
 
 
+def close_by(tokens: Column, one: Callable[[Column], Column], other: Callable[[Column], Column], within: int) -> Column:
+    """Whether a token that passes one test stands within so many places of one that passes the other."""
+    at = F.transform(tokens, lambda w, i: F.struct(i.alias("i"), one(w).alias("a"), other(w).alias("b")))
+    # held in a struct, so that the places are found once
+    places = F.transform(F.array(at), lambda t: F.struct(F.filter(t, lambda x: x["a"])["i"].alias("a"), F.filter(t, lambda x: x["b"])["i"].alias("b")))
+    return F.exists(places, lambda p: F.exists(p["a"], lambda i: F.exists(p["b"], lambda j: F.abs(i - j) <= within)))
+
+
 def thin(times: Column, least: float) -> Column:
     """Of sorted times, the first and each that is at least `least` after the last kept one."""
     keep = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= least), F.concat(acc, F.array(t))).otherwise(acc)

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import language as LG, text as T
 from ..functions.numbers import numbers_udf
-from ..operators import align as AL, ask as ASK, banks as BK, cards as CD, claims as CL, entities as EN, grade as GR, graph as GH, links as LK, recall as RC, spell as SP, verify as VF
+from ..operators import align as AL, banks as BK, cards as CD, claims as CL, entities as EN, grade as GR, graph as GH, links as LK, recall as RC, spell as SP, verify as VF
 from ..registry import query, table
 from ..session import keep_checkpoints, scratch
 from ..sources import readers as RD
@@ -258,16 +258,6 @@ def alignment_checks(spark, sf_dir):
 # --- ask, language, chat
 
 _SENTENCES_OF_PARS = P + r""", split AS (SELECT ref, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM paragraphs)"""
-ASK_RULES = ASK.Rules(terms={"theth": ["thand", "thanon"], "reenti": ["reanthe"]}, specific={"thand"}, names={"the and", "of the"})
-QUESTIONS = ["What is the tionre of ereati (thionesander)?", "How many anthe in paper 5?", "theth er's ing"]
-
-
-@query()
-def ask_batch(spark, sf_dir):
-    """Three questions at once: one scan for the words' frequencies, one for all searches."""
-    return ASK.answer(pars(spark, sf_dir), QUESTIONS, ASK_RULES)
-
-
 _GLUE = {k: ", ".join(f"'{w}'" for w in v) for k, v in LG.GLUE.items()}
 _VOTE = "len(list_filter(ws, lambda w: w IN ({})))"
 
@@ -336,13 +326,6 @@ def captions(spark, sf_dir):
     return BK.cues(timed)
 
 
-@query()
-def ask_folded(spark, sf_dir):
-    """A French question with accents folded away on both sides."""
-    rules = ASK.Rules(terms={"verite": ["queelle"]}, asking={"que", "est", "quoi", "dans"}, fold=True)
-    return ASK.answer(pars(spark, sf_dir).filter("author = 'fr'"), ["Où est la vérité entre eux?"], rules)
-
-
 @query(
     P
     + r""", c AS (SELECT ref, text, regexp_extract(text, '^\S+ \S+') AS a, regexp_extract(text, '\S+ \S+$') AS b FROM paragraphs WHERE par = 1)

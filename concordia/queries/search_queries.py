@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import search as S
+from ..operators import ask as ASK, rules as RL, search as S
 from ..registry import query, table
 from ..sources.corpus import PARAGRAPHS_SQL as P, paragraphs
 
@@ -22,8 +22,8 @@ scored AS (
 )
 
 
-def pars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(table(spark, sf_dir, "documents"))
+def pars(spark: SparkSession, sf_dir: str, headings: bool = False) -> DataFrame:
+    return paragraphs(table(spark, sf_dir, "documents"), headings)
 
 
 @query(f"{_SCORED} SELECT ref, paper, section, par, text, CAST(matched AS INTEGER) AS matched, CAST(hits AS INTEGER) AS hits, round(CAST(raw AS DOUBLE), 4) AS score FROM scored ORDER BY raw DESC, paper, section, par LIMIT 20")
@@ -204,14 +204,14 @@ def sentence_predicates(spark, sf_dir):
 
 @query(
     P
-    + r""", f AS (SELECT ref, lower(text) AS f, strpos(lower(text), 'the ') AS p FROM paragraphs)
-SELECT ref, regexp_matches(f, '\bourselves\b') OR (p > 0 AND regexp_matches(substr(f, p, 140), '\bis\b|\bwas\b')) AS claim FROM f"""
+    + r""", f AS (SELECT ref, regexp_replace(regexp_replace(lower(text), '\((?:[a-z]{2,5}\s*)?[0-9]{1,3}:[^)]*\)', ' ', 'g'), '"[^"]*"', '"…"', 'g') AS f FROM paragraphs),
+g AS (SELECT ref, f, strpos(f, regexp_extract(f, '\bthe\b|\bla\b')) AS p, regexp_extract(f, '\bthe\b|\bla\b') AS k FROM f)
+SELECT ref, regexp_matches(f, '\bourselves\b') OR (k <> '' AND regexp_matches(substr(f, instr(regexp_replace(f, '\b(the|la)\b', chr(1)), chr(1)), 140), '\bis\b|\bwas\b|\best\b')) AS claim FROM g"""
 )
 def claim_predicate(spark, sf_dir):
-    """An own word, or a subject with a verb within 140 characters."""
-    f, at = F.lower("text"), F.instr(F.lower("text"), "the ")
-    near = (at > 0) & F.substring(f, at, F.lit(140)).rlike(java(r"\bis\b|\bwas\b"))
-    return pars(spark, sf_dir).select("ref", (f.rlike(java(r"\bourselves\b")) | near).alias("claim"))
+    """An own word, or a subject with a verb within 140 characters; citations and quotations don't count."""
+    claim = RL.claims(F.lower("text"), java(r"\bthe\b|\bla\b"), java(r"\bis\b|\bwas\b|\best\b"), java(r"\bourselves\b"))
+    return pars(spark, sf_dir).select("ref", claim.alias("claim"))
 
 
 _SENTENCES = P + r""", sentences AS (
@@ -230,10 +230,7 @@ def sentence_split(spark, sf_dir):
 
 @query(_SENTENCES + r""" SELECT ref, sent FROM sentences WHERE length(sentence) BETWEEN 80 AND 220 AND regexp_matches(sentence, '[.!?]$') AND regexp_matches(sentence, '^[A-Z]') AND NOT regexp_matches(sentence, '[<>|*]')""")
 def usable_sentences(spark, sf_dir):
-    s = F.col("sentence")
-    return sentence_rows(spark, sf_dir).filter(F.length(s).between(80, 220) & s.rlike("[.!?]$") & s.rlike("^[A-Z]") & ~s.rlike("[<>|*]")).select("ref", "sent")
-
-
+    return sentence_rows(spark, sf_dir).filter(RL.usable(F.col("sentence"), 80, 220)).select("ref", "sent")
 
 
 @query(
@@ -244,13 +241,8 @@ WHERE length(sentence) BETWEEN 60 AND 160 AND NOT regexp_matches(sentence, '[0-9
 )
 def bank_candidates(spark, sf_dir):
     """Sentences with a topic word and no negation in the 30 characters before it, classed by the first rule that fits."""
-    low = F.lower("sentence")
-    pattern = "|".join(T.prefix_pattern(t) for t in ("tion", "ing", "er"))
-    rows = sentence_rows(spark, sf_dir).withColumn("keyword", F.regexp_extract(low, f"({pattern})", 1)).filter("keyword != ''").withColumn("at", F.instr(low, F.col("keyword")))
-    before = F.substring(low, F.greatest(F.col("at") - 30, F.lit(1)), F.least(F.lit(30), F.col("at") - 1))
-    rows = rows.filter(F.length("sentence").between(60, 160) & ~F.col("sentence").rlike('[0-9"]') & ~before.rlike(java(r"\bno\b|\bnot\b|\bis\b")))
-    topic = F.when(F.col("keyword").startswith("tion"), "a").when(F.col("keyword").startswith("ing"), "b").otherwise("c")
-    return rows.select("ref", "sent", "keyword", topic.alias("topic"))
+    topics = [("tion", "a"), ("ing", "b"), ("er", "c")]
+    return RL.bank_candidates(sentence_rows(spark, sf_dir), topics, java(r"\bno\b|\bnot\b|\bis\b")).select("ref", "sent", "keyword", "topic")
 
 
 @query(_SENTENCES + r""" SELECT paper, ref, sentence FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY section, par, sent) AS n FROM sentences WHERE length(sentence) BETWEEN 80 AND 220) WHERE n = 1""")
@@ -298,14 +290,12 @@ def time_stamps(spark, sf_dir):
 
 
 @query(
-    r"""WITH q AS (SELECT conv_id, turn, string_split(lower(trim(text)), ' ') AS ws FROM conversations WHERE role = 'user'),
+    r"""WITH q AS (SELECT conv_id, turn, string_split(lower(trim(text)), ' ') AS ws FROM conversations),
 t AS (SELECT conv_id, turn, ws, list_filter(list_transform(ws, lambda w: regexp_replace(w, '[^A-Za-z0-9_''-]', '', 'g')), lambda w: length(w) > 1 AND w NOT IN ("""
     + ", ".join(f"'{w}'" for w in T.STOP_WORDS)
     + ")) AS terms FROM q) SELECT conv_id, turn, array_to_string(CASE WHEN len(terms) > 0 THEN terms ELSE ws END, ' ') AS terms FROM t"
 )
 def query_tokens(spark, sf_dir):
-    """Search terms of every question, all its words if only common ones are left."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    words = F.split(F.trim(F.lower("text")), " ")
-    kept = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Za-z0-9_'-]", "")), lambda w: (F.length(w) > 1) & ~w.isin(*T.STOP_WORDS))
-    return turns.select("conv_id", "turn", F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), " ").alias("terms"))
+    """Search terms of every turn, all its words if only common ones are left."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", F.array_join(T.search_terms(F.col("text")), " ").alias("terms"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import refs as R, text as T
-from ..operators import joins as J, timeline as L
+from ..operators import ask as ASK, joins as J, rules as RL, timeline as L
 from ..registry import query, table
 from ..sources.corpus import PARAGRAPHS_SQL as P
 from .search_queries import GROUPS, java, pars
@@ -193,11 +193,11 @@ def best_overlap(spark, sf_dir):
 
 @query(
     P
-    + """, t AS (SELECT ref, 'en: ' || text AS text FROM paragraphs WHERE author = 'en' AND par % 2 = 0)
-SELECT p.ref, coalesce(t.text, p.text) AS text, t.ref IS NULL AS fallback FROM paragraphs p LEFT JOIN t ON p.ref = t.ref WHERE p.author = 'en'"""
+    + """, t AS (SELECT ref, 'en: ' || text AS text FROM paragraphs WHERE par % 2 = 0)
+SELECT p.ref, coalesce(t.text, p.text) AS text, t.ref IS NULL AS fallback FROM paragraphs p LEFT JOIN t ON p.ref = t.ref"""
 )
 def translation_fallback(spark, sf_dir):
-    en = pars(spark, sf_dir).filter("author = 'en'")
+    en = pars(spark, sf_dir)
     return J.with_fallback(en.select("ref", "text"), en.filter("par % 2 = 0").select("ref", F.concat(F.lit("en: "), F.col("text")).alias("text")))
 
 
@@ -259,9 +259,8 @@ SELECT o_custkey, round(sum((8 - i) / 32.0 + o_totalprice / 1000000), 6) AS scor
 )
 def positional_scores(spark, sf_dir):
     """Each query's best rows with the bonus (limit - place) / (4 * limit), summed."""
-    place = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1
-    rows = table(spark, sf_dir, "orders").withColumn("i", place).filter("i < 8")
-    return rows.groupBy("o_custkey").agg(F.round(F.sum((8 - F.col("i")) / 32.0 + F.col("o_totalprice") / 1000000), 6).alias("score"))
+    scores = RL.place_bonus(table(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 8, F.col("o_totalprice") / 1000000)
+    return scores.select("o_custkey", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -271,9 +270,7 @@ SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN hits <= 330 THEN 2.0::DOUB
 def gated_boost(spark, sf_dir):
     """A boost for all hits of a group if they are few, else only for those that score otherwise."""
     hits = table(spark, sf_dir, "lineitem").filter("l_discount >= 0.05").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
-    n = hits.groupBy("l_suppkey").agg(F.count("*").alias("hits"))
-    boost = F.when(F.col("hits") <= 330, 2.0).when(F.col("l_quantity") > 45, 1.0).otherwise(0.0)
-    return hits.join(n, "l_suppkey").select("l_suppkey", "l_orderkey", "l_linenumber", boost.alias("boost"))
+    return RL.gated_boosts(hits, "l_suppkey", 330, 2.0, 1.0, F.col("l_quantity") > 45).select("l_suppkey", "l_orderkey", "l_linenumber", "boost")
 
 
 @query(
@@ -344,12 +341,7 @@ SELECT name, count(*) AS n FROM w WHERE lower(name) NOT IN (SELECT word FROM low
 )
 def rare_names(spark, sf_dir):
     """Capitalised words of at most 40 paragraphs that never come in lower case."""
-    p = pars(spark, sf_dir)
-    edge = lambda body: F.lit(f"(?<!{T.WORD})({body})(?!{T.WORD})")
-    names = p.select("ref", F.explode(F.array_distinct(F.regexp_extract_all("text", edge("[A-Z][a-z]{3,}")))).alias("name"))
-    low = p.select(F.explode(F.array_distinct(F.regexp_extract_all("text", edge("[a-z]{4,}")))).alias("word")).distinct()
-    n = names.groupBy("name").agg(F.count("*").alias("n")).filter("n <= 40")
-    return n.join(low, F.lower("name") == F.col("word"), "left_anti")
+    return RL.names_without_plain_use(pars(spark, sf_dir), "ref", 40)
 
 
 @query(
@@ -358,9 +350,7 @@ SELECT o_custkey, round(100.0 * count(*) FILTER (WHERE done) / count(*))::INTEGE
 )
 def reading_progress(spark, sf_dir):
     """Per cent done and the first item that isn't."""
-    done = F.col("o_orderstatus") == "F"
-    g = table(spark, sf_dir, "orders").groupBy("o_custkey")
-    return g.agg(F.round(100 * F.count_if(done) / F.count("*")).cast("int").alias("pct"), F.min(F.when(~done, F.col("o_orderkey"))).alias("next_day"))
+    return RL.progress(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.col("o_orderstatus") == "F").withColumnRenamed("next_item", "next_day")
 
 
 @query(
@@ -384,8 +374,7 @@ def newest_version(spark, sf_dir):
     """The largest published version: parts compare as numbers, not as text."""
     tag = F.expr("'desktop-v' || o_orderkey % 4 || '.' || (o_orderkey div 4) % 10 || '.' || o_orderkey div 40")
     rows = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select("o_custkey", tag.alias("tag"))
-    part = lambda k: F.regexp_extract("tag", r"v([0-9]+)\.([0-9]+)\.([0-9]+)$", k).cast("long")
-    return rows.groupBy("o_custkey").agg(F.regexp_replace(F.max_by("tag", F.struct(part(1), part(2), part(3))), "^desktop-", "").alias("newest"))
+    return RL.newest_version(rows, "o_custkey", "tag").withColumn("newest", F.regexp_replace("newest", "^desktop-", ""))
 
 
 @query(
@@ -512,9 +501,7 @@ SELECT DISTINCT n.doc_id FROM n JOIN c ON n.doc_id = c.doc_id AND abs(n.i - c.i)
 def number_near_word(spark, sf_dir):
     """A number within four tokens of a word, on the token array: no join."""
     ws = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    at = F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    t = table(spark, sf_dir, "documents").select("doc_id", F.filter(at, lambda x: x["w"].rlike("^[0-9]+$"))["i"].alias("n"), F.filter(at, lambda x: x["w"] == "the")["i"].alias("c"))
-    return t.filter(F.exists("n", lambda a: F.exists("c", lambda b: F.abs(a - b) <= 4))).select("doc_id")
+    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]")).filter(L.close_by(ws, lambda w: w == "the", lambda w: w.rlike("^[0-9]+$"), 4)).select("doc_id")
 
 
 @query(
@@ -544,16 +531,14 @@ def citation_order(spark, sf_dir):
 @query("WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), n AS (SELECT count(*) AS n FROM benchmark) SELECT strftime(day, '%Y-%m-%d') AS day, item_id FROM d, n, (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) WHERE k = (day - DATE '1970-01-01') % n")
 def quote_of_the_day(spark, sf_dir):
     """Days since the epoch modulo the number of quotes."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", (F.row_number().over(W.orderBy("item_id")) - 1).alias("k"))
-    n = quotes.agg(F.count("*").alias("n"))
-    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct().crossJoin(F.broadcast(n)).withColumn("k", F.pmod(F.unix_date("day"), F.col("n").cast("int")))
-    return days.join(quotes, "k").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "item_id")
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
+    return RL.of_the_day(days, table(spark, sf_dir, "benchmark"), "item_id").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "item_id")
 
 
-@query()
+@query("SELECT item_id FROM benchmark ORDER BY md5('7/' || item_id), item_id LIMIT 7")
 def seeded_sample(spark, sf_dir):
-    """Seven rows that a seed picks, the same each time."""
-    return table(spark, sf_dir, "benchmark").orderBy(F.xxhash64(F.lit(7), F.col("item_id")), "item_id").limit(7).select("item_id")
+    """Seven rows that a seed picks, the same each time: a top-k by a digest."""
+    return table(spark, sf_dir, "benchmark").orderBy(F.md5(F.concat(F.lit("7/"), F.col("item_id").cast("string"))), "item_id").limit(7).select("item_id")
 
 
 # --- predicates over rows
@@ -571,35 +556,42 @@ def sort_monotonicity(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("p", before).groupBy("user_id").agg(F.count_if(F.col("value") < F.col("p")).alias("falls"))
 
 
-@query(P + ", l AS (SELECT item_id, CAST(item_id % 20 AS INTEGER) AS paper, item_id AS lo, item_id + 30 AS hi FROM benchmark) SELECT item_id, p.ref FROM l JOIN paragraphs p ON p.paper = l.paper AND p.section BETWEEN lo AND hi AND p.par = 1 WHERE lo <= 25 AND hi >= 10")
+@query(P + ", l AS (SELECT item_id, CAST(item_id % 20 AS INTEGER) AS paper, item_id AS lo, item_id + 30 AS hi FROM benchmark) SELECT item_id, p.ref FROM l JOIN paragraphs p ON p.paper = l.paper AND p.section BETWEEN lo AND hi WHERE lo <= 25 AND hi >= 10")
 def link_overlap(spark, sf_dir):
-    """Links whose span overlaps the asked one, with their paragraphs."""
-    links = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 20).cast("int").alias("paper"), F.col("item_id").alias("lo"), (F.col("item_id") + 30).alias("hi")).filter("lo <= 25 and hi >= 10")
-    return pars(spark, sf_dir).filter("par = 1").join(F.broadcast(links), "paper").filter("section between lo and hi").select("item_id", "ref")
+    """Links whose span overlaps the asked one, with their paragraphs: spans are dealt to the sections they hold,
+    at most 31 each, so that the join is by equality."""
+    links = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 20).cast("int").alias("paper"), F.col("item_id").alias("lo"), (F.col("item_id") + 30).alias("hi"))
+    dealt = RL.overlapping(links, 10, 25).select("item_id", "paper", F.explode(F.sequence("lo", "hi")).alias("section"))
+    return pars(spark, sf_dir).join(dealt, ["paper", "section"]).select("item_id", "ref")
 
 
-@query("SELECT conv_id, turn, len(ws) <= 2 OR (len(ws) <= 5 AND NOT contains(lower(text), 'the')) AS garbled, length(text) = 0 AS blank FROM (SELECT *, string_split(trim(text), ' ') AS ws FROM conversations WHERE role = 'user')")
+@query(
+    """SELECT conv_id, turn, len(ws) <= 2 OR (len(ws) <= 5 AND contains(' ' || lower(text) || ' ', ' the ')::INT + contains(' ' || lower(text) || ' ', ' of ')::INT = 0) AS garbled, length(text) = 0 AS blank
+FROM (SELECT *, list_filter(string_split(trim(text), ' '), lambda w: w <> '') AS ws FROM conversations)"""
+)
 def garbled_questions(spark, sf_dir):
-    n = F.size(F.split(F.trim("text"), " "))
-    q = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return q.select("conv_id", "turn", ((n <= 2) | ((n <= 5) & ~F.contains(F.lower("text"), F.lit("the")))).alias("garbled"), (F.length("text") == 0).alias("blank"))
+    """Turns that are too short, or short with no mapped word ("the" and "of" stand for terms here)."""
+    words = F.filter(F.split(F.trim("text"), " "), lambda w: w != "")
+    has = lambda w: F.contains(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), F.lit(f" {w} ")).cast("int")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ASK.garbled(words, has("the") + has("of")).alias("garbled"), (F.length("text") == 0).alias("blank"))
 
 
-@query("WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM conversations WHERE role = 'user'), k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents) SELECT conv_id, turn, count(*) AS never_used FROM w WHERE word NOT IN (SELECT word FROM k) GROUP BY conv_id, turn")
+@query("WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM conversations), k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents) SELECT conv_id, turn, count(*) AS never_used FROM w WHERE word NOT IN (SELECT word FROM k) GROUP BY conv_id, turn")
 def missed_questions(spark, sf_dir):
-    """Questions with words that the corpus never uses."""
-    of = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})")))).alias("word")).distinct()
-    known = of(table(spark, sf_dir, "documents"))
-    asked = of(table(spark, sf_dir, "conversations").filter("role = 'user'"), "conv_id", "turn")
-    return asked.join(known, "word", "left_anti").groupBy("conv_id", "turn").agg(F.count("*").alias("never_used"))
+    """Turns with words that the corpus never uses."""
+    return RL.never_used(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents"), ["conv_id", "turn"])
+
+
+_ARTICLES = """WITH a AS (SELECT page_id, url, regexp_extract(url, '[^/]*$') AS slug, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
+t AS (SELECT *, CASE WHEN lower(slug) = '{slug}' THEN 1 WHEN {words} THEN 2 END AS tier FROM (SELECT *, lower(replace(slug, '-', ' ') || ' ' || title) AS hay FROM a))
+SELECT page_id, url, tier, count(*) OVER () = 1 AS "unique" FROM t WHERE tier = (SELECT min(tier) FROM t)"""
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(lower(replace(url, '-', ' ') || ' ' || regexp_extract(html, '<title>([^<]*)', 1)), 'the') AND contains(lower(replace(url, '-', ' ') || ' ' || regexp_extract(html, '<title>([^<]*)', 1)), 'en')")
+@query(_ARTICLES.format(slug="the-en", words="contains(hay, 'the') AND contains(hay, 'en')"))
 def article_search(spark, sf_dir):
-    """Articles whose address and title have all words."""
-    hay = F.lower(F.concat(F.replace("url", F.lit("-"), F.lit(" ")), F.lit(" "), F.regexp_extract("html", "<title>([^<]*)", 1)))
-    asked = F.array(F.lit("the"), F.lit("en"))
-    return table(spark, sf_dir, "pages").filter(F.forall(asked, lambda w: F.contains(hay, w))).select("page_id", "url")
+    """Articles by their address, else those whose address and title have all words, and whether there is one alone."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "[^/]*$", 0).alias("slug"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    return RL.find_articles(pages, "the en", "slug", "title").select("page_id", "url", "tier", "unique")
 
 
 @query(
@@ -610,4 +602,4 @@ def study_list(spark, sf_dir):
     """Adds keep the first of each key, here a user's day; removals take it off."""
     key = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
     e = table(spark, sf_dir, "events").select("event_id", "event_type", key.alias("key"))
-    return e.filter("event_type = 'view'").groupBy("key").agg(F.min("event_id").alias("first_event")).join(e.filter("event_type = 'purchase'").select("key"), "key", "left_anti")
+    return RL.study_list(e, ["key"], "event_id", F.col("event_type") == "view", F.col("event_type") == "purchase")

@@ -13,9 +13,10 @@ PAPER_SCHEMA = (
 )
 
 
-def read_papers(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested papers, one JSON file each; a file that is no JSON fails the read."""
-    return spark.read.schema(PAPER_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(folder, pathGlobFilter="Doc*.json")
+def read_papers(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Nested papers, one JSON file each, or one line each, which Spark can split; what is no JSON fails the read."""
+    read = spark.read.schema(PAPER_SCHEMA).option("mode", "FAILFAST")
+    return read.json(folder) if lines else read.option("multiLine", True).json(folder, pathGlobFilter="Doc*.json")
 
 
 def flatten_papers(papers: DataFrame) -> DataFrame:
@@ -28,14 +29,16 @@ def flatten_papers(papers: DataFrame) -> DataFrame:
     ).filter("clean != ''")
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
+def paragraphs(documents: DataFrame, headings: bool = False) -> DataFrame:
     """Paragraphs of documents(doc_id, text, lang, source): a source is a paper, a document a section and
     each line that isn't blank a paragraph, numbered by its line. (paper, section, par) orders the corpus
-    and needs no global numbering."""
-    lines = documents.select(F.expr("cast(substring(source, 4) as int)").alias("paper"), F.col("doc_id").alias("section"), F.col("lang").alias("author"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    and needs no global numbering. With headings, a document's first line that isn't blank is the heading of
+    all its paragraphs."""
+    heading = [F.regexp_extract("text", r"(?m)^[ \t]*(\S.*)$", 1).alias("heading")] if headings else []
+    lines = documents.select(F.expr("cast(substring(source, 4) as int)").alias("paper"), F.col("doc_id").alias("section"), F.col("lang").alias("author"), *heading, F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     par = (F.col("pos") + 1).cast("long")
     return lines.filter(F.trim("text") != "").select(
-        F.concat_ws("", F.col("paper").cast("string"), F.lit(":"), F.col("section").cast("string"), F.lit("."), par.cast("string")).alias("ref"), "paper", "section", par.alias("par"), "author", "text"
+        F.concat_ws("", F.col("paper").cast("string"), F.lit(":"), F.col("section").cast("string"), F.lit("."), par.cast("string")).alias("ref"), "paper", "section", par.alias("par"), "author", "text", *(["heading"] if headings else [])
     )
 
 

@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StringType
 
 
 #: Own lists of glue words; English ones win ties.
@@ -133,3 +133,18 @@ def first_json(text: str) -> str | None:
     return None
 
 
+
+
+@F.pandas_udf(StringType())
+def title_case_udf(text: pd.Series) -> pd.Series:
+    return text.map(title_case, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def strip_particles_udf(word: pd.Series) -> pd.Series:
+    return word.map(strip_particles, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def first_json_udf(text: pd.Series) -> pd.Series:
+    return text.map(first_json, na_action="ignore")

@@ -9,6 +9,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..session import ship
 
@@ -21,6 +22,11 @@ def surface(text: str) -> list[str]:
     return [w for w in out if w]
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def surface_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: surface(t or ""))
+
+
 def align_tokens(text: list[str], heard: list[tuple[str, float, float]]) -> list[tuple[float | None, float | None, bool]]:
     """(start, end, exact) for each token. Equal stretches take the heard times; a replaced stretch shares
     the heard span by token length; a token that nothing was heard for has no time."""

@@ -111,6 +111,12 @@ def excerpt(text: Column, pattern: str, most: int = 220) -> Column:
     return F.when(F.length(chosen) > most, F.concat(F.substring(chosen, 1, most - 3), F.lit("..."))).otherwise(chosen)
 
 
+def python_groups(groups: list[Group]) -> list[Group]:
+    """Groups whose patterns this interpreter reads: word boundaries of either side become \\b."""
+    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    return [Group(g.id, g.draft.replace(edge, r"\b"), g.corpus.replace(edge, r"\b")) for g in groups]
+
+
 def resolve(term: str, groups: list[Group]) -> list[Group]:
     """A typed name: a group's id, else groups whose draft pattern has it, else whose corpus pattern has it,
     else the name itself as a whole word."""

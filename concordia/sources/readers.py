@@ -226,6 +226,14 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file on whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data))
+    out.close()
+
+
 def srt(cues: DataFrame) -> DataFrame:
     """cues(cue, start, end, text) to value: numbered captions."""
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from . import text as T
+
 
 #: Own lists of glue words; English ones win ties.
 GLUE = {
@@ -15,24 +17,55 @@ GLUE = {
     "es": "que el la los las de del y en un una es por para con como quien cuando donde se su".split(),
     "fr": "que le la les des de du et en un une est pour avec comme qui quand où dans sur pas".split(),
     "de": "was wer wann wo warum wie der die das und oder ist sind war in zu mit für nicht ein eine".split(),
+    "pl": "czy co kto kiedy gdzie dlaczego jak jest są był być nie się na do z to ten ta i oraz lub ale dla przez".split(),
 }
-CUES = {"es": ("[¿¡]", 3, "ñ", 2), "fr": ("[çœ]", 2, "[êèù]", 2), "de": ("ß", 3, "[äöü]", 2)}
+#: Polish glue that other languages have too: it counts only beside a word or letter that is Polish alone.
+SHARED = "co jak na do z to ten ta i ale".split()
+CUES = {"es": ("[¿¡]", 3, "ñ", 2), "fr": ("[çœ]", 2, "[êèù]", 2), "de": ("ß", 3, "[äöü]", 2), "pl": ("[ąćęłńśźż]", 3, "[ąćęłńśźż]", 0)}
+#: The script that only Korean has, and own lists of content words, folded, for texts without glue words.
+HANGUL = "[\uac00-\ud7af]"
+CONTENT = {
+    "es": "libro historia verdad mundo cielo vida muerte filosofia".split(), "fr": "livre histoire verite monde ciel mort philosophie".split(),
+    "de": "buch geschichte wahrheit welt himmel leben philosophie".split(), "pl": "ksiega historia prawda swiat niebo zycie smierc filozofia".split(),
+}
 
 
 def detect_language(question: Column) -> Column:
-    """The language with most glue words and character cues; English wins ties and weak matches."""
+    """Korean by its script; else the language with most glue words and character cues, if one leads English; English
+    if it has glue words at all; else the first language with a content word; else English."""
+    lit = lambda own: F.array(*[F.lit(w) for w in own])
     low = F.lower(question)
     words = F.array_distinct(F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    vote = {k: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in own]))) for k, own in GLUE.items()}
-    for k, (a, n, b, m) in CUES.items():
-        vote[k] = vote[k] + F.when(low.rlike(a), n).otherwise(0) + F.when(low.rlike(b), m).otherwise(0)
+    # structs in arrays of one hold what several branches use, so that it is made once
+    held = F.array(F.struct(low.alias("low"), words.alias("words")))
+
+    def votes(x: Column) -> Column:
+        count = lambda own: F.size(F.array_intersect(x["words"], lit(own)))
+        out = {}
+        for k, own in GLUE.items():
+            a, n, b, m = CUES.get(k, ("", 0, "", 0))
+            out[k] = count(own) + (F.when(x["low"].rlike(a), n).otherwise(0) if n else 0) + (F.when(x["low"].rlike(b), m).otherwise(0) if m else 0)
+        sure = x["low"].rlike(CUES["pl"][0]) | (count([w for w in GLUE["pl"] if w not in SHARED]) > 0)
+        out["pl"] = F.when(sure, out["pl"]).otherwise(0)
+        return F.struct(x["low"].alias("low"), *[v.alias(k) for k, v in out.items()])
+
     rest = [k for k in GLUE if k != "en"]
-    top = F.greatest(*[vote[k] for k in rest])
-    single = sum((vote[k] == top).cast("int") for k in rest) == 1
-    out = F.lit("en")
-    for k in rest:
-        out = F.when((top > vote["en"]) & (top > 0) & single & (vote[k] == top), k).otherwise(out)
-    return out
+
+    def leader(v: Column) -> Column:
+        """The language that leads alone, en for ties and weak matches; null if no glue word says anything."""
+        top = F.greatest(*[v[k] for k in rest])
+        alone = sum((v[k] == top).cast("int") for k in rest) == 1
+        out = F.when(v["en"] > 0, "en")
+        for k in rest:
+            out = F.when((top > v["en"]) & alone & (v[k] == top), k).otherwise(out)
+        return out
+
+    folded = F.array_distinct(F.split(F.translate(low, *T.ACCENTS), "[^a-z]+"))
+    by_content = F.lit("en")
+    for k in reversed(CONTENT):
+        by_content = F.when(F.arrays_overlap(folded, lit(CONTENT[k])), k).otherwise(by_content)
+    by_glue = F.transform(F.transform(held, votes), leader)[0]
+    return F.when(question.rlike(HANGUL), "ko").otherwise(F.coalesce(by_glue, by_content))
 
 
 #: (intent, pattern) in order; the first that fits decides.

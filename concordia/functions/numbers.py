@@ -222,3 +222,9 @@ def numbers_udf(text: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(DoubleType()))
 def own_numbers_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: sorted(own_numbers(t or "")))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def digits_udf(text: pd.Series) -> pd.Series:
+    """The numbers that a text states in digits."""
+    return text.map(lambda t: sorted({f.value for f in Reader(t or "").figures() if not f.spelled}))

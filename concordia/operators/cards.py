@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,9 +31,17 @@ def verify_cards(cards: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return rows.select("topic", "ref", "quote", F.coalesce(held, F.lit(False)).alias("verified"))
 
 
-def find_run(words: list[str], run: list[str], start: int = 0) -> int:
-    """Place of the run in words at or behind start, -1 if there is none."""
-    return next((k for k in range(start, len(words) - len(run) + 1) if words[k : k + len(run)] == run), -1)
+class Spoken:
+    """Words to look runs up in; a run is found as text, so that the search is linear."""
+
+    def __init__(self, words: list[str]):
+        self.text = " " + " ".join(words) + " "
+        self.starts = [0, *accumulate(len(w) + 1 for w in words)]
+
+    def find(self, run: list[str], start: int = 0) -> int:
+        """Place of the run at or behind start, -1 if there is none or it has no words."""
+        at = self.text.find(" " + " ".join(run) + " ", self.starts[start]) if run and start < len(self.starts) else -1
+        return bisect_left(self.starts, at) if at >= 0 else -1
 
 
 def place_quotes(quotes: DataFrame, spoken: DataFrame) -> DataFrame:
@@ -42,11 +53,12 @@ def place_quotes(quotes: DataFrame, spoken: DataFrame) -> DataFrame:
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("i")
         words, starts, ends = right.w.tolist(), right.start.tolist(), right.end.tolist()
+        spoken = Spoken(words)
         out, free = [], 0.0
         for q in left.sort_values("n").itertuples():
             own = list(q.words)
-            a = find_run(words, own[:ENDS])
-            b = find_run(words, own[-ENDS:], a) if a >= 0 else -1
+            a = spoken.find(own[:ENDS])
+            b = spoken.find(own[-ENDS:], a) if a >= 0 else -1
             if a < 0:
                 continue
             last = b + min(ENDS, len(own)) - 1 if b >= 0 else min(a + len(own), len(words)) - 1

@@ -35,9 +35,10 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
 def cyclic(edges: DataFrame) -> bool:
     """Whether the edges have a cycle: nodes without a way in go, until none does."""
     keep_checkpoints(edges.sparkSession)
+    before = None
     while True:
-        rest = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").checkpoint()
-        n = rest.count()
-        if n == 0 or n == edges.count():
+        edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").checkpoint()
+        n = edges.count()
+        if n in (0, before):
             return n > 0
-        edges = rest
+        before = n

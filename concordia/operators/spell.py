@@ -28,6 +28,8 @@ def suggest(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     asked = asked.join(vocabulary.select("word"), "word", "left_anti")
     known = vocabulary.filter("n >= 2 and length(word) >= 4").select(F.col("word").alias("v"), "n")
     near = asked.select("word", F.explode(deletions(F.col("word"))).alias("k")).join(known.select("v", "n", F.explode(deletions(F.col("v"))).alias("k")), "k").select("word", "v", "n").distinct()
+    # each swap is two plain edits at most: the built-in distance keeps most pairs from Python
+    near = near.filter(F.levenshtein("word", "v", 4) >= 0)
     near = near.withColumn("d", osa_udf("word", "v")).filter(F.col("d") <= F.when(F.length("word") >= 8, 2).otherwise(1))
     stems = asked.filter(F.length("word") >= 9).select("word", F.expr("substring(word, 1, length(word) - 1)").alias("k"), F.length("word").alias("l"))
     longer = known.filter(F.length("v") >= 9).select("v", "n", F.explode(F.transform(F.sequence(F.lit(8), F.length("v") - 1), lambda i: F.substring("v", F.lit(1), i))).alias("k"))

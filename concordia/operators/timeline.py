@@ -7,20 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def numbered(rows: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+def numbered(rows: DataFrame, order: str, buckets: int | None = None, ties: list[str] = ()) -> DataFrame:
     """rows with place, 1 and up in ascending order of a number or date, without one task holding all: rows
     are dealt to buckets by quantiles, numbered within these, and moved by the sizes of those before.
 
-    A row's bucket depends on its value and the quantiles alone, so a task that runs again agrees.
+    A row's bucket depends on its value and the quantiles alone, so a task that runs again agrees. Equal
+    values go by `ties`, which must tell them apart for places to be the same at every run; a frequent value
+    is dealt on by the hash of its ties, so that no value is one task.
     """
     n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 100 * n)).head()[0] or []
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    parts = rows.withColumn("__b", bucket)
+    # a value that is several quantiles is dealt to as many parts
+    often = {c: cuts.count(c) for c in set(cuts) if cuts.count(c) > 1} if ties else {}
+    salt = F.lit(0)
+    for c, k in often.items():
+        salt = F.when(F.col(order) == c, F.pmod(F.xxhash64(*ties), F.lit(k)).cast("int") + 1).otherwise(salt)
+    # the rest of a bucket is below its upper cut, so it comes first
+    parts = rows.withColumn("__b", F.struct(bucket.alias("b"), salt.alias("s")))
     sizes = parts.groupBy("__b").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     moved = sizes.select("__b", before.alias("__before"))  # a row for each bucket
-    within = F.row_number().over(W.partitionBy("__b").orderBy(order))
+    within = F.row_number().over(W.partitionBy("__b").orderBy(order, *ties))
     return parts.withColumn("__n", within).join(F.broadcast(moved), "__b").withColumn("place", F.col("__n") + F.col("__before")).drop("__b", "__n", "__before")
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import language as LG, text as T
+from ..functions import language as LG, numbers as N, text as T
 from ..functions.numbers import numbers_udf
 from ..operators import align as AL, banks as BK, cards as CD, claims as CL, entities as EN, grade as GR, graph as GH, links as LK, recall as RC, spell as SP, verify as VF
 from ..registry import query, table
@@ -49,10 +49,17 @@ def quote_verdicts(spark, sf_dir):
     return VF.verdicts(quote_table(spark, sf_dir), pars(spark, sf_dir)).select("quote_id", "status")
 
 
-@query()
+_DIFFERS = P + f""", q AS (SELECT section AS quote_id, par, CASE section % 4 WHEN 1 THEN replace(text, ',', '') WHEN 2 THEN 'surely ' || text ELSE text END AS body, text FROM paragraphs WHERE par = 1 AND section % 4 <> 3),
+w AS (SELECT quote_id, string_split({_WS.format(_MARK.format('body'))}, ' ') AS a, string_split({_WS.format("replace(" + _MARK.format('text') + ", '*', '')")}, ' ') AS b FROM q)"""
+
+
+@query(_DIFFERS + """ SELECT quote_id, CAST(floor(100.0 * len(b) / len(a) + 0.5) AS INTEGER) AS matched, 'surely' AS quote_says, '(nothing)' AS source_says, 1 AS n FROM w WHERE a[1] = 'surely' AND len(a) = len(b) + 1 AND a[2:] = b""")
 def quote_differences(spark, sf_dir):
-    """How far the mismatches match, and their changes."""
-    return VF.explain_mismatches(VF.verdicts(quote_table(spark, sf_dir), pars(spark, sf_dir)))
+    """How far the mismatches match, and their first change. What the quotations differ by is known: a word too many
+    in front, or words that a comma alone parted, which are no mismatch of words in one."""
+    d = VF.explain_mismatches(VF.verdicts(quote_table(spark, sf_dir), pars(spark, sf_dir)))
+    first = F.col("changes")[0]
+    return d.select("quote_id", "matched", first["quote_says"].alias("quote_says"), first["source_says"].alias("source_says"), F.size("changes").alias("n"))
 
 
 def draft_table(spark, sf_dir):
@@ -61,7 +68,11 @@ def draft_table(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("draft_id"), text.alias("text"))
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT item_id, '# On ' || item_id || chr(10) || chr(10) || 'The book says ' AS head, text FROM benchmark)
+SELECT item_id AS draft_id, CAST(length(head) AS INTEGER) AS start, CAST(length(head) + length(text) + 2 AS INTEGER) AS "end", item_id % 20 || ':' || item_id || '.1' AS citation, 3 AS line, item_id % 20 || ':' || item_id || '.1' AS refs
+FROM d WHERE regexp_matches(text, '\S\s+\S') AND NOT regexp_matches(text, '["“”|]') AND NOT regexp_matches(text, chr(10) || '[ \t]*' || chr(10))"""
+)
 def quote_extraction(spark, sf_dir):
     return VF.extract_quotes(draft_table(spark, sf_dir)).select("draft_id", "start", "end", "citation", "line", F.array_join("refs", ",").alias("refs"))
 
@@ -72,19 +83,48 @@ def dash_marks(spark, sf_dir):
     return VF.dash_check(draft_table(spark, sf_dir)).select("draft_id", "line", "mark")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT item_id, 5 + len(string_split(text, chr(10))) - 1 AS line, 'It gives 1,' || (item_id + 100) || ' years.' AS sentence, 1000 + item_id + 100 AS n FROM benchmark)
+SELECT item_id AS draft_id, CAST(line AS INTEGER) AS line, kind, sentence, CASE kind WHEN 'C2 NUMBER' THEN n || '.00' ELSE 'no paragraph is cited in it, its paragraph or the next' END AS detail FROM d, (VALUES ('C1 UNCITED'), ('C2 NUMBER')) k(kind)"""
+)
 def claim_findings(spark, sf_dir):
+    """Each draft states a figure that it cites nothing for."""
     drafts = draft_table(spark, sf_dir).withColumn("is_data", F.lit(False))
     return CL.check_claims(drafts, pars(spark, sf_dir)).select("draft_id", "line", "kind", "sentence", "detail")
 
 
-@query(P + r", n AS (SELECT ref, regexp_extract_all(text, '\b[0-9]+\b') AS ns FROM paragraphs) SELECT ref, CAST(len(list_distinct(ns)) AS INTEGER) AS n FROM n WHERE len(ns) > 0 AND ref IN (SELECT ref FROM paragraphs WHERE NOT regexp_matches(text, '[0-9][.:,][0-9]'))")
+@query(P + f""", c AS (SELECT ref, paper, section, par, {_WS.format("replace(" + _MARK.format('text') + ", '*', '')")} AS w FROM paragraphs),
+q AS (SELECT section AS quote_id, w AS needle FROM c WHERE par = 1 AND section % 4 = 3 AND len(string_split(w, ' ')) >= 4),
+h AS (SELECT quote_id, ref, row_number() OVER (PARTITION BY quote_id ORDER BY paper, section, par) AS n FROM q JOIN c ON contains(' ' || c.w || ' ', ' ' || needle || ' '))
+SELECT quote_id, string_agg(ref, ',' ORDER BY n) AS found_at FROM h WHERE n <= 5 GROUP BY quote_id""")
+def quotes_elsewhere(spark, sf_dir):
+    """Where quotations stand whose citation names no paragraph."""
+    p = pars(spark, sf_dir)
+    found = VF.find_elsewhere(VF.verdicts(quote_table(spark, sf_dir).filter("quote_id % 4 = 3"), p), p)
+    return found.select("quote_id", F.array_join("found_at", ",").alias("found_at"))
+
+
+@query(
+    P
+    + r""", f AS (SELECT ref, regexp_replace(text, '\b[0-9]+:[0-9]+\.[0-9]+(?:\s*[-–]\s*[0-9]+)?', ' ', 'g') AS t FROM paragraphs WHERE regexp_matches(text, '[0-9]')),
+n AS (SELECT ref, unnest(regexp_extract_all(t, '\b[0-9]{1,3}(?:,[0-9]{3})+\b|\b[0-9]+(?:\.[0-9]+)?\b')) AS d FROM f)
+SELECT ref, CAST(count(DISTINCT v) AS INTEGER) AS n, min(v) AS least, max(v) AS most FROM (SELECT ref, CAST(replace(d, ',', '') AS DOUBLE) AS v FROM n) GROUP BY ref"""
+)
 def stated_numbers(spark, sf_dir):
-    """Different numbers of paragraphs with plain digits only."""
+    """The figures in digits that paragraphs state: plain, with thousands, with decimals."""
+    figures = pars(spark, sf_dir).filter(F.col("text").rlike("[0-9]")).select("ref", N.digits_udf("text").alias("n")).filter(F.size("n") > 0)
+    return figures.select("ref", F.size("n").alias("n"), F.array_min("n").alias("least"), F.array_max("n").alias("most"))
 
 
-    digits = pars(spark, sf_dir).filter(F.col("text").rlike(java(r"\b[0-9]+\b")) & ~F.col("text").rlike("[0-9][.:,][0-9]"))
-    return digits.select("ref", F.size(numbers_udf("text")).alias("n"))
+@query("SELECT p_partkey, (p_partkey % 90 + 10) * 1000 + p_size % 100 AS n FROM part")
+def spelled_numbers(spark, sf_dir):
+    """Numbers in words, as a table spells them."""
+    small = F.array(*[F.lit(w) for w, _ in sorted(N.SMALL.items(), key=lambda x: x[1]) if N.SMALL[w] < 20])
+    tens = F.array(*[F.lit(w) for w, n in sorted(N.SMALL.items(), key=lambda x: x[1]) if n >= 20])
+    say = lambda n: F.when(n < 20, F.element_at(small, (n + 1).cast("int"))).otherwise(F.concat(F.element_at(tens, (F.floor(n / 10) - 1).cast("int")), F.when(n % 10 > 0, F.concat(F.lit("-"), F.element_at(small, (n % 10 + 1).cast("int")))).otherwise("")))
+    big, rest = F.col("p_partkey") % 90 + 10, F.col("p_size") % 100
+    said = F.concat(F.lit("They were "), say(big), F.lit(" thousand"), F.when(rest > 0, F.concat(F.lit(" and "), say(rest))).otherwise(""), F.lit(" in all."))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers_udf(said)[0].cast("long").alias("n"))
 
 
 # --- recall
@@ -154,7 +194,7 @@ def recall_unread_all(spark, sf_dir):
     P
     + f""", a AS (SELECT item_id AS qid, CASE WHEN item_id % 3 = 0 THEN NULL ELSE 'See ' || item_id % 7 || ':1.' || item_id % 5 || ' where ' || text END AS answer, text FROM benchmark),
 g AS (SELECT qid, coalesce(answer LIKE '%' || (qid % 7 || ':1.' || (CASE WHEN qid % 2 = 0 THEN qid % 5 ELSE 9 END)) || ' %', false) AS cite, coalesce(qid % 4 = 1 AND qid % 3 <> 0, false) AS quote, coalesce(contains(' ' || {_WS.format("coalesce(answer, '')")} || ' ', {_WS.format('substr(text, 1, 12)')}), false) AS fact FROM a)
-SELECT 'm' AS model, CAST(sum(cite::INT + quote::INT + fact::INT) AS BIGINT) AS score, 3 * count(*) AS max, CAST(round(100.0 * sum(cite::INT + quote::INT + fact::INT) / (3 * count(*))) AS INTEGER) AS pct, count(*) FILTER (WHERE cite) AS cite_hits, count(*) FILTER (WHERE quote) AS verbatim, count(*) FILTER (WHERE fact) AS facts FROM g"""
+SELECT 'm' AS model, CAST(sum(cite::INT + quote::INT + fact::INT) AS BIGINT) AS score, 3 * count(*) AS max, CAST(round(100.0 * sum(cite::INT + quote::INT + fact::INT) / (3 * count(*))) AS INTEGER) AS pct, count(*) FILTER (WHERE cite) AS cite_hits, count(*) FILTER (WHERE quote) AS verbatim, count(*) FILTER (WHERE fact) AS facts, CAST(count(*) FILTER (WHERE qid % 4 = 2 AND qid % 3 <> 0) AS BIGINT) AS invented FROM g"""
 )
 def bench_grading(spark, sf_dir):
     """One model's answers to all items: a right citation for half of them, quotations for some, the fact."""
@@ -235,13 +275,17 @@ def link_checks(spark, sf_dir):
 
 # --- alignment
 
-@query()
+@query(
+    """WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS ws FROM benchmark)
+SELECT CAST(item_id AS INTEGER) AS paper, round(1 - ((len(ws) + 4) // 9) / len(ws)::DOUBLE, 6) AS exact_rate, len(ws) AS n, round((len(ws) - 1) * 0.4 + 0.3, 4)::DOUBLE AS until FROM t WHERE len(ws) > 0"""
+)
 def token_alignment(spark, sf_dir):
-    """Each benchmark item against a transcript of it with every ninth word misheard, share of exact words."""
+    """Each benchmark item against a transcript of it with every ninth word misheard: the share of exact words, and
+    when the last one ends."""
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("paper"), F.posexplode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")).alias("i", "w"))
     tokens = words.select("paper", "i", F.col("paper").cast("string").alias("ref"), "w")
     heard = words.select("paper", F.when(F.col("i") % 9 == 4, "mumble").otherwise(F.col("w")).alias("token"), (F.col("i") * 0.4).alias("start"), (F.col("i") * 0.4 + 0.3).alias("end"))
-    return AL.align(tokens, heard).groupBy("paper").agg(F.round(F.avg(F.col("x").cast("int")), 6).alias("exact_rate"), F.count("*").alias("n"))
+    return AL.align(tokens, heard).groupBy("paper").agg(F.round(F.avg(F.col("x").cast("int")), 6).alias("exact_rate"), F.count("*").alias("n"), F.round(F.max("end"), 4).alias("until"))
 
 
 @query(
@@ -260,21 +304,30 @@ def alignment_checks(spark, sf_dir):
 _SENTENCES_OF_PARS = P + r""", split AS (SELECT ref, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM paragraphs)"""
 _GLUE = {k: ", ".join(f"'{w}'" for w in v) for k, v in LG.GLUE.items()}
 _VOTE = "len(list_filter(ws, lambda w: w IN ({})))"
+_SURE = ", ".join(f"'{w}'" for w in LG.GLUE["pl"] if w not in LG.SHARED)
+_CONTENT = " ".join(f"WHEN len(list_intersect(fw, [{', '.join(repr(w) for w in own)}])) > 0 THEN '{k}'" for k, own in LG.CONTENT.items())
 
 
 @query(
-    rf"""WITH q AS (SELECT doc_id, lower(text) AS low, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS ws FROM documents),
-v AS (SELECT doc_id, {_VOTE.format(_GLUE['en'])} AS en, {_VOTE.format(_GLUE['es'])} + CASE WHEN regexp_matches(low, '[¿¡]') THEN 3 ELSE 0 END + CASE WHEN contains(low, 'ñ') THEN 2 ELSE 0 END AS es,
+    rf"""WITH d AS (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT doc_id * 2 + 1, CASE doc_id % 6 WHEN 0 THEN '무엇 ' || source WHEN 1 THEN 'Czy to jest ' || source WHEN 2 THEN 'to ' || source WHEN 3 THEN 'Filosofía, ' || source WHEN 4 THEN 'święty ' || source ELSE 'Wahrheit ' || source END FROM documents),
+q AS (SELECT id, text, lower(text) AS low, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS ws, regexp_split_to_array(translate(lower(text), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}'), '[^a-z]+') AS fw FROM d),
+v AS (SELECT id, text, fw, {_VOTE.format(_GLUE['en'])} AS en, {_VOTE.format(_GLUE['es'])} + CASE WHEN regexp_matches(low, '[¿¡]') THEN 3 ELSE 0 END + CASE WHEN contains(low, 'ñ') THEN 2 ELSE 0 END AS es,
   {_VOTE.format(_GLUE['fr'])} + CASE WHEN regexp_matches(low, '[çœ]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(low, '[êèù]') THEN 2 ELSE 0 END AS fr,
-  {_VOTE.format(_GLUE['de'])} + CASE WHEN contains(low, 'ß') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(low, '[äöü]') THEN 2 ELSE 0 END AS de FROM q),
-t AS (SELECT *, greatest(es, fr, de) AS top FROM v)
-SELECT doc_id, CASE WHEN top > en AND top > 0 AND (es = top)::INT + (fr = top)::INT + (de = top)::INT = 1 THEN CASE top WHEN es THEN 'es' WHEN fr THEN 'fr' ELSE 'de' END ELSE 'en' END AS lang FROM t"""
+  {_VOTE.format(_GLUE['de'])} + CASE WHEN contains(low, 'ß') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(low, '[äöü]') THEN 2 ELSE 0 END AS de,
+  CASE WHEN regexp_matches(low, '[ąćęłńśźż]') THEN {_VOTE.format(_GLUE['pl'])} + 3 WHEN {_VOTE.format(_SURE)} > 0 THEN {_VOTE.format(_GLUE['pl'])} ELSE 0 END AS pl FROM q),
+t AS (SELECT *, greatest(es, fr, de, pl) AS top FROM v)
+SELECT id, CASE WHEN regexp_matches(text, '[\x{{ac00}}-\x{{d7af}}]') THEN 'ko' WHEN top > en AND top > 0 AND (es = top)::INT + (fr = top)::INT + (de = top)::INT + (pl = top)::INT = 1 THEN CASE top WHEN es THEN 'es' WHEN fr THEN 'fr' WHEN de THEN 'de' ELSE 'pl' END
+  WHEN en > 0 THEN 'en' {_CONTENT} ELSE 'en' END AS lang FROM t"""
 )
 def language_votes(spark, sf_dir):
-    """Glue words and character cues of every document, without Python."""
-    return table(spark, sf_dir, "documents").select("doc_id", LG.detect_language(F.col("text")).alias("lang"))
+    """Glue words, character cues, scripts and content words of every document and of a short question on it, without Python."""
+    docs = table(spark, sf_dir, "documents")
+    asked = F.expr("case doc_id % 6 when 0 then '무엇 ' || source when 1 then 'Czy to jest ' || source when 2 then 'to ' || source when 3 then 'Filosofía, ' || source when 4 then 'święty ' || source else 'Wahrheit ' || source end")
+    texts = docs.select((F.col("doc_id") * 2).alias("id"), "text").unionByName(docs.select((F.col("doc_id") * 2 + 1).alias("id"), asked.alias("text")))
+    return texts.select("id", LG.detect_language(F.col("text")).alias("lang"))
 
 
+_CHATTY_SQL = "CASE WHEN (conv_id + turn) % 3 > 0 THEN 'tell me more' ELSE 'about ' || conv_id END"
 _CHATTY = "CASE conv_id % 5 WHEN 0 THEN 'Hello' WHEN 1 THEN 'Thank you so much' WHEN 2 THEN 'tell me more' WHEN 3 THEN 'open paper 12' ELSE text END"
 
 
@@ -283,13 +336,30 @@ def chat_intents(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", LG.chat_intent(F.expr(_CHATTY)).alias("intent"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[\\s,.;!-]+$', '') AS question FROM conversations WHERE NOT regexp_matches(text, '(?i)please|thank|\\b(hi|hello|hey|good)\\b')")
+def _trim_sql(text: str) -> str:
+    for pattern in LG.TRIMS:
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({text}, '\s+([,.?!])', '\1', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("SELECT conv_id, turn, " + _trim_sql("'Hello, can you tell me about please ' || text || ' Thank you so much!'") + " AS question FROM conversations")
 def chat_trim(spark, sf_dir):
-    """Courtesies put around each turn come off again."""
-    turns = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(java(r"(?i)please|thank|\b(hi|hello|hey|good)\b")))
+    """Courtesies put around each turn come off again, and those that the turn has."""
+    turns = table(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", LG.trim_chat(F.concat(F.lit("Hello, can you tell me about please "), F.col("text"), F.lit(" Thank you so much!"))).alias("question"))
 
 
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_CHATTY_SQL} AS text FROM conversations), m AS (SELECT *, text = 'tell me more' AS more FROM t),
+q AS (SELECT *, count(*) FILTER (WHERE NOT more) OVER (PARTITION BY conv_id ORDER BY turn) AS question, last_value(CASE WHEN NOT more THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM m)
+SELECT conv_id, turn, asked, CAST(page * 10 + 1 AS BIGINT) AS first, CAST(page * 10 + 10 AS BIGINT) AS last FROM (SELECT *, count(*) FILTER (WHERE more) OVER (PARTITION BY conv_id, question ORDER BY turn) AS page FROM q) WHERE more AND asked IS NOT NULL"""
+)
+def more_pages(spark, sf_dir):
+    """Which places of the last answer a turn that asks for more gets; here two turns of three ask for more."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_CHATTY_SQL).alias("text"))
+    return ST.pages_of(turns.withColumn("intent", LG.chat_intent(F.col("text"))))
+
+
 @query(
     r"""WITH t AS (SELECT item_id, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z''\s]', ' ', 'g'), '\s+'), lambda w: w <> '') AS ws FROM benchmark)
 SELECT item_id, item_id % 2 = 1 OR len(ws) < 5 AS shown FROM t"""
@@ -300,12 +370,22 @@ def intro_guard(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", LG.guard_intro(intro, F.col("text")).alias("shown"))
 
 
-@query()
+@query(
+    r"""WITH v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents) GROUP BY word),
+a AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) FROM conversations) WHERE length(word) >= 6 AND word NOT IN (SELECT word FROM v)),
+k AS (SELECT word AS v, n FROM v WHERE n >= 2),
+near AS (SELECT word, v, n, damerau_levenshtein(word, v) AS d FROM a JOIN k ON abs(length(word) - length(v)) <= 2 WHERE damerau_levenshtein(word, v) <= CASE WHEN length(word) >= 8 THEN 2 ELSE 1 END
+  -- of a swap and another edit, the edit stands outside the swapped letters
+  AND (damerau_levenshtein(word, v) < 2 OR levenshtein(word, v) <> 3 OR len(list_filter(range(1, length(word)), lambda i: (starts_with(v, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1)) AND levenshtein(substr(word, i + 2), substr(v, i + 2)) <= 1)
+    OR (suffix(v, substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2)) AND levenshtein(substr(word, 1, i - 1), substr(v, 1, length(v) - length(word) + i - 1)) <= 1))) > 0)),
+forms AS (SELECT word, v, n, 0 AS d FROM a JOIN k ON length(word) >= 9 AND length(v) > length(word) AND starts_with(v, substr(word, 1, length(word) - 1)))
+SELECT word, arg_min(v, (d, -n, v)) AS suggestion FROM (SELECT * FROM near UNION ALL SELECT * FROM forms) GROUP BY word"""
+)
 def spelling(spark, sf_dir):
-    """Suggestions for words of the questions that the documents never use."""
+    """Suggestions for words of items and turns that the documents never use."""
     words = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"))).alias("word"))
     vocabulary = words(table(spark, sf_dir, "documents")).groupBy("word").agg(F.count("*").alias("n"))
-    return SP.suggest(words(table(spark, sf_dir, "benchmark")).unionByName(words(table(spark, sf_dir, "conversations").filter("role = 'user'"))).distinct(), vocabulary)
+    return SP.suggest(words(table(spark, sf_dir, "benchmark")).unionByName(words(table(spark, sf_dir, "conversations"))).distinct(), vocabulary)
 
 
 @query()
@@ -319,10 +399,10 @@ def quotation_bank(spark, sf_dir):
 
 @query()
 def captions(spark, sf_dir):
-    """Caption lines of every conversation turn, a word each half second."""
-    words = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("chapter"), "turn", F.posexplode(F.split("text", r"\s+")).alias("k", "w"))
-    i = F.row_number().over(W.partitionBy("chapter").orderBy("turn", "k"))
-    timed = words.withColumn("i", i).select("chapter", "i", "w", (F.col("i") * 0.5).alias("start"), (F.col("i") * 0.5 + 0.5).alias("end"))
+    """Caption lines of every conversation, a word each half second, a turn a paragraph."""
+    words = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("par"), F.posexplode(F.split("text", r"\s+")).alias("k", "w"))
+    i = F.row_number().over(W.partitionBy("chapter").orderBy("par", "k"))
+    timed = words.withColumn("i", i).select("chapter", "par", "i", "w", (F.col("i") * 0.5).alias("start"), (F.col("i") * 0.5 + 0.5).alias("end"))
     return BK.cues(timed)
 
 
@@ -340,14 +420,20 @@ def card_slices(spark, sf_dir):
     return CD.verify_cards(CD.slice_cards(cards, p), p).select("ref", "quote", "verified")
 
 
-@query()
+@query(
+    """WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS ws FROM benchmark),
+q AS (SELECT item_id, ws, ws[4:12] AS own FROM t WHERE len(ws) >= 4),
+a AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda k: ws[k : k + least(4, len(own)) - 1] = own[1:4])[1] AS a FROM q),
+b AS (SELECT *, list_filter(range(a, len(ws) + 1), lambda k: ws[k : k + least(4, len(own)) - 1] = own[greatest(1, len(own) - 3) :])[1] AS b FROM a)
+SELECT item_id AS episode, 1 AS n, round((a - 1) * 0.4, 4)::DOUBLE AS start, round(greatest((b - 1 + least(4, len(own)) - 1) * 0.4 + 0.3, (a - 1) * 0.4 + 4), 4)::DOUBLE AS "end" FROM b"""
+)
 def quote_times(spark, sf_dir):
     """When each item's words from the fourth to the twelfth are spoken in a transcript of all of it."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("episode"), words.alias("ws"))
     quotes = b.select("episode", F.lit(1).alias("n"), F.slice("ws", 4, 9).alias("words"))
     spoken = b.select("episode", F.posexplode("ws").alias("i", "w")).select("episode", "i", "w", (F.col("i") * 0.4).alias("start"), (F.col("i") * 0.4 + 0.3).alias("end"))
-    return CD.place_quotes(quotes, spoken)
+    return CD.place_quotes(quotes, spoken).select("episode", "n", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
 
 @query(_SENTENCES_OF_PARS + r""" SELECT ref, CASE WHEN length(s) > 220 THEN substr(s, 1, 217) || '...' ELSE s END AS excerpt FROM (SELECT ref, coalesce(list_filter(ss, lambda x: regexp_matches(lower(x), '\btion\w*'))[1], ss[1]) AS s FROM split)""")
@@ -415,7 +501,7 @@ def stream_hourly_counts(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     path = f"{scratch(spark)}/concordia/hourly-{uuid.uuid4().hex}"
-    out = ST.run_to_table(ST.hourly_counts(stream), f"{path}/out", f"{path}/state")
+    out = ST.run_to_table(ST.hourly_counts(stream), ["hour", "event_type"], f"{path}/out", f"{path}/state")
     return out.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

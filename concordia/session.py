@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -58,7 +59,19 @@ def keep_checkpoints(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again, for results that several branches use."""
-    path = f"{scratch(df.sparkSession)}/concordia/{name}-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read again, for results that several branches use. The
+    table goes when the process ends."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/concordia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system its path names."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended before the process
+        return

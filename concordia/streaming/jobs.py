@@ -41,20 +41,36 @@ def append_log(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Counts by hour and event_type; rows later than `late` behind the newest are dropped once their hour closed."""
+    """Counts by hour and event_type. In update or append mode, rows later than `late` behind the newest are dropped
+    once their hour closed, and its state with them."""
     at = events.withColumn("at", F.col("ts").cast("timestamp"))
     counts = at.withWatermark("at", late).groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counts.select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now and return its complete result."""
+def run_to_table(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Run a windowed aggregate over what is there now and return its rows. The stream updates: a batch writes the
+    groups that it changed, under its number, so that a batch that runs again overwrites itself, and state behind
+    the watermark goes. A group's row is that of its last batch."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("__v")).select(*keys, "__v.*")
 
-    def batch(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite").parquet(path)
 
-    stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+def pages_of(turns: DataFrame, size: int = 10) -> DataFrame:
+    """turns(conv_id, turn, text, intent): conv_id, turn, asked, first, last of each turn that asks for more: the
+    last question before it, and the places of its answer that come next."""
+    order = W.partitionBy("conv_id").orderBy("turn")
+    is_more = F.col("intent").eqNullSafe("more")
+    rows = turns.select("conv_id", "turn", F.last(F.when(~is_more, F.col("text")), ignorenulls=True).over(order).alias("asked"), is_more.alias("more"), F.sum((~is_more).cast("int")).over(order).alias("question"))
+    page = F.row_number().over(W.partitionBy("conv_id", "question").orderBy("turn")) - F.when(F.col("question") > 0, 1).otherwise(0)
+    rows = rows.withColumn("page", page.cast("long")).filter(F.col("more") & F.col("asked").isNotNull())
+    return rows.select("conv_id", "turn", "asked", (F.col("page") * size + 1).alias("first"), ((F.col("page") + 1) * size).alias("last"))
 
 
 def history(turns: DataFrame, k: int = 3) -> DataFrame:

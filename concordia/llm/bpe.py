@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Shared, batch_of, map_batches
 
 SPACE = "▁"
-#: Entries that a worker remembers, of chunks and of pairs; then it starts anew.
-MEMO = 400_000
+#: Entries that a worker remembers, of chunks (twice) and of pairs; then it starts anew.
+MEMO = 250_000
 #: Longer chunks are encoded but not remembered.
 MEMO_CHARS = 64
 
@@ -59,10 +59,14 @@ class MergeCodec:
             self.machine.add_word(p, (len(p) - 1, i))
         self.machine.make_automaton()
         self.size = [len(p) for p, _, _ in vocabulary]
+        #: token: the next shorter one that it starts with, or -1
+        self.shorter = [next((normal[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in normal), -1) if kind == "n" else -1 for p, _, kind in vocabulary]
         self.chunks, self.known = chunk_pattern(normal), frozenset(p for p in normal if len(p) == 1)
         #: (token before or -1, token): whether they may stand together
         self.pairs: dict[tuple[int, int], bool] = {}
+        #: chunk: its ids; when one is full the other is emptied, and what is asked for again moves on
         self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         as_bytes = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == "b" else b"" if kind == "c" else b" \xe2\x81\x87 " if kind == "u" else p.replace(SPACE, " ").encode()
         self.surface = {str(i): as_bytes(p, kind) for i, (p, _, kind) in enumerate(vocabulary)}
 
@@ -102,39 +106,35 @@ class MergeCodec:
 
     def segment(self, text: str) -> list[int]:
         """A text of characters that all are pieces."""
-        n, size, known = len(text), self.size, self.pairs.get
-        at: list[list[int]] = [[] for _ in text]
+        n, size, shorter, known = len(text), self.size, self.shorter, self.pairs.get
+        longest = [-1] * n
         for end, (back, token) in self.machine.iter(text):
-            at[end - back].append(token)  # shorter ones end sooner, so the longest is last
+            longest[end - back] = token  # matches come by their end, so the last one is the longest
         failed = bytearray(n + 1)
         ids: list[int] = []
-        places: list[int] = []
-        pos, last = 0, -1
-        k = len(at[0]) - 1 if n else -1
+        pos, last, token = 0, -1, longest[0] if n else -1
         while pos < n:
-            options = at[pos]
-            while k >= 0:
-                token = options[k]
+            while token >= 0:
                 if not failed[pos + size[token]]:
                     fits = known((last, token))
                     if self.compatible(last, token) if fits is None else fits:
                         break
-                k -= 1
+                token = shorter[token]
             else:
                 failed[pos] = 1
                 if not ids:
                     # only with pieces that no merge reaches
                     return self.merged(text)
-                pos -= size[ids.pop()]
-                k = places.pop() - 1
+                token = ids.pop()
+                pos -= size[token]
+                token = shorter[token]
                 last = ids[-1] if ids else -1
                 continue
             ids.append(token)
-            places.append(k)
             last = token
             pos += size[token]
             if pos < n:
-                k = len(at[pos]) - 1
+                token = longest[pos]
         return ids
 
     def chunk(self, text: str) -> list[int]:
@@ -157,14 +157,16 @@ class MergeCodec:
         """The ids with the end id, in decimal, joined by one space."""
         if not text:
             return str(self.end)
-        memo, parts = self.memo, []
+        memo, older, parts = self.memo, self.older, []
         for c in self.chunks.findall(SPACE + text.replace(" ", SPACE)):
             if (known := memo.get(c)) is None:
-                known = " ".join(map(str, self.chunk(c)))
+                if (known := older.get(c)) is None:
+                    known = " ".join(map(str, self.chunk(c)))
                 if len(c) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
                     memo[c] = known
+                    if len(memo) >= MEMO:
+                        older.clear()
+                        self.memo, self.older = memo, older = older, memo
             parts.append(known)
         parts.append(str(self.end))
         return " ".join(parts)

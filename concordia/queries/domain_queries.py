@@ -155,14 +155,17 @@ def recall_triggers(spark, sf_dir):
     return RC.triggers(recall_drafts(spark, sf_dir), RULES, LIMITING)
 
 
-@query(
+_UNREAD = (
     _TRIGGERS
     + r""", needed AS (SELECT g.id, p.ref, p.paper FROM paragraphs p, (VALUES """
     + ", ".join(f"('{a}', '{c}')" for a, _, c in GROUPS)
     + r""") g(id, book) WHERE p.paper NOT IN (3, 7) AND regexp_matches(lower(p.text), g.book)),
-due AS (SELECT DISTINCT draft_id, ref, paper FROM triggered JOIN needed USING (id) WHERE draft_id % 50 = 0)
+due AS (SELECT DISTINCT draft_id, ref, paper FROM triggered JOIN needed USING (id){drafts})
 SELECT draft_id, count(*) AS n, min(ref) AS first_ref FROM due WHERE NOT (paper BETWEEN 10 AND 14) AND paper <> 2 AND paper * 50 <> draft_id GROUP BY draft_id"""
 )
+
+
+@query(_UNREAD.replace("{drafts}", " WHERE draft_id % 50 = 0"))
 def recall_unread(spark, sf_dir):
     """Required paragraphs that the stated drafts (every fiftieth document) neither cite nor had reviewed."""
     drafts = recall_drafts(spark, sf_dir).filter("draft_id % 50 = 0")
@@ -174,7 +177,7 @@ def recall_unread(spark, sf_dir):
     return RC.unread(due, needed, cited, reviewed).groupBy("draft_id").agg(F.count("*").alias("n"), F.min("ref").alias("first_ref"))
 
 
-@query()
+@query(_UNREAD.replace("{drafts}", ""))
 def recall_unread_all(spark, sf_dir):
     """The same for all drafts, here every document."""
     keep_checkpoints(spark)
@@ -458,8 +461,14 @@ def answer_texts(spark, sf_dir):
 
 # --- pages, graphs and streams
 
-@query()
+@query(
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<(p|h1)>', chr(1) || '\1' || chr(2), 'g') AS body FROM pages),
+b AS (SELECT page_id, unnest(range(2, len(ps) + 1)) AS k, unnest(ps[2:]) AS piece FROM (SELECT page_id, string_split(body, chr(1)) AS ps FROM a)),
+t AS (SELECT page_id, k, split_part(piece, chr(2), 1) AS tag, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(split_part(piece, chr(2), 2), '(?s)</(p|h1)>.*', ''), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INTEGER) AS pos, tag, text FROM t WHERE text <> '' AND NOT regexp_matches(text, '(?i)^by\s+[a-z][\p{L}\p{N}_.'' -]{2,40}$')"""
+)
 def article_blocks(spark, sf_dir):
+    """The blocks of every page's article; pages here have one container with text."""
     return RD.articles(table(spark, sf_dir, "pages"))
 
 

@@ -68,6 +68,11 @@ def detect_language(question: Column) -> Column:
     return F.when(question.rlike(HANGUL), "ko").otherwise(F.coalesce(by_glue, by_content))
 
 
+def chat_models(ids: Column) -> Column:
+    """Of a service's model names those that chat: no blank ones, none for embeddings."""
+    return F.filter(ids, lambda m: m.isNotNull() & (F.trim(m) != "") & ~F.lower(m).contains("embed"))
+
+
 #: (intent, pattern) in order; the first that fits decides.
 INTENTS = [
     ("greeting", r"^(hi|hello|hey|good (morning|evening|day))( there)?[.! ]*$"),

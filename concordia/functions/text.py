@@ -173,6 +173,17 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
+def greedy_sentences(text: Column) -> Column:
+    """Runs up to their stops; what no stop ends is left out."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"([^.!?]+[.!?]+)"), F.lit(1)), lambda s: F.trim(s))
+
+
+def sentences_but(text: Column, abbreviations: list[str]) -> Column:
+    """sentences(), but none ends behind an abbreviation."""
+    held = F.regexp_replace(text, rf"(?<!{WORD})({'|'.join(re.escape(a) for a in abbreviations)})\.(\s)", "$1\u0001$2")
+    return F.transform(sentences(held), lambda s: F.replace(s, F.lit("\u0001"), F.lit(".")))
+
+
 def roman_number(word: Column) -> Column:
     pairs = [x for n, r in enumerate(ROMAN, 1) for x in (F.lit(r), F.lit(n))]
     return F.try_element_at(F.create_map(*pairs), word)

@@ -174,6 +174,32 @@ def translation_paragraphs(spark, sf_dir):
     return rows.select("paper", "title", "section_title", "author", "text", F.col("section").cast("long").alias("section"), "par")
 
 
+@query("SELECT n_nationkey, n_name, 2 AS place FROM nation")
+def complete_source(spark, sf_dir):
+    """Of a missing folder, one with too few files and a complete one, the last is read."""
+    at, nations = _place(spark, "mirrors"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    RD.write_json(nations.filter("n_nationkey < 3").coalesce(1), f"{at}/one")
+    RD.write_json(nations.repartition(3, "n_nationkey"), f"{at}/two")
+    place = RD.first_complete(spark, [f"{at}/none", f"{at}/one", f"{at}/two"], 2, "*.json")
+    return spark.read.schema(nations.schema).json(place).withColumn("place", F.lit([f"{at}/none", f"{at}/one", f"{at}/two"].index(place)))
+
+
+@query("SELECT * FROM (VALUES ('nation.parquet', 'copied', 25), ('absent.parquet', 'skipped', NULL), ('region.parquet', 'copied', 5)) t(name, state, n)")
+def copied_sources(spark, sf_dir):
+    """Sources copied by name, one of them optional and absent."""
+    at = _place(spark, "copies")
+    done = RD.copy_files(spark, ["nation.parquet", "absent.parquet", "region.parquet"], sf_dir, at, {"absent.parquet"})
+    return spark.createDataFrame([(n, s, spark.read.parquet(f"{at}/{n}").count() if s == "copied" else None) for n, s in done], "name string, state string, n long")
+
+
+@query("SELECT p_brand AS service, array_to_string(list_sort(list_filter(list(p_name || CASE p_size % 3 WHEN 0 THEN '-Embed' ELSE '' END), lambda m: NOT contains(lower(m), 'embed'))), ',') AS models FROM part GROUP BY p_brand")
+def chat_model_lists(spark, sf_dir):
+    """Models that chat, of each service's list."""
+    name = F.concat(F.col("p_name"), F.when(F.col("p_size") % 3 == 0, "-Embed").otherwise(""))
+    lists = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("service")).agg(F.collect_list(name).alias("ids"))
+    return lists.select("service", F.array_join(F.sort_array(LG.chat_models(F.col("ids"))), ",").alias("models"))
+
+
 # --- drafts
 
 @query(f"SELECT item_id AS draft_id, line, block FROM (SELECT item_id, 6 AS line, 'The first, of item ' || item_id || ' and on' AS block FROM benchmark UNION ALL SELECT item_id, 15, {_FLAT} FROM benchmark WHERE {_FLAT} <> '')")
@@ -197,6 +223,29 @@ def resolved_groups(spark, sf_dir):
     return spark.createDataFrame([(t, ",".join(g.id for g in RC.resolve(t, RC.python_groups(RULES)))) for t in ("und", "lichkeit", "anthe", "que la", "Peru")], "term string, ids string")
 
 
+@query(
+    r"""WITH t AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM benchmark),
+s AS (SELECT item_id, list_concat(['He came c. 5 B.C. to us.', '"It is. So." he said!'], string_split(regexp_replace(regexp_replace(line, '(?i)\b(c|ca|vs|st|dr|mr|no|pp?)\.(\s)', '\1' || chr(2) || '\2', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS ss FROM t WHERE line <> '')
+SELECT item_id, i AS n, replace(ss[i], chr(2), '.') AS sentence FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s)"""
+)
+def draft_sentences(spark, sf_dir):
+    """Sentences of drafts: no end inside quotations or behind abbreviations."""
+    block = F.concat(F.lit('He came c. 5 B.C. to us. “It is.  So.” he *said*! '), F.col("line"))
+    found = _items(spark, sf_dir).filter("line != ''").select("item_id", F.posexplode(CL.split_sentences_udf(block)).alias("k", "sentence"))
+    return found.select("item_id", (F.col("k") + 1).cast("long").alias("n"), "sentence")
+
+
+@query(
+    P
+    + r""", g AS (SELECT ref, text, list_transform(regexp_extract_all(text, '[^.!?]+[.!?]+'), lambda s: trim(s, ' ')) AS g, regexp_replace(text, '\b(an|et|es)\.(\s)', '\1' || chr(1) || '\2', 'g') AS held FROM paragraphs)
+SELECT ref, len(g) AS greedy, g[1] AS first_greedy, len(b) AS but, replace(b[len(b)], chr(1), '.') AS last_but FROM (SELECT *, string_split(regexp_replace(held, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)) AS b FROM g)"""
+)
+def sentence_splitters(spark, sf_dir):
+    """The greedy splitter, and the one that knows abbreviations ("an", "et", "es" here), of every paragraph."""
+    rows = pars(spark, sf_dir).select("ref", T.greedy_sentences(F.col("text")).alias("g"), T.sentences_but(F.col("text"), ["an", "et", "es"]).alias("b"))
+    return rows.select("ref", F.size("g").cast("long").alias("greedy"), F.try_element_at("g", F.lit(1)).alias("first_greedy"), F.size("b").cast("long").alias("but"), F.element_at("b", -1).alias("last_but"))
+
+
 # --- words
 
 @query(P + r" SELECT ref, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')), lambda w: w <> ''), ' ') AS surface FROM paragraphs")

@@ -15,6 +15,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import refs as R, text as T
 from ..session import ship
 
+# --- places
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def first_complete(spark: SparkSession, places: list[str], least: int = 1, pattern: str = "*") -> str:
+    """The first of several folders (a store, a local copy, mirrors) that holds at least so many files of the
+    pattern. A place that can't be asked counts as empty; if none is complete, the error names them all."""
+    for place in places:
+        try:
+            fs, at = _at(spark, f"{place}/{pattern}")
+            if len(fs.globStatus(at) or ()) >= least:
+                return place
+        except Exception:  # the next place may answer
+            continue
+    raise FileNotFoundError(f"no complete source among {', '.join(places)}")
+
+
+def copy_files(spark: SparkSession, names: list[str], source: str, target: str, optional: set[str] = frozenset(), tries: int = 3) -> list[tuple[str, str]]:
+    """Copy files or folders by name between any two file systems: (name, copied or skipped) of each. A name is tried
+    `tries` times; one that fails for good ends the copy unless it is optional."""
+    out = []
+    for name in names:
+        for left in range(tries - 1, -1, -1):
+            try:
+                (fs, a), (to, b) = _at(spark, f"{source}/{name}"), _at(spark, f"{target}/{name}")
+                spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, True, spark._jsc.hadoopConfiguration())
+                out.append((name, "copied"))
+                break
+            except Exception:
+                if not left and name not in optional:
+                    raise
+        else:
+            out.append((name, "skipped"))
+    return out
+
+
 # --- topics
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordia.functions import language as LG, numbers as N, refs as R, text as T
-from concordia.operators import align, ask, banks, claims, graph, links, recall, search, spell, verify
+from concordia.operators import align, ask, banks, cards, claims, grade, graph, links, recall, rules, search, spell, verify
 from concordia.sources import corpus, readers
 
 
@@ -257,7 +257,108 @@ def test_ask(spark):
     first = {r.qid: r.ref for r in got if r.place == 1}
     assert first == {0: "1:1.1", 1: "1:4.1"} or first == {0: "1:1.1", 1: "1:3.1"}
     assert all("lantern walk" in r.why for r in got if r.qid == 0)
-    assert [s.label for s in ask.plan("is paper 12 about bread", ask.Rules(), {"bread": 2})] == ["own words", "paper 12"]
+    assert [s.label for s in ask.plan("is paper 12 about bread", ask.Rules(), {"bread": 2}).searches] == ["own words", "paper 12"]
+
+
+def answers(spark, question, rows, rules=None):
+    p = spark.createDataFrame([(f"1:{k}.1", 1, k, 1, t, h) for k, (t, h) in enumerate(rows, 1)], "ref string, paper int, section long, par long, text string, heading string")
+    return {r.ref: r for r in ask.answer(p, [question], rules or ask.Rules()).collect()}
+
+
+def test_ask_counts_and_times(spark):
+    rows = [("Brothers and sisters lived in the towns of the coast, and nobody counted the eight valleys.", "x"), ("In that house were eight brothers and sisters.", "x"), ("Sisters only, four in all.", "x")]
+    got = answers(spark, "How many brothers and sisters did they have?", rows)
+    assert got["1:2.1"].place == 1 and "the number of brothers sisters" in got["1:2.1"].why and "the number" not in got["1:1.1"].why
+    rows = [("He stood on the hill from noon to the ninth hour, three hours and more.", "x"), ("On the hill stood a tree.", "x")]
+    got = answers(spark, "How long was he on the hill?", rows)
+    assert "the time" in got["1:1.1"].why and "the time" not in got["1:2.1"].why
+
+
+def test_ask_definitions_headings_and_titles(spark):
+    rows = [("Some say much of courage.", "IV. Courage | The Virtues"), ("Men go far. Courage is the heart of it.", "x"), ("Courageous men.", "Other")]
+    got = answers(spark, "What is courage?", rows)
+    assert got["1:2.1"].place == 1 and "what courage is" in got["1:2.1"].why and "the section on courage" in got["1:1.1"].why
+    rows = [("A guardian came, and angels after.", "The Guardian Angels | Part"), ("A guardian and the angel of another tale.", "x")]
+    got = answers(spark, "Have they a guardian angel?", rows)
+    assert "section about it" in got["1:1.1"].why and "section" not in got["1:2.1"].why and "exact words" in got["1:2.1"].why
+
+
+def test_ask_word_order_and_closeness(spark):
+    rows = [("The will of the maker is done; human will bends.", "x"), ("A will, and later a maker.", "x"), ("Truth, beauty and love are one.", "x"), ("Truth was " + "so " * 30 + "far from beauty, and " * 9 + "love.", "x")]
+    got = answers(spark, "How can our will meet the maker's will?", rows, ask.Rules(asking=ask.ASKING - {"will"}))
+    assert "will of maker" in got["1:1.1"].why and "human will" in got["1:1.1"].why and got["1:1.1"].place == 1
+    got = answers(spark, "truth beauty love", rows)
+    assert "truth, beauty, love together" in got["1:3.1"].why and "together" not in got["1:4.1"].why
+
+
+def test_ask_plans():
+    labels = lambda p: [s.label for s in p.searches]
+    rules = ask.Rules(terms={"beginning of time": ["dawn of ages"], "anna": ["Anna"], "die": ["survival"], "child": ["nursery"]}, specific={"dawn of ages"}, drops=[(r"\banna\b", r"\bdied?\b", frozenset({"nursery"}))],
+                      statements=[ask.Statement((r"\bhow old\b", r"\banna\b", r"\bdie"), (("almost thirty years", 5.0, "stated lifespan"),), frozenset({"survival"}), own_words=False)])
+    p = ask.plan("What happened in the beginning of time?", rules, {})
+    assert p.searches[0].query == "happened" and labels(p) == ["own words", "dawn of ages"] and p.searches[1].weight == 3.0 and p.searches[1].opens
+    assert ask.plan("What happened in the beginning of time?", rules, {"beginning of time": 2}).searches[0].query == "happened beginning time"
+    assert "nursery" not in labels(ask.plan("Was Anna a child?", rules, {})) and "nursery" in labels(ask.plan("Anna, a child who died", rules, {}))
+    p = ask.plan("How old is Anna?", rules, {})
+    assert "Anna born" in labels(p) and [b.label for b in p.boosts] == ["Anna birth"]
+    p = ask.plan("How old was Anna when she would die?", rules, {})
+    assert labels(p) == ["Anna"] and "stated lifespan" in [b.label for b in p.boosts]
+    df = {"midwayers": 100, "created": 900}
+    assert "anchor: midwayers" in labels(ask.plan("midwayers created", rules, df, {"midwayers"})) and "anchor: midwayers" not in labels(ask.plan("midwayers created", rules, df))
+    assert labels(ask.plan("define the supreme being", ask.Rules(names={"supreme being"}), {}))[-1] == "supreme being" and ask.subject_of("Define the Supreme Being for me.", rules) == "supreme being"
+    assert ask.plan("non-adamic people", rules, {"adamic": 3}).searches[0].query == "adamic people"
+
+
+def test_names_of_a_corpus(spark):
+    p = paragraphs(spark, ["Then the Father God the Supreme spoke.", "God the Supreme and God the Supreme.", "The Supreme Being, Supreme Being"])
+    assert {(r.name, r.n) for r in ask.corpus_names(p, least=2).collect()} == {("god the supreme", 3), ("supreme being", 2)}
+    assert [r.name for r in ask.corpus_names(p, ["supreme being", "no name"], 1).collect()] == ["supreme being"]
+
+
+def test_rules(spark):
+    rows = spark.createDataFrame([("said (xy 12:3) the book it is",), ('"the book is" only',), ("the book " + "and " * 40 + "is",), ("we ourselves",)], "t string")
+    edge = r"(?<![a-z])%s(?![a-z])"
+    got = [r.c for r in rows.select(rules.claims(F.col("t"), edge % "the book", edge % "is", edge % "ourselves").alias("c")).collect()]
+    assert got == [True, False, False, True]
+    pages = spark.createDataFrame([(1, "the-end", "x"), (2, "an-end-of-the-road", "y"), (3, "other", "The end")], "id int, slug string, title string")
+    find = lambda q: sorted((r.id, r.tier, r.unique) for r in rules.find_articles(pages, q, "slug", "title").collect())
+    assert find("The End") == [(1, 1, True)] and find("end the") == [(1, 2, False), (2, 2, False), (3, 2, False)] and find("road of") == [(2, 2, True)] and find("none") == []
+
+
+def test_places_of_equal_values_follow_their_ties(spark):
+    from concordia.operators import timeline
+
+    rows = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(300)], "v int, id int").repartition(7)
+    got = {(r.v, r.id): r.place for r in timeline.numbered(rows, "v", 8, ["id"]).collect()}
+    assert sorted(got.values()) == [*range(1, 301)]
+    assert [v for (v, _), _ in sorted(got.items(), key=lambda x: x[1])] == sorted(v for v, _ in got)
+    assert got == {(r.v, r.id): r.place for r in timeline.numbered(rows.orderBy("id"), "v", 8, ["id"]).collect()}
+
+
+def test_captions():
+    timed = lambda text: [(w, k * 0.5, k * 0.5 + 0.5) for k, w in enumerate(text.split())]
+    lines = lambda text: [" ".join(w for w, _, _ in line) for line in banks.lines_of(timed(text))]
+    assert lines("No. He went on to the sea.”) Then, on the way,") == ["No. He went on to the sea.”)", "Then, on the way,"]
+    assert lines("It is so, and so it will be for us. And then") == ["It is so, and so it will be for us. And then"]
+    assert lines("a comma comes early, but one far behind it here, ends the line at once") == ["a comma comes early, but one far behind it", "here, ends the line at once"]
+    assert lines("twenty six letters are here, so it ends and goes on to the next line") == ["twenty six letters are here,", "so it ends and goes on to the next line"]
+    assert banks.shown([timed("a b")[:1], [("c", 0.6, 0.8)], [("d", 9.0, 9.2)]]) == [(0.0, 0.56, "a"), (0.6, 1.6, "c"), (9.0, 10.0, "d")]
+
+
+def test_spoken_runs():
+    spoken = cards.Spoken("the vine the vine grew well".split())
+    assert [spoken.find(r.split(), s) for r, s in (("the vine", 0), ("the vine", 1), ("vine grew", 0), ("ine grew", 0), ("", 0), ("well", 9))] == [0, 2, 3, -1, -1, -1]
+
+
+def test_grades_report_what_is_invented(spark):
+    p = paragraphs(spark, ["He came down from the hill and bound the dragon."])
+    drafts = spark.createDataFrame([(1, 'As "came down from the hill" goes, "he never was there at all" and "two words".'), (2, '"He came down from the hill" (1:1.1)')], "draft_id int, text string")
+    assert sorted((r.draft_id, r.n, r.held) for r in verify.uncited_quotes(drafts, p).collect()) == [(1, 1, True), (1, 2, False)]
+    questions = spark.createDataFrame([(1, ["1:1.1"], "hill", None)], "qid int, gold array<string>, expect string, accept array<string>")
+    said = spark.createDataFrame([("m", 1, "the hill (1:1.1)")], "model string, qid int, answer string")
+    verdicts = spark.createDataFrame([("m", 1, "PASS"), ("m", 1, "MISMATCH"), ("m", 1, "PUNCTUATION")], "model string, qid int, status string")
+    uncited = spark.createDataFrame([("m", 1, False), ("m", 1, True)], "model string, qid int, held boolean")
+    assert [(r.cite, r.quote, r.fact, r.points, r.invented) for r in grade.grade(questions, said, verdicts, uncited).collect()] == [(True, False, True, 2, 2)]
 
 
 def test_readers(spark, tmp_path):

@@ -7,6 +7,7 @@ lookarounds, as Java's own boundary counts accented letters as word characters.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -106,6 +107,11 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once, however often `use` names it and wherever the optimizer moves it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def starting_terms(text: Column, terms: list[str]) -> Column:
     """The term at each word that starts with one of the terms (words of plain characters), the longest if
     several do: one pass for all terms."""

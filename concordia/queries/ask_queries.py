@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import ask as ASK
 from ..registry import query
 from ..sources.corpus import PARAGRAPHS_SQL as P
-from .search_queries import pars
+from .search_queries import spread_pars as pars
 
 ASK_RULES = ASK.Rules(terms={"theth": ["thand", "thanon"], "reenti": ["reanthe"]}, specific={"thand"}, names=None)
 QUESTIONS = ["What is the tionre of ereati (thionesander)?", "How many anthe in paper 5?", "theth er's ing"]

@@ -12,22 +12,22 @@ from ..operators import align as AL, banks as BK, cards as CD, claims as CL, ent
 from ..registry import query, table
 from ..session import keep_checkpoints, scratch
 from ..sources import readers as RD
-from ..sources.corpus import PARAGRAPHS_SQL as P
+from ..sources.corpus import PARAGRAPHS_SQL as P, spread
 from ..streaming import jobs as ST
-from .search_queries import GROUPS, java, pars, sentence_rows
+from .search_queries import GROUPS, java, pars, sentence_rows, spread_pars
 from .table_queries import MICROS
 
 # --- verification
 
 
 def quote_table(spark, sf_dir):
-    """A quotation of the first paragraph of every document: exact, without its commas, a word too many, or of a
-    paragraph that doesn't exist, by doc_id."""
-    first = pars(spark, sf_dir).filter("par = 1")
-    kind = F.col("section") % 4
+    """A quotation of every paragraph: exact, without its commas, a word too many, or of a paragraph that doesn't
+    exist, in turn. Its id is the paragraph's own reference."""
+    first = spread_pars(spark, sf_dir)
+    kind = (F.col("section") + F.col("par")) % 4
     body = F.when(kind == 1, F.replace("text", F.lit(","), F.lit(""))).when(kind == 2, F.concat(F.lit("surely "), F.col("text"))).otherwise(F.col("text"))
     ref = F.when(kind == 3, F.concat(F.col("ref"), F.lit("9999"))).otherwise(F.col("ref"))
-    return first.select(F.col("section").alias("quote_id"), body.alias("body"), F.array(ref).alias("refs"))
+    return first.select(F.col("ref").alias("quote_id"), body.alias("body"), F.array(ref).alias("refs"))
 
 
 _WS = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(translate({0}, '“”„‟\"‘’‚‛''`´', '')), '[—–-]', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda w: w <> ''), ' ')".replace('\\"', '"')
@@ -37,7 +37,7 @@ _MARK = r"regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g')
 
 @query(
     P
-    + f""", q AS (SELECT section AS quote_id, CASE section % 4 WHEN 1 THEN replace(text, ',', '') WHEN 2 THEN 'surely ' || text ELSE text END AS body, CASE WHEN section % 4 = 3 THEN ref || '9999' ELSE ref END AS ref FROM paragraphs WHERE par = 1),
+    + f""", q AS (SELECT ref AS quote_id, CASE (section + par) % 4 WHEN 1 THEN replace(text, ',', '') WHEN 2 THEN 'surely ' || text ELSE text END AS body, CASE WHEN (section + par) % 4 = 3 THEN ref || '9999' ELSE ref END AS ref FROM paragraphs),
 s AS (SELECT quote_id, p.text IS NULL AS missing, {_MARK.format('q.body')} AS body, replace({_MARK.format("coalesce(p.text, '')")}, '*', '') AS source FROM q LEFT JOIN paragraphs p ON p.ref = q.ref),
 f AS (SELECT *, regexp_replace(regexp_replace({_EX.format('body')}, '^[\\s,;:.!?—–-]+', ''), '[\\s,;:.!?—–-]+$', '') AS piece, {_EX.format('source')} AS exact, {_WS.format('body')} AS pw, {_WS.format('source')} AS sw FROM s)
 SELECT quote_id, CASE WHEN missing THEN 'NOT FOUND' WHEN pw = '' THEN 'PASS'
@@ -46,10 +46,10 @@ SELECT quote_id, CASE WHEN missing THEN 'NOT FOUND' WHEN pw = '' THEN 'PASS'
 )
 def quote_verdicts(spark, sf_dir):
     """Is each quotation verbatim in what it cites; one piece each, so SQL can say the same."""
-    return VF.verdicts(quote_table(spark, sf_dir), pars(spark, sf_dir)).select("quote_id", "status")
+    return VF.verdicts(quote_table(spark, sf_dir), spread_pars(spark, sf_dir)).select("quote_id", "status")
 
 
-_DIFFERS = P + f""", q AS (SELECT section AS quote_id, par, CASE section % 4 WHEN 1 THEN replace(text, ',', '') WHEN 2 THEN 'surely ' || text ELSE text END AS body, text FROM paragraphs WHERE par = 1 AND section % 4 <> 3),
+_DIFFERS = P + f""", q AS (SELECT ref AS quote_id, CASE (section + par) % 4 WHEN 1 THEN replace(text, ',', '') WHEN 2 THEN 'surely ' || text ELSE text END AS body, text FROM paragraphs WHERE (section + par) % 4 <> 3),
 w AS (SELECT quote_id, string_split({_WS.format(_MARK.format('body'))}, ' ') AS a, string_split({_WS.format("replace(" + _MARK.format('text') + ", '*', '')")}, ' ') AS b FROM q)"""
 
 
@@ -94,13 +94,13 @@ def claim_findings(spark, sf_dir):
 
 
 @query(P + f""", c AS (SELECT ref, paper, section, par, {_WS.format("replace(" + _MARK.format('text') + ", '*', '')")} AS w FROM paragraphs),
-q AS (SELECT section AS quote_id, w AS needle FROM c WHERE par = 1 AND section % 4 = 3 AND len(string_split(w, ' ')) >= 4),
+q AS (SELECT ref AS quote_id, w AS needle FROM c WHERE (section + par) % 4 = 3 AND len(string_split(w, ' ')) >= 4),
 h AS (SELECT quote_id, ref, row_number() OVER (PARTITION BY quote_id ORDER BY paper, section, par) AS n FROM q JOIN c ON contains(' ' || c.w || ' ', ' ' || needle || ' '))
 SELECT quote_id, string_agg(ref, ',' ORDER BY n) AS found_at FROM h WHERE n <= 5 GROUP BY quote_id""")
 def quotes_elsewhere(spark, sf_dir):
     """Where quotations stand whose citation names no paragraph."""
     p = pars(spark, sf_dir)
-    found = VF.find_elsewhere(VF.verdicts(quote_table(spark, sf_dir).filter("quote_id % 4 = 3"), p), p)
+    found = VF.find_elsewhere(VF.verdicts(quote_table(spark, sf_dir), p).filter("status = 'NOT FOUND'"), p)
     return found.select("quote_id", F.array_join("found_at", ",").alias("found_at"))
 
 
@@ -193,20 +193,34 @@ def recall_unread_all(spark, sf_dir):
 
 # --- grading
 
+_ASKABLE = f"""regexp_matches(text, '^[A-Za-z]') AND NOT regexp_matches(text, '["“”|()]') AND len(string_split({_WS.format(_MARK.format('text'))}, ' ')) >= 4"""
+
+
 @query(
     P
-    + f""", a AS (SELECT item_id AS qid, CASE WHEN item_id % 3 = 0 THEN NULL ELSE 'See ' || item_id % 7 || ':1.' || item_id % 5 || ' where ' || text END AS answer, text FROM benchmark),
-g AS (SELECT qid, coalesce(answer LIKE '%' || (qid % 7 || ':1.' || (CASE WHEN qid % 2 = 0 THEN qid % 5 ELSE 9 END)) || ' %', false) AS cite, coalesce(qid % 4 = 1 AND qid % 3 <> 0, false) AS quote, coalesce(contains(' ' || {_WS.format("coalesce(answer, '')")} || ' ', {_WS.format('substr(text, 1, 12)')}), false) AS fact FROM a)
-SELECT 'm' AS model, CAST(sum(cite::INT + quote::INT + fact::INT) AS BIGINT) AS score, 3 * count(*) AS max, CAST(round(100.0 * sum(cite::INT + quote::INT + fact::INT) / (3 * count(*))) AS INTEGER) AS pct, count(*) FILTER (WHERE cite) AS cite_hits, count(*) FILTER (WHERE quote) AS verbatim, count(*) FILTER (WHERE fact) AS facts, CAST(count(*) FILTER (WHERE qid % 4 = 2 AND qid % 3 <> 0) AS BIGINT) AS invented FROM g"""
+    + f""", g AS (SELECT (section + par) % 4 AS k, (section + par) % 3 <> 0 AS answered FROM paragraphs WHERE {_ASKABLE}),
+s AS (SELECT answered AND k < 2 AS cite, answered AND k = 0 AS quote, answered AND k < 3 AS fact, answered AND k IN (1, 3) AS invented FROM g)
+SELECT 'm' AS model, CAST(sum(cite::INT + quote::INT + fact::INT) AS BIGINT) AS score, 3 * count(*) AS max, CAST(round(100.0 * sum(cite::INT + quote::INT + fact::INT) / (3 * count(*))) AS INTEGER) AS pct,
+  count(*) FILTER (WHERE cite) AS cite_hits, count(*) FILTER (WHERE quote) AS verbatim, count(*) FILTER (WHERE fact) AS facts, CAST(count(*) FILTER (WHERE invented) AS BIGINT) AS invented FROM s"""
 )
 def bench_grading(spark, sf_dir):
-    """One model's answers to all items: a right citation for half of them, quotations for some, the fact."""
-    b = table(spark, sf_dir, "benchmark")
-    gold = F.expr("item_id % 7 || ':1.' || case when item_id % 2 = 0 then item_id % 5 else 9 end")
-    questions = b.select(F.col("item_id").alias("qid"), F.array(gold).alias("gold"), F.substring("text", 1, 12).alias("expect"), F.lit(None).cast("array<string>").alias("accept"))
-    answers = b.filter("item_id % 3 <> 0").select(F.lit("m").alias("model"), F.col("item_id").alias("qid"), F.expr("'See ' || item_id % 7 || ':1.' || item_id % 5 || ' where ' || text").alias("answer"))
-    verdicts = answers.filter("qid % 4 in (1, 2)").select("model", "qid", F.when(F.col("qid") % 4 == 1, "PASS").otherwise("MISMATCH").alias("status"))
-    return GR.totals(GR.grade(questions, answers, verdicts))
+    """One model's answers to a question on every paragraph: a quotation with its citation, one with a word too many,
+    one without a citation that the corpus has, and one that it doesn't have; a third goes unanswered. The quotations
+    are read from the answers and checked against the corpus."""
+    p = pars(spark, sf_dir)
+    plain = p.filter(F.col("text").rlike("^[A-Za-z]") & ~F.col("text").rlike('["“”|()]') & (F.size(T.words(T.strip_markup(F.col("text")))) >= 4))
+    rows = plain.select(F.col("ref").alias("qid"), (F.col("section") + F.col("par")).alias("k"), "ref", "text")
+    questions = rows.select("qid", F.array("ref").alias("gold"), F.substring("text", 1, 12).alias("expect"), F.lit(None).cast("array<string>").alias("accept"))
+    cited = F.concat(F.lit('" ('), F.col("ref"), F.lit(")."))
+    kind = F.col("k") % 4
+    said = F.when(kind == 0, F.concat(F.lit('See "'), F.col("text"), cited)).when(kind == 1, F.concat(F.lit('See "surely '), F.col("text"), cited))
+    said = said.when(kind == 2, F.concat(F.lit('See "'), F.col("text"), F.lit('", it says.'))).otherwise('See "zzzz yyyy xxxx wwww", it says.')
+    answers = rows.filter("k % 3 <> 0").select(F.lit("m").alias("model"), "qid", said.alias("answer"))
+    drafts = answers.select(F.col("qid").alias("draft_id"), F.col("answer").alias("text"))
+    quotes = VF.extract_quotes(drafts).withColumn("quote_id", F.struct("draft_id", "start"))
+    named = lambda df: df.select(F.lit("m").alias("model"), F.col("draft_id").alias("qid"), *[c for c in df.columns if c != "draft_id"])
+    verdicts = named(VF.verdicts(quotes, p).select("draft_id", "status"))
+    return GR.totals(GR.grade(questions, answers, verdicts, named(VF.uncited_quotes(drafts, p).select("draft_id", "held"))))
 
 
 # --- entities and links
@@ -220,7 +234,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY name, f = 1 ORDER BY n DESC, sec
 
 @query(_INDEX + " SELECT name, ref, CAST(place AS INTEGER) AS place FROM entity")
 def entity_index(spark, sf_dir):
-    return EN.entity_index(EN.mentions(pars(spark, sf_dir), ENTITIES))
+    return EN.entity_index(EN.mentions(spread_pars(spark, sf_dir), ENTITIES))
 
 
 _COVERAGE = (
@@ -234,14 +248,14 @@ SELECT count(*) FILTER (WHERE k > 0) AS entries, coalesce(string_agg(name, ',' O
 
 @query(_INDEX + _COVERAGE)
 def entity_coverage(spark, sf_dir):
-    return EN.coverage(EN.entity_index(EN.mentions(pars(spark, sf_dir), ENTITIES)), [*ENTITIES])
+    return EN.coverage(EN.entity_index(EN.mentions(spread_pars(spark, sf_dir), ENTITIES)), [*ENTITIES])
 
 
-@query(_MENTIONS + """, pins AS (SELECT 'Tionre' AS name, paper || ':' || section || '.1' AS ref FROM (SELECT DISTINCT paper, section FROM paragraphs WHERE section % 25 = 0) UNION ALL SELECT 'Anthe', '99:1.1')
+@query(_MENTIONS + """, pins AS (SELECT 'Tionre' AS name, paper || ':' || section || '.1' AS ref FROM (SELECT DISTINCT paper, section FROM paragraphs) UNION ALL SELECT 'Anthe', '99:1.1')
 SELECT name, ref, CASE WHEN ref NOT IN (SELECT ref FROM paragraphs) THEN 'does not exist' ELSE 'contains none of the match terms' END AS why FROM pins p WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.name = p.name AND h.ref = p.ref)""")
 def pinned_references(spark, sf_dir):
     p = pars(spark, sf_dir)
-    own = p.filter("section % 25 = 0").select("paper", "section").distinct().select(F.lit("Tionre").alias("name"), F.concat_ws("", F.col("paper").cast("string"), F.lit(":"), F.col("section").cast("string"), F.lit(".1")).alias("ref"))
+    own = p.select("paper", "section").distinct().select(F.lit("Tionre").alias("name"), F.concat_ws("", F.col("paper").cast("string"), F.lit(":"), F.col("section").cast("string"), F.lit(".1")).alias("ref"))
     pins = own.unionByName(spark.createDataFrame([("Anthe", "99:1.1")], "name string, ref string"))
     return EN.pinned_failures(pins, p, EN.mentions(p, ENTITIES))
 
@@ -260,7 +274,7 @@ def link_candidates(spark, sf_dir):
     """For each document the best five items by shared rare words, known pairs left out afterwards."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     even = lambda df, c: df.filter(F.col(c) % 2 == 0).select(c)
-    best = LK.propose(docs.select("doc_id", "text"), items.select("item_id", "text"), "doc_id", "item_id", _STOP, 2.0, 5)
+    best = LK.propose(spread(docs.select("doc_id", "text")), items.select("item_id", "text"), "doc_id", "item_id", _STOP, 2.0, 5)
     known = best.join(even(items, "item_id"), "item_id", "left_semi").filter("doc_id % 2 = 0").select("doc_id", "item_id")
     return best.join(known, ["doc_id", "item_id"], "left_anti")
 
@@ -324,7 +338,7 @@ SELECT id, CASE WHEN regexp_matches(text, '[\x{{ac00}}-\x{{d7af}}]') THEN 'ko' W
 )
 def language_votes(spark, sf_dir):
     """Glue words, character cues, scripts and content words of every document and of a short question on it, without Python."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     asked = F.expr("case doc_id % 6 when 0 then '무엇 ' || source when 1 then 'Czy to jest ' || source when 2 then 'to ' || source when 3 then 'Filosofía, ' || source when 4 then 'święty ' || source else 'Wahrheit ' || source end")
     texts = docs.select((F.col("doc_id") * 2).alias("id"), "text").unionByName(docs.select((F.col("doc_id") * 2 + 1).alias("id"), asked.alias("text")))
     return texts.select("id", LG.detect_language(F.col("text")).alias("lang"))
@@ -411,14 +425,14 @@ def captions(spark, sf_dir):
 
 @query(
     P
-    + r""", c AS (SELECT ref, text, regexp_extract(text, '^\S+ \S+') AS a, regexp_extract(text, '\S+ \S+$') AS b FROM paragraphs WHERE par = 1)
+    + r""", c AS (SELECT ref, text, regexp_extract(text, '^\S+ \S+') AS a, regexp_extract(text, '\S+ \S+$') AS b FROM paragraphs)
 SELECT ref, CASE WHEN a <> '' AND b <> '' THEN substr(text, 1, CASE WHEN strpos(text, b) > 0 THEN strpos(text, b) + length(b) - 1 END) END AS quote, a <> '' AND b <> '' AS verified FROM c"""
 )
 def card_slices(spark, sf_dir):
     """Cards from the first words of a paragraph to the first place of its last words, checked again."""
     p = pars(spark, sf_dir)
     anchor = lambda pattern: F.regexp_extract("text", pattern, 0)
-    cards = p.filter("par = 1").select(F.lit("t").alias("topic"), "ref", anchor(r"^\S+ \S+").alias("start"), anchor(r"\S+ \S+$").alias("end"))
+    cards = p.select(F.lit("t").alias("topic"), "ref", anchor(r"^\S+ \S+").alias("start"), anchor(r"\S+ \S+$").alias("end"))
     cards = cards.withColumn("start", F.when(F.col("end") == "", None).otherwise(F.nullif("start", F.lit("")))).withColumn("end", F.nullif("end", F.lit("")))
     return CD.verify_cards(CD.slice_cards(cards, p), p).select("ref", "quote", "verified")
 

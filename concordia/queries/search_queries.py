@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..operators import ask as ASK, rules as RL, search as S
 from ..registry import query, table
-from ..sources.corpus import PARAGRAPHS_SQL as P, paragraphs
+from ..sources.corpus import PARAGRAPHS_SQL as P, paragraphs, spread
 
 QUERY, TERMS = "Tion er ing", ["tion", "er", "ing"]
 _FORM = "translate(lower(text), '‘’“”', '''''\"\"')"
@@ -26,6 +26,11 @@ def pars(spark: SparkSession, sf_dir: str, headings: bool = False) -> DataFrame:
     return paragraphs(table(spark, sf_dir, "documents"), headings)
 
 
+def spread_pars(spark: SparkSession, sf_dir: str, headings: bool = False) -> DataFrame:
+    """pars() for work of many steps a row: a small corpus is dealt over all cores first."""
+    return paragraphs(spread(table(spark, sf_dir, "documents")), headings)
+
+
 @query(f"{_SCORED} SELECT ref, paper, section, par, text, CAST(matched AS INTEGER) AS matched, CAST(hits AS INTEGER) AS hits, round(CAST(raw AS DOUBLE), 4) AS score FROM scored ORDER BY raw DESC, paper, section, par LIMIT 20")
 def search_ranked(spark, sf_dir):
     """The flagship: ranked keyword and phrase search over all paragraphs."""
@@ -52,7 +57,7 @@ SELECT ref, coalesce(before, '') AS before, coalesce(after, '') AS after FROM to
 def search_context(spark, sf_dir):
     """Two paragraphs of the same section before and after each result."""
     p = pars(spark, sf_dir)
-    found = S.with_context(S.search(p, QUERY).select("ref", "section"), p, 2)
+    found = S.with_context(S.search(spread_pars(spark, sf_dir), QUERY).select("ref", "section"), p, 2)
     return found.select("ref", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
 
 
@@ -124,14 +129,14 @@ SELECT 'tion' AS term, count(*) FILTER (WHERE regexp_matches(f, '\btion\w*')) AS
 UNION ALL SELECT 'zzz', count(*) FILTER (WHERE regexp_matches(f, '\bzzz\w*')) FROM f"""
 )
 def term_frequency(spark, sf_dir):
-    return S.document_frequency(pars(spark, sf_dir), ["tion", "er", "zzz"])
+    return S.document_frequency(spread_pars(spark, sf_dir), ["tion", "er", "zzz"])
 
 
 _TOKENS = P + r""", tokens AS (SELECT ref, paper, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM paragraphs)"""
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
-    return pars(spark, sf_dir).select("ref", "paper", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"))).alias("word"))
+    return spread_pars(spark, sf_dir).select("ref", "paper", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"))).alias("word"))
 
 
 @query(_TOKENS + " SELECT word, count(DISTINCT ref) AS df, min(ref) AS first_ref FROM tokens GROUP BY word HAVING count(DISTINCT ref) <= 3")
@@ -220,7 +225,7 @@ _SENTENCES = P + r""", sentences AS (
 
 
 def sentence_rows(spark, sf_dir) -> DataFrame:
-    return pars(spark, sf_dir).select("ref", "paper", "section", "par", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("sent", (F.col("pos") + 1).cast("long")).drop("pos")
+    return spread_pars(spark, sf_dir).select("ref", "paper", "section", "par", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("sent", (F.col("pos") + 1).cast("long")).drop("pos")
 
 
 @query(_SENTENCES + " SELECT ref, sent, sentence FROM sentences")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import refs as R, text as T
 from ..operators import ask as ASK, joins as J, rules as RL, timeline as L
 from ..registry import query, table
-from ..sources.corpus import PARAGRAPHS_SQL as P
+from ..sources.corpus import PARAGRAPHS_SQL as P, spread
 from .search_queries import GROUPS, java, pars
 
 #: Microseconds since the epoch of events.ts, in no time zone.
@@ -145,7 +145,7 @@ SELECT item_id, doc_id FROM n, d WHERE contains(words, needle)"""
 )
 def join_containment(spark, sf_dir):
     """Needles inside texts as whole words: equality of a needle's first words, then a recheck."""
-    return J.containment(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
+    return J.containment(table(spark, sf_dir, "benchmark").select("item_id", "text"), spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "item_id", "doc_id")
 
 
 @query(
@@ -521,11 +521,12 @@ def sorted_names(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_name", F.row_number().over(W.orderBy("n_name")).cast("long").alias("place"))
 
 
-@query(P + " SELECT ref FROM paragraphs ORDER BY paper, section, par LIMIT 200")
+@query(P + " SELECT ref, row_number() OVER (ORDER BY paper, section, par) AS place FROM paragraphs")
 def citation_order(spark, sf_dir):
-    """By the numbers of a reference, not its text."""
+    """Every reference with its place, by the numbers it has, not its text; numbered within range partitions."""
     at = R.parse_ref(F.col("ref"))
-    return pars(spark, sf_dir).select("ref").orderBy(at["paper"], at["section"], at["par"]).limit(200)
+    key = at["paper"].cast("long") * 10**13 + at["section"] * 10**6 + at["par"]
+    return L.numbered(pars(spark, sf_dir).select("ref", key.alias("key")), "key").select("ref", F.col("place").cast("long").alias("place"))
 
 
 @query("WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), n AS (SELECT count(*) AS n FROM benchmark) SELECT strftime(day, '%Y-%m-%d') AS day, item_id FROM d, n, (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) WHERE k = (day - DATE '1970-01-01') % n")

@@ -42,6 +42,13 @@ def paragraphs(documents: DataFrame, headings: bool = False) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where their scan has fewer parts than these, as a file with one row group has: work
+    behind it would run in one task. A table of so few parts is small; with more parts nothing is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 #: The same in DuckDB, to put in front of a query.
 PARAGRAPHS_SQL = """
 WITH lines AS (SELECT CAST(substr(source, 4) AS INTEGER) AS paper, doc_id AS section, lang AS author, string_split(text, chr(10)) AS ls FROM documents),

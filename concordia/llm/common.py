@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch, ship
+from ..session import remove, scratch, ship
 
 #: Rows that an operator turns at once. Spark closes an Arrow batch at spark.sql.execution.arrow.maxBytesPerBatch
 #: (64 MB unless set) or its own number of rows, and no batch is smaller than one row: a task holds so many bytes
@@ -27,7 +27,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/concordia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete materialised tables that no plan needs any more: rounds of a loop leave nothing behind."""
     for df in tables:
-        _remove(df.sparkSession, df._written_at)
+        remove(df.sparkSession, df._written_at)
 
 
 def columns_of(df: DataFrame) -> list[Column]:
@@ -52,14 +52,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may have ended before the process
-        return
-
-
 def map_batches(df: DataFrame, start: Callable[[], Callable], schema: str) -> DataFrame:
     """Run start() once a task; what it returns turns one RecordBatch into an iterable of RecordBatches."""
     ship(df.sparkSession)

@@ -9,7 +9,7 @@ import pytest
 
 from concordia.llm import bpe, language, lattice_lm as LM, quality
 from concordia.llm.token_counts import unigram_vocabulary
-from tests_llm_model import MODEL
+from llm_model import MODEL
 
 FOLDER = "/root/testdata/sf0.01"
 

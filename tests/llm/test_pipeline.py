@@ -7,7 +7,7 @@ import corpus_pipeline
 from concordia.llm import bpe, quality
 from test_duplicates import brute_components, brute_fingerprint
 from test_text_operators import brute_hits
-from tests_llm_model import MODEL, library
+from llm_model import MODEL, library
 
 FOLDER = "/root/testdata/sf0.001"
 

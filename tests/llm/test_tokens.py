@@ -5,7 +5,7 @@ import hashlib
 from hypothesis import given, settings, strategies as st
 
 from concordia.llm import bpe, token_counts
-from tests_llm_model import MODEL, library, unigram_library
+from llm_model import MODEL, library, unigram_library
 
 CODEC = bpe.MergeCodec(bpe.load_vocabulary(MODEL))
 COUNTER = token_counts.UnigramCounter(token_counts.unigram_vocabulary(bpe.load_vocabulary(MODEL)))

@@ -14,7 +14,7 @@ from ..session import keep_checkpoints, scratch
 from ..sources import readers as RD
 from ..sources.corpus import PARAGRAPHS_SQL as P, spread
 from ..streaming import jobs as ST
-from .search_queries import GROUPS, java, pars, sentence_rows, spread_pars
+from .search_queries import _SENTENCES, GROUPS, java, pars, sentence_rows, spread_pars
 from .table_queries import MICROS
 
 # --- verification
@@ -405,7 +405,18 @@ def spelling(spark, sf_dir):
     return SP.suggest(words(table(spark, sf_dir, "benchmark")).unionByName(words(table(spark, sf_dir, "conversations"))).distinct(), vocabulary)
 
 
-@query()
+@query(
+    _SENTENCES.replace("WITH lines", "WITH RECURSIVE lines", 1)
+    + r""", c AS (SELECT substr(regexp_extract(lower(sentence), '\btion\w*|\bing\w*|\ber\w*'), 1, 2) AS topic, ref || '/' || sent AS ref, paper, length(sentence) AS score FROM sentences WHERE length(sentence) BETWEEN 60 AND 160),
+cand AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, list_transform(regexp_extract_all(ref, '[0-9]+'), lambda x: CAST(x AS BIGINT)), ref) AS r FROM c WHERE topic <> ''),
+topics AS (SELECT list(DISTINCT topic ORDER BY topic) AS ts FROM cand),
+st AS (SELECT 0 AS step, 0 AS missed, CAST([] AS VARCHAR[]) AS refs, CAST([] AS VARCHAR[]) AS tops, CAST([] AS INTEGER[]) AS papers
+  UNION ALL SELECT step + 1, CASE WHEN pick IS NULL THEN missed + 1 ELSE 0 END, CASE WHEN pick IS NULL THEN refs ELSE list_append(refs, pick.ref) END, CASE WHEN pick IS NULL THEN tops ELSE list_append(tops, pick.topic) END, CASE WHEN pick IS NULL THEN papers ELSE list_append(papers, pick.paper) END
+  FROM (SELECT step, missed, refs, tops, papers, arg_min({'ref': cand.ref, 'topic': cand.topic, 'paper': cand.paper}, cand.r) AS pick FROM st CROSS JOIN topics
+    LEFT JOIN cand ON cand.topic = ts[step % len(ts) + 1] AND NOT list_contains(refs, cand.ref) AND len(list_filter(papers, lambda x: x = cand.paper)) < 2
+    WHERE len(refs) < 20 AND missed < len(ts) GROUP BY step, missed, refs, tops, papers))
+SELECT CAST(unnest(range(1, len(refs) + 1)) AS INTEGER) AS place, unnest(tops) AS topic, unnest(refs) AS ref FROM (SELECT * FROM st ORDER BY step DESC LIMIT 1)"""
+)
 def quotation_bank(spark, sf_dir):
     """Twenty sentences, topics in turn, at most two of a paper."""
     s = sentence_rows(spark, sf_dir).filter(F.length("sentence").between(60, 160))

@@ -41,3 +41,16 @@ def test_streams(spark, tmp_path):
     tools = {"n": lambda s, p: s.range(int(p["k"]))}
     jobs.serve(spark.readStream.text(str(tmp_path / "requests")), tools, lambda i, df, error: seen.append((i, df.count() if df else None, error)), str(tmp_path / "served")).awaitTermination()
     assert sorted(seen, key=str) == sorted([("1", 3, None), (None, None, "not a request: not json"), ("2", None, "unknown tool other")], key=str)
+
+
+def test_small_tables_are_spread_and_large_ones_not(spark):
+    from concordia.sources.corpus import spread
+
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(10).repartition(64)
+    assert spread(many) is many
+
+
+def test_links_meet_by_equality(spark):
+    plan = nodes(QUERIES["link_candidates"](spark, FOLDER))
+    assert not plan["BroadcastNestedLoopJoin"] and not plan["CartesianProduct"]

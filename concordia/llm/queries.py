@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, exact_dedup, language, lattice_lm, license_scan, pii, quality, simhash, token_counts
+from . import bpe, decontamination, exact_dedup, fill_in_middle, filter_audit, language, lattice_lm, license_scan, pii, pivot_search, quality, simhash, token_counts
 from .common import read_table
 
 
@@ -51,5 +51,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_exact_dedup, op4_language_id, op5_quality, op6_lattice_lm, op7_license_scan, op8_simhash, op9_bpe_roundtrip, op10_decontamination)}
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents")))
+
+
+OPERATORS = (
+    op1_token_counts, op2_pii, op3_exact_dedup, op4_language_id, op5_quality, op6_lattice_lm, op7_license_scan, op8_simhash, op9_bpe_roundtrip, op10_decontamination, op11_topk_search, op12_filter_audit,
+    op13_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLE_SQL = {
+    "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_topk_search": pivot_search.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
+}

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import factorial
@@ -160,9 +161,9 @@ def _steps() -> Column:
     for order in itertools.permutations(range(len(FILTERS))):
         before = 0
         for step, k in enumerate(order, 1):
-            rows.append(F.struct(F.lit("".join(FILTERS[i] for i in order)).alias("filter_order"), F.lit(step).alias("step"), F.lit(k).alias("k"), F.lit(before).alias("before"), F.lit(before | 1 << k).alias("after")))
+            rows.append({"filter_order": "".join(FILTERS[i] for i in order), "step": step, "k": k, "before": before, "after": before | 1 << k})
             before |= 1 << k
-    return F.array(*rows)
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<filter_order: string, step: int, k: int, before: int, after: int>>")
 
 
 def audit(documents: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:

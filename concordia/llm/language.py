@@ -8,7 +8,6 @@ The machines minimise the squared hinge loss with an L2 penalty by accelerated g
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +28,6 @@ BUCKETS = 4096
 SAMPLE_ROWS = 500
 PENALTY, ROUNDS = 1e-3, 150
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(texts: list[str]) -> np.ndarray:
@@ -92,7 +90,7 @@ class Identifier:
                 language, p = self._vote(x[rows], self.families[name])
                 out[rows], score[rows] = np.array(self.families[name], object)[language], sure[rows] * p
         for k, t in enumerate(texts):
-            if not _LETTER.search(t):
+            if not any(map(str.isalpha, t)):
                 out[k], score[k] = UNDETERMINED, 0.0
         return list(out), score
 

@@ -169,6 +169,14 @@ def test_language_ties_and_sample(spark):
     assert [(r.lang_pred, r.score) for r in language.identify(docs.limit(1), one).collect()] == [("de", 1.0)]
 
 
+def test_signs_that_are_no_letters_are_undetermined(spark, documents):
+    """Number signs of Unicode are no letters; a letter of any script is one."""
+    found = language.fit(documents)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["½", "²³ 12", "Ⅷ ①", "\u0663", "½ a", "漢", "é1"])], "doc_id int, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, found).collect()}
+    assert [got[k] for k in range(4)] == [("und", 0.0)] * 4 and all(got[k][0] != "und" for k in (4, 5, 6))
+
+
 def test_language_odd_rows(odd, empty):
     found = language.fit(odd)
     rows = language.identify(odd, found).collect()

@@ -59,58 +59,115 @@ def test_long_texts_take_linear_time():
     assert pii.added_spans(FIELD, [prose + "(at)"], [pii.base_spans(prose)]) == [[]] and time.process_time() - began < 20
 
 
-def whole_decode(field, text):
-    """Plain Viterbi over all tokens; a tag other than outside only within REACH of an anchor."""
+_ODD = ["", "no sign", "1", "a" * 300 + "(AT)" + "b" * 300 + ".org", "x y z " * 30 + "q[at]r.com" + " x y z" * 30 + " 55", "\u0663 é1é ñ@ñ . , - " * 9, "Éß 漢字\U00020000b \x00\t+1 (183) 555-12"]
+
+
+def plain_tokens(text):
+    return [m.span() for m in re.finditer(r"[0-9]+|[^\W\d_]+|\S", text) if not m[0].isspace()]
+
+
+def whole_decode(field, features):
+    """Plain Viterbi over all tokens, one after another."""
     import numpy as np
 
-    tokens = pii.tokens_of(text)
-    marks = {m.start() for m in re.finditer(r"[0-9]+|@|\(at\)|\[at\]", text, re.I)}
-    anchors = [k for k, (a, _) in enumerate(tokens) if a in marks]
-    free = {i for k in anchors for i in range(k - pii.REACH, k + pii.REACH + 1)}
-    emit = field.weights[pii.token_features(text, tokens)].sum(axis=1) if tokens else np.zeros((0, len(pii.TAGS)))
-    for k in range(len(tokens)):
-        if k not in free:
-            emit[k, 1:] = -np.inf
-    score, back = field.first, []
-    for k, e in enumerate(emit):
+    weights, moves, score, back = field.weights, field.moves, field.first, []
+    for k, f in enumerate(features):
+        e = np.zeros(len(pii.TAGS))
+        for x in f:
+            e = e + weights[x]
         if k:
-            each = score[:, None] + field.moves
+            each = score[:, None] + moves
             back.append(each.argmax(axis=0))
             score = each.max(axis=0)
-        score = score + e
-    path = [int(score.argmax())] if tokens else []
+        score = e + score
+    path = [int(score.argmax())] if len(features) else []
     for b in reversed(back):
         path.append(int(b[path[-1]]))
-    return tokens, path[::-1]
+    return path[::-1]
 
 
-def test_runs_decode_as_whole_texts(texts):
-    """On documents, and with random weights, where the field would mark far tokens if it could."""
+def wild_field(seed):
     import numpy as np
 
-    rng = np.random.default_rng(4)
-    wild = pii.Field(rng.normal(size=(pii.BUCKETS, len(pii.TAGS))), rng.normal(size=(len(pii.TAGS),) * 2), rng.normal(size=len(pii.TAGS)))
-    odd = ["", "no sign", "1", "a" * 300 + "(AT)" + "b" * 300 + ".org", "x y z " * 30 + "q[at]r.com" + " x y z" * 30 + " 55", "\u0663 é1é ñ@ñ . , - " * 9]
-    some = [t for t in texts.values() if len(t) < 20_000][:60]
-    for field in (FIELD, wild):
-        for text in odd + some:
-            got = {}
-            runs = [*pii.runs_of(text)]
-            for r, path in zip(runs, pii.decode(field, [pii.token_features(text, r.spans, r.first, r.last) for r in runs], [r.opens for r in runs], [r.closes for r in runs])):
-                got |= dict(zip(r.spans[r.first : r.last], map(int, path)))
-            tokens, want = whole_decode(field, text)
-            assert [got.get(t, 0) for t in tokens] == want
+    rng = np.random.default_rng(seed)
+    return pii.Field(rng.normal(size=(pii.BUCKETS, len(pii.TAGS))), rng.normal(size=(len(pii.TAGS),) * 2), rng.normal(size=len(pii.TAGS)))
+
+
+def test_tokens_of_many_texts_are_those_of_each(texts):
+    """Tokens by a pattern, and features that don't see other texts."""
+    some = _ODD + [t for t in texts.values()][:80] + [""]
+    every = pii.Tokens.of(some)
+    for k, t in enumerate(some):
+        own, mine = pii.Tokens.of([t]), every.text == k
+        assert [*zip(own.start.tolist(), own.end.tolist())] == [*zip(every.start[mine].tolist(), every.end[mine].tolist())] == plain_tokens(t)
+        assert (own.features == every.features[mine]).all()
+
+
+def test_every_token_is_decoded(texts):
+    """Texts side by side against plain Viterbi over each whole text, also with random weights."""
+    import numpy as np
+
+    some = _ODD + [t for t in texts.values() if len(t) < 20_000][:60]
+    tokens = pii.Tokens.of(some)
+    for field in (FIELD, wild_field(4)):
+        got = pii.decode(field, tokens.features, np.bincount(tokens.text, minlength=len(some)))
+        for k in range(len(some)):
+            assert got[tokens.text == k].tolist() == whole_decode(field, tokens.features[tokens.text == k])
+
+
+def test_long_texts_are_decoded_by_segments(monkeypatch, texts):
+    """Segments of any length give the path of the whole text."""
+    import numpy as np
+
+    some = _ODD + [t for t in texts.values() if len(t) < 20_000][:20]
+    tokens = pii.Tokens.of(some)
+    sizes = np.bincount(tokens.text, minlength=len(some))
+    for field in (FIELD, wild_field(9)):
+        want = pii.decode(field, tokens.features, sizes)
+        for segment in (1, 2, 7, 64):
+            monkeypatch.setattr(pii, "SEGMENT", segment)
+            assert (pii.decode(field, tokens.features, sizes) == want).all()
+        monkeypatch.undo()
 
 
 def test_added_spans_on_documents(documents, texts):
+    """Over the whole table: spans of unconstrained decoding of each whole text."""
     for r in pii.find_personal_data(documents, FIELD).collect():
-        base = brute_base(texts[r.doc_id])
+        text = texts[r.doc_id]
+        base = brute_base(text)
         taken = [s for spans in base.values() for s in spans]
-        found = [(k, a, b) for k, a, b in pii.spans_of(*whole_decode(FIELD, texts[r.doc_id])) if pii._plausible(k, texts[r.doc_id][a:b]) and not any(a < e and s < b for s, e in taken)]
+        tokens, found, before = pii.Tokens.of([text]), [], ""
+        for a, b, tag in zip(tokens.start.tolist(), tokens.end.tolist(), whole_decode(FIELD, tokens.features)):
+            kind = pii.TAGS[tag][2:]
+            if kind and pii.TAGS[tag][0] == "I" and kind == before:
+                found[-1][2] = b
+            elif kind:
+                found.append([kind, a, b])
+            before = kind
+        found = [(k, a, b) for k, a, b in found if pii._plausible(k, text[a:b]) and not any(a < e and s < b for s, e in taken)]
         want = sorted([(k, *s) for k, spans in base.items() for s in spans] + found, key=lambda x: (pii.KINDS.index(x[0]), x[1:]))
         assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in want) and r.n_added == len(found)
 
 
+def test_field_finds_what_is_planted_in_documents(texts):
+    """Numbers without a check digit, national telephone numbers and written-out addresses between words of documents."""
+    import random
+
+    rng, empty = random.Random(3), {k: [] for k in pii.KINDS}
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [("card", lambda: digits(16)), ("phone", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"), ("email", lambda: f"ann.lee (at) {rng.choice(['marti', 'onga'])}.org")]
+    found = total = 0
+    for k, t in enumerate(list(texts.values())[:160]):
+        words = t.split(" ")
+        kind, make = makers[k % 4]
+        body, at = make(), rng.randrange(len(words) + 1)
+        before = " ".join(words[:at])
+        text = " ".join([*words[:at], body, *words[at:]])
+        start = len(before) + (at > 0)
+        total, found = total + 1, found + ((kind, start, start + len(body)) in pii.added_spans(FIELD, [text], [empty])[0])
+    assert found >= 0.85 * total
+
+
 def test_field_finds_held_out_cases():
     cases = pii.labelled_table(300, seed=77)
     empty = {k: [] for k in pii.KINDS}
@@ -123,26 +180,27 @@ def test_field_decodes_as_by_enumeration():
 
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    field = pii.Field(rng.normal(size=(pii.BUCKETS, len(pii.TAGS))), rng.normal(size=(len(pii.TAGS),) * 2), rng.normal(size=len(pii.TAGS)))
-    rows = [rng.integers(0, pii.BUCKETS, (n, pii.WIDTH)).astype(np.int16) for n in (1, 3, 2, 4, 4, 3)]
-    opens, closes = [True, True, False, True, False, True], [True, True, True, False, False, True]
-    for row, o, c, got in zip(rows, opens, closes, pii.decode(field, rows, opens, closes)):
-        emit = [field.weights[f].sum(axis=0) for f in row]
-        value = lambda p: (field.first if o else field.moves[0])[p[0]] + sum(e[t] for e, t in zip(emit, p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:])) + (0 if c else field.moves[p[-1], 0])  # noqa: B023, E731
-        assert tuple(got) == max(itertools.product(range(len(pii.TAGS)), repeat=len(row)), key=value)
+    field, rng = wild_field(1), np.random.default_rng(1)
+    sizes = np.array([1, 3, 0, 2, 4, 4, 3])
+    features = rng.integers(0, pii.BUCKETS, (sizes.sum(), pii.WIDTH)).astype(np.int16)
+    got, at = pii.decode(field, features, sizes), 0
+    for n in sizes.tolist():
+        emit = [field.weights[f].sum(axis=0) for f in features[at : at + n]]
+        value = lambda p: sum(e[t] for e, t in zip(emit, p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:])) + (field.first[p[0]] if p else 0)  # noqa: B023, E731
+        assert tuple(got[at : at + n].tolist()) == max(itertools.product(range(len(pii.TAGS)), repeat=n), key=value)
+        at += n
 
 
 def test_licenses_like_brute_force(documents, texts):
     got = {r.doc_id: r.licenses for r in LS.scan_licenses(documents).collect()}
     for i, t in texts.items():
         own = {*LS.shingles_of(LS.words_of(t))}
-        want = [n for n, x in LS.TEMPLATES.items() if len(own & (s := {*LS.shingles_of(LS.words_of(x))})) >= 0.8 * len(s)]
+        want = [n for n, x in LS.all_templates().items() if len(own & (s := {*LS.shingles_of(LS.words_of(x))})) >= 0.8 * len(s)]
         assert got[i] == ",".join(sorted(want))
 
 
 def test_license_containment_and_place():
-    index = LS.Index(dict(LS.TEMPLATES))
+    index = LS.Index(LS.all_templates())
     body = LS.TEMPLATES["MIT#2"]
     text = "filler words here " * 300 + body.replace("copy", "cpy", 1) + " more filler" * 300
     (name, a, b, share), *more = index.scan(text)
@@ -182,6 +240,22 @@ def test_license_copies_have_a_span_each(spark):
     assert [(r.n_licenses, r.licenses, len(r.spans)) for r in row] == [(4, "BSD-3-Clause,BSD-notice,ISC,MIT#1", 10)] * 2
 
 
+def test_whole_licences_are_found_by_their_own_text(spark, tmp_path):
+    """As a file has it, wrapped anew, and inside other text; a user's own folder of templates; a part isn't enough."""
+    whole = LS.read_templates()
+    assert len(whole) >= 7 and min(len(LS.words_of(t)) for t in whole.values()) > 900
+    rows = []
+    for k, (name, text) in enumerate(sorted(whole.items())):
+        rows += [(3 * k, name, text), (3 * k + 1, name, "filler here " * 500 + " ".join(text.split()) + " and so on" * 70), (3 * k + 2, None, " ".join(text.split()[: len(text.split()) // 2]))]
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id int, text string")
+    got = {r.doc_id: r.licenses.split(",") for r in LS.scan_licenses(df).collect()}
+    for i, name, text in rows:
+        assert name in got[i] if name else not any(n.endswith("#text") for n in got[i])
+    (tmp_path / "own.txt").write_text("a licence of our own that nobody else has ever seen before")
+    mine = LS.scan_licenses(spark.createDataFrame([(1, "see: a licence of our own that nobody else has ever seen before!")], "doc_id int, text string"), LS.read_templates(tmp_path)).head()
+    assert mine.licenses == "own#text"
+
+
 def test_bands_alone_retrieve_what_containment_finds(documents, texts):
     """Recall of the bands over documents, over copies with words put in or changed, and over texts read as one sequence."""
     import random
@@ -243,6 +317,39 @@ def test_decontamination_like_brute_force(spark, documents, texts, benchmark_ite
         assert r.contaminated == (r.n_hit > 0) == bool(r.spans)
 
 
+def test_scan_time_does_not_grow_with_the_benchmark():
+    """A hundred times the windows and words: the same matches as by search, and about the same time."""
+    import random
+    import time
+
+    rng, seconds = random.Random(2), []
+    text = [b"v%d" % rng.randrange(50_000) for _ in range(200_000)]
+    for n in (1000, 100_000):
+        words = [b"w%d" % k for k in range(n)]
+        windows = [b" ".join(rng.choice(words) for _ in range(10)) for _ in range(n)]
+        auto = DC.Automaton((w, [str(k)]) for k, w in enumerate(windows))
+        assert max(map(len, auto.code.values())) == auto.digits and len({*"".join(auto.code.values())}) <= 2 * DC.DIGITS
+        planted = text[:1000] + windows[7].split() + text[:3] + windows[n - 1].split()[:9]
+        assert auto.matches(planted) == [(1000, 1010, 7)]
+        began = time.process_time()
+        assert auto.matches(text) == []
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 5 * seconds[0] + 0.2
+
+
+@pytest.mark.parametrize("digits", [2, 16])
+def test_word_numbers_never_match_across_words(monkeypatch, digits):
+    monkeypatch.setattr(DC, "DIGITS", digits)
+    import itertools
+
+    words = [b"%c" % c for c in b"abcdefghijklmnopqrs"]
+    windows = [b"a b", b"b a b", b"s r", b"c", b"r s r s"]
+    auto = DC.Automaton((w, [w.decode()]) for w in [*windows, *words[3:12]])
+    for text in itertools.product([b"a", b"b", b"s", b"r", b"c", b"?"], repeat=5):
+        want = sorted((i, i + len(w.split()), k) for k, w in enumerate(windows) for i in range(5) if list(text[i : i + len(w.split())]) == w.split())
+        assert sorted(auto.matches(list(text))) == want
+
+
 def test_decontamination_cases(spark, odd, empty):
     items = spark.createDataFrame([("a", "Two words"), ("b", None), ("c", "..."), ("d", "one two three four five six seven eight nine ten eleven"), ("a2", "two words")], "item_id string, text string")
     docs = spark.createDataFrame([(1, "x TWO—words, two words y"), (2, "two-words"), (3, None), (4, "two three four five six seven eight nine ten eleven twelve"), (5, "one two three four five six seven eight nine TEN eleven")], "doc_id int, text string")

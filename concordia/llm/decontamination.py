@@ -1,9 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items.
 
-A text is its words in order. Every word of the benchmark gets a symbol (one code point), every
-other word the symbol 0, so the automaton runs over word symbols and a match gives word positions
-at once; word positions are mapped to offsets of the original text where spans are asked for. A text
-is parted into words and scanned once.
+A text is its words in order. Every word of the benchmark has a number, written as a fixed count of
+digits to base DIGITS, the first one in signs of its own. So a node of the automaton has at most DIGITS
+children however many words there are, a match can only start at a word, and its place divided by
+the count of digits is a word position; word positions are mapped to offsets of the original text
+where spans are asked for. A text is parted into words and scanned once. A match lies between two
+words that the benchmark doesn't have, so only runs of words that it has pass through the automaton,
+and of these only runs as long as the shortest window.
 
 A benchmark whose windows take over SHARD_BYTES is dealt to several automata, one after another:
 each shard is collected, sent, used to write down its matches, and dropped before the next, so the
@@ -23,8 +26,10 @@ from .common import Shared, batch_of, filter_texts, map_batches, materialize, re
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of windows that one automaton holds (some 0.3 GB of memory); a larger benchmark is dealt to several.
-SHARD_BYTES = 16 << 20
+#: Signs of a digit: the most children of a node.
+DIGITS = 16
+#: Bytes of windows that one automaton holds (some 100,000 windows, 0.35 GB of memory); a larger benchmark is dealt to several.
+SHARD_BYTES = 8 << 20
 
 _SPACED = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -42,29 +47,45 @@ def windows_of(data: bytes | None, size: int = WINDOW) -> list[bytes]:
 
 
 class Automaton:
-    """windows: (window, item ids). At most 0x10F000 different words."""
+    """windows: (window, item ids), of any number of different words."""
 
     def __init__(self, windows: Iterable[tuple[bytes, list[str]]]):
-        self.symbol: dict[bytes, str] = {}
-        self.items: list[list[str]] = []
+        windows = [(w.split(), items) for w, items in windows]
+        self.items = [items for _, items in windows]
+        self.shortest = min((len(words) for words, _ in windows), default=1)
+        different = dict.fromkeys(w for words, _ in windows for w in words)
+        self.digits = 1
+        while DIGITS**self.digits < len(different):
+            self.digits += 1
+        self.code = {w: self._written(k) for k, w in enumerate(different)}
         self.machine = ahocorasick.Automaton()
-        for window, items in windows:
-            words = window.split()
-            for w in words:
-                if w not in self.symbol:
-                    code = len(self.symbol) + 1
-                    self.symbol[w] = chr(code if code < 0xD800 else code + 0x800)  # not the surrogates
-            self.machine.add_word("".join(self.symbol[w] for w in words), (len(words), len(self.items)))
-            self.items.append(items)
+        for k, (words, _) in enumerate(windows):
+            self.machine.add_word("".join([self.code[w] for w in words]), (len(words), k))
         if self.items:
             self.machine.make_automaton()
 
+    def _written(self, number: int) -> str:
+        out = ""
+        for place in range(self.digits):
+            number, digit = divmod(number, DIGITS)
+            out = chr(ord("A") + digit + (DIGITS if place == self.digits - 1 else 0)) + out
+        return out
+
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(first word, word after the last, window number) of every occurrence."""
-        if not self.items or not words:
-            return []
-        get = self.symbol.get
-        return [(end + 1 - n, end + 1, k) for end, (n, k) in self.machine.iter("".join([get(w, "\0") for w in words]))]
+        out: list[tuple[int, int, int]] = []
+        if not self.items:
+            return out
+        codes: list[str | None] = [*map(self.code.get, words), None]
+        first = 0
+        while first < len(words):
+            end = codes.index(None, first)
+            if end - first >= self.shortest:
+                for last, (n, k) in self.machine.iter("".join(codes[first:end])):
+                    stop = first + (last + 1) // self.digits
+                    out.append((stop - n, stop, k))
+            first = end + 1
+        return out
 
 
 def window_table(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -28,6 +28,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,19 @@ TEMPLATES = {
     ),
 }
 
+#: Whole texts of the long licences, one file each.
+FOLDER = Path(__file__).resolve().parent / "licenses"
+
+
+def read_templates(folder: str | Path = FOLDER) -> dict[str, str]:
+    """Template id (a file's name, with #text): text, of the *.txt files of a folder on the driver."""
+    return {f"{f.stem}#text": f.read_text(encoding="utf-8") for f in sorted(Path(folder).glob("*.txt"))}
+
+
+def all_templates() -> dict[str, str]:
+    """The notices above and the whole texts."""
+    return TEMPLATES | read_templates()
+
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
@@ -265,16 +279,17 @@ def _sequences(texts: Iterable[str]) -> Iterator[list[str]]:
         yield part
 
 
-def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of documents(doc_id, text): doc_id, n_licenses, licenses (different template
     ids, sorted, comma-joined), spans (struct template, start, end, containment; code points) of every copy.
 
-    A template is found if the text holds at least 0.8 of its 5-word shingles. Null and empty texts
+    templates are all_templates() unless given; read_templates(folder) reads others. A template is found if the
+    text holds at least 0.8 of its 5-word shingles. Equally contained templates are all named. Null and empty texts
     have none; an empty table gives no rows, and no templates find nothing; repeated rows are scanned
     one by one; overlapping copies of different templates are all reported; other columns are ignored.
     Time grows in proportion to a text's length. No shuffle.
     """
-    shared = Shared(documents.sparkSession, templates)
+    shared = Shared(documents.sparkSession, all_templates() if templates is None else templates)
 
     def start():
         index = shared.build(Index)

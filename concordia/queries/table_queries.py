@@ -22,15 +22,15 @@ def citations(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.expr(_MADE).alias("cite")).distinct()
 
 
+#: The references of each citation, from the numbers that it was made of.
 _CITES = f"""
-WITH c AS (SELECT DISTINCT {_MADE} AS cite FROM lineitem),
-m AS (SELECT cite, i AS k, regexp_extract(hits[i], '^([0-9]+):([0-9]+)\\.([0-9]+)(?:\\s*(?:-|–|—|through|to)\\s*(?:([0-9]+):)?(?:([0-9]+)\\.)?([0-9]+))?', ['p', 's', 'a', 'p2', 's2', 'b']) AS g
-  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT *, regexp_extract_all(cite, '[0-9]+:[0-9]+\\.[0-9]+(?:\\s*(?:-|–|—|through|to)\\s*(?:[0-9]+:)?(?:[0-9]+\\.)?[0-9]+)?') AS hits FROM c))),
-e AS (SELECT cite, k, CASE
-  WHEN g.b = '' THEN [g.p || ':' || g.s || '.' || g.a]
-  WHEN (g.p2 <> '' AND g.p2 <> g.p) OR (g.s2 <> '' AND g.s2 <> g.s) THEN [g.p || ':' || g.s || '.' || g.a, CASE WHEN g.p2 <> '' THEN g.p2 ELSE g.p END || ':' || CASE WHEN g.s2 <> '' THEN g.s2 ELSE g.s END || '.' || g.b]
-  WHEN CAST(g.b AS BIGINT) < CAST(g.a AS BIGINT) OR CAST(g.b AS BIGINT) - CAST(g.a AS BIGINT) > 40 THEN [g.p || ':' || g.s || '.' || g.a]
-  ELSE list_transform(range(CAST(g.a AS BIGINT), CAST(g.b AS BIGINT) + 1), lambda x: g.p || ':' || g.s || '.' || x) END AS refs FROM m)"""
+WITH c AS (
+  SELECT DISTINCT {_MADE} AS cite, l_orderkey % 6 AS kind, l_linenumber AS p, l_suppkey % 9 AS s, CAST(l_quantity AS BIGINT) AS a,
+    CASE l_orderkey % 6 WHEN 1 THEN l_partkey % 100 WHEN 2 THEN l_partkey % 60 WHEN 3 THEN l_partkey % 9 WHEN 4 THEN l_partkey % 30 WHEN 5 THEN CAST(l_quantity AS BIGINT) + 3 END AS b FROM lineitem
+), e AS (
+  SELECT cite, CASE WHEN kind = 3 THEN [p || ':' || s || '.' || a, p || ':' || (s + 1) || '.' || b] WHEN kind = 4 THEN [p || ':' || s || '.' || a, p || ':2.' || b]
+    WHEN b BETWEEN a AND a + 40 THEN list_transform(range(a, b + 1), lambda x: p || ':' || s || '.' || x) ELSE [p || ':' || s || '.' || a] END AS refs FROM c
+)"""
 
 
 @query(f"{_CITES}, r AS (SELECT cite, unnest(refs) AS ref FROM e) SELECT cite, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM r GROUP BY cite")

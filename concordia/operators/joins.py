@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .scan import Running, with_running
 
 
 def not_covered(required: DataFrame, keys: DataFrame) -> DataFrame:
@@ -51,10 +53,37 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Each left row with the value of the last right row of its key at or before it (the largest value
-    among equals): one shuffle of both sides and a running last."""
+    among equals): a running last over both sides, in segments, so that a frequent key isn't one task."""
     both = left.withColumn("__right", F.lit(None).cast(right.schema[value].dataType)).withColumn("__side", F.lit(1)).unionByName(right.withColumn("__right", F.col(value)).withColumn("__side", F.lit(0)))
-    running = W.partitionBy(key).orderBy(at, "__side", "__right").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(f"right_{value}", F.last("__right", ignorenulls=True).over(running)).filter("__side = 1").drop("__right", "__side")
+    latest = {f"right_{value}": Running("last", F.col("__right"))}
+    return with_running(both, [key], [at, "__side", "__right"], latest).filter("__side = 1").drop("__right", "__side")
+
+
+def dyadic(low: Column, high: Column) -> Column:
+    """The nodes (level, node) that part the whole numbers low to high, two a level at most: node k of a level
+    holds the numbers from k * 2**level on, 2**level of them. None if high is below low."""
+    node = "struct<level: int, node: bigint>"
+    begin = F.struct(low.cast("bigint").alias("a"), (high.cast("bigint") + 1).alias("b"), F.array().cast(f"array<{node}>").alias("nodes"))
+
+    def step(acc: Column, level: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        live = a < b
+        left, right = live & (F.pmod(a, F.lit(2)) == 1), live & (F.pmod(b, F.lit(2)) == 1)
+        own = F.array_compact(F.array(F.when(left, F.struct(level.alias("level"), a.alias("node"))), F.when(right & (~left | (b - 1 > a)), F.struct(level.alias("level"), (b - 1).alias("node")))))
+        return F.when(~live, acc).otherwise(F.struct(F.shiftright(a + left.cast("bigint"), 1).alias("a"), F.shiftright(b - right.cast("bigint"), 1).alias("b"), F.concat(acc["nodes"], own.cast(f"array<{node}>")).alias("nodes")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), begin, step, lambda acc: acc["nodes"])
+
+
+def in_spans(points: DataFrame, spans: DataFrame, point: str, low: str, high: str) -> DataFrame:
+    """Each row of points with each row of spans that holds its point, both ends included: spans of any length are
+    twice as many rows as their length has binary digits, and a point looks itself up once for each level that
+    a span uses (63 at most, which are one row). A join by equality; a null point, end or start meets nothing."""
+    nodes = spans.withColumn("__at", F.explode(dyadic(F.col(low), F.col(high))))
+    levels = nodes.agg(F.collect_set("__at.level").alias("__levels"))
+    climbed = F.transform("__levels", lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(point).cast("bigint"), k).alias("node")))
+    seen = points.filter(F.col(point).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("__at", F.explode(climbed)).drop("__levels")
+    return seen.join(nodes, "__at").drop("__at")
 
 
 def with_fallback(base: DataFrame, better: DataFrame) -> DataFrame:

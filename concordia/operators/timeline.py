@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .scan import Running, with_running
+
 
 def numbered(rows: DataFrame, order: str, buckets: int | None = None, ties: list[str] = ()) -> DataFrame:
     """rows with place, 1 and up in ascending order of a number or date, without one task holding all: rows
@@ -47,25 +49,24 @@ def tiles(rows: DataFrame, order: str, days: int, with_places: bool = False) ->
 
 def records(rows: DataFrame, keys: list[str], order: list[str], opens: Column) -> DataFrame:
     """record: how many rows up to this one open a record."""
-    return rows.withColumn("record", F.sum(opens.cast("int")).over(W.partitionBy(*keys).orderBy(*order)))
+    return with_running(rows, keys, order, {"record": Running("sum", opens.cast("int"))})
 
 
 def monotonic(rows: DataFrame, keys: list[str], order: list[str], start: str, end: str) -> DataFrame:
-    before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    latest = F.greatest(F.coalesce(F.max(F.greatest(start, end)).over(before), F.lit(0.0)), F.lit(0.0))
-    rows = rows.withColumn("__pe", latest).withColumn(start, F.greatest(start, "__pe"))
+    """Each start at the latest end before it at least, each end at its start at least."""
+    rows = with_running(rows, keys, order, {"__pe": Running("max", F.greatest(start, end), own=False)})
+    rows = rows.withColumn(start, F.greatest(start, F.coalesce("__pe", F.lit(0.0)), F.lit(0.0)))
     return rows.withColumn(end, F.greatest(end, start)).drop("__pe")
 
 
 def interpolate(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Null values on the line between the known ones before and after, by position."""
-    up = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*keys).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-    rows = rows.withColumn("__a", F.last(value, ignorenulls=True).over(up)).withColumn("__b", F.first(value, ignorenulls=True).over(down)).withColumn("__i", F.count(value).over(up))
-    island = W.partitionBy(*keys, "__i")
-    step = (F.row_number().over(island.orderBy(*order)) - 1) / F.count(F.lit(1)).over(island)
-    line = F.col("__a") + (F.col("__b") - F.col("__a")) * step
-    return rows.withColumn(value, F.coalesce(F.col(value), line, F.col("__a"), F.col("__b"))).drop("__a", "__b", "__i")
+    placed = with_running(rows, keys, order, {"__i": Running("sum", F.lit(1))})
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("__i").alias("i")))
+    found = with_running(placed, keys, order, {"__a": Running("last", known), "__b": Running("last", known, back=True)})
+    a, b = F.col("__a"), F.col("__b")
+    line = a["v"] + (b["v"] - a["v"]) * (F.col("__i") - a["i"]) / (b["i"] - a["i"])
+    return found.withColumn(value, F.coalesce(F.col(value), line, a["v"], b["v"])).drop("__a", "__b", "__i")
 
 
 def shortest_stretch(tokens: Column, tests: list[Callable[[Column], Column]]) -> Column:
@@ -88,14 +89,29 @@ def minimal_span(rows: DataFrame, key: str, tokens: str, asked: list[str], below
 
 
 def close_by(tokens: Column, one: Callable[[Column], Column], other: Callable[[Column], Column], within: int) -> Column:
-    """Whether a token that passes one test stands within so many places of one that passes the other."""
-    at = F.transform(tokens, lambda w, i: F.struct(i.alias("i"), one(w).alias("a"), other(w).alias("b")))
-    # held in a struct, so that the places are found once
-    places = F.transform(F.array(at), lambda t: F.struct(F.filter(t, lambda x: x["a"])["i"].alias("a"), F.filter(t, lambda x: x["b"])["i"].alias("b")))
-    return F.exists(places, lambda p: F.exists(p["a"], lambda i: F.exists(p["b"], lambda j: F.abs(i - j) <= within)))
+    """Whether a token that passes one test stands within so many places of one that passes the other: a fold with
+    the last place of each."""
+    far = F.lit(-(1 << 30))
+    start = F.struct(far.alias("a"), far.alias("b"), F.lit(0).alias("i"), F.lit(False).alias("close"))
+
+    def step(acc, w):
+        a, b = F.when(one(w), acc["i"]).otherwise(acc["a"]), F.when(other(w), acc["i"]).otherwise(acc["b"])
+        known = (a >= 0) & (b >= 0)
+        return F.struct(a.alias("a"), b.alias("b"), (acc["i"] + 1).alias("i"), (acc["close"] | (known & (F.abs(a - b) <= within))).alias("close"))
+
+    return F.aggregate(tokens, start, step, lambda acc: acc["close"])
+
+
+def streaks(rows: DataFrame, keys: list[str], order: list[str], hit: Column) -> DataFrame:
+    """score: hits up to this row; streak: those since the last miss."""
+    scored = with_running(rows, keys, order, {"score": Running("sum", hit.cast("int"))})
+    # the score at the latest miss is the largest one at a miss
+    reset = with_running(scored, keys, order, {"__reset": Running("max", F.when(~hit, F.col("score")))})
+    return reset.withColumn("streak", F.col("score") - F.coalesce("__reset", F.lit(0))).drop("__reset")
 
 
-def thin(times: Column, least: float) -> Column:
-    """Of sorted times, the first and each that is at least `least` after the last kept one."""
-    keep = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= least), F.concat(acc, F.array(t))).otherwise(acc)
-    return F.aggregate(times, F.array().cast("array<double>"), keep)
+def thinned(times: Column, least: float) -> Column:
+    """How many of sorted times are kept: the first, and each that is at least `least` after the last kept one."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("n"))
+    keep = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= least), F.struct(t.cast("double").alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    return F.aggregate(times, start, keep, lambda acc: acc["n"])

@@ -359,11 +359,8 @@ SELECT event_id, user_id, CAST(sum(hit::INT) OVER (PARTITION BY user_id, island
 )
 def quiz_streaks(spark, sf_dir):
     """Running score, and a streak that a miss resets."""
-    hit = (F.col("value") > 50).cast("int")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", hit.alias("hit")).withColumn("island", F.sum(1 - F.col("hit")).over(order))
-    streak = F.sum("hit").over(W.partitionBy("user_id", "island").orderBy("ts", "event_id"))
-    return e.select("event_id", "user_id", streak.alias("streak"), F.sum("hit").over(order).alias("score"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return L.streaks(e, ["user_id"], ["ts", "event_id"], F.col("value") > 50).select("event_id", "user_id", "streak", "score")
 
 
 @query(
@@ -512,7 +509,7 @@ SELECT user_id, CAST(max(kept) AS INTEGER) AS kept FROM k GROUP BY user_id"""
 def thinned_marks(spark, sf_dir):
     """Marks at least an hour after the last kept one: a fold over each user's sorted times."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.expr(MICROS) / 1000000)).alias("t"))
-    return e.select("user_id", F.size(L.thin(F.col("t"), 3600)).alias("kept"))
+    return e.select("user_id", L.thinned(F.col("t"), 3600).alias("kept"))
 
 
 @query("SELECT n_name, row_number() OVER (ORDER BY n_name) AS place FROM nation")

@@ -26,8 +26,8 @@ TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 BUCKETS = 1 << 12
 #: Features of a token, and code points of texts that are decoded at once; a longer text is decoded by itself.
 WIDTH, CHUNK = 8, 1 << 21
-#: Tokens of a segment; a text of more than twice as many is decoded by segments.
-SEGMENT = 2048
+#: Tokens of a segment; a text of over MANY segments is decoded by these, which pays only for many at once.
+SEGMENT, MANY = 2048, 16
 
 # The patterns start only where a match can, so that long runs take linear time: a match from the
 # middle of a run of digits, or of characters of a mail name, ends as the one from its start.
@@ -182,11 +182,12 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def decode(field: Field, features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The best tag of each token of texts of so many tokens. Of equal paths the one with the lower tags, seen from
     the end, is taken."""
-    emit = np.zeros((len(TAGS), len(features)))
+    emit = np.zeros((len(features), len(TAGS)))
     for k in range(WIDTH):
-        emit += field.weights.T[:, features[:, k]]
+        emit += field.weights[features[:, k]]
+    emit = np.ascontiguousarray(emit.T)
     first, out = np.cumsum(sizes) - sizes, np.zeros(len(features), np.int8)
-    long = sizes > 2 * SEGMENT
+    long = sizes > MANY * SEGMENT
     for a, n in zip(first[long], sizes[long]):
         out[a : a + n] = _by_segments(field, emit[:, a : a + n])
     order = np.argsort(-sizes, kind="stable")

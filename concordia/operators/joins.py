@@ -18,32 +18,6 @@ def not_covered(required: DataFrame, keys: DataFrame) -> DataFrame:
     return required.join(papers, "paper", "left_anti").join(keys.select(F.col("key").alias("ref")).distinct(), "ref", "left_anti").select("ref", "paper")
 
 
-#: Words of a needle that the equality join uses; bytes of needles up to which they go to the texts.
-LEAD, SENT_BYTES = 4, 8 << 20
-
-
-def containment(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str) -> DataFrame:
-    """(needle id, text id) where the needle's words stand in the text's words. Needles of LEAD words
-    and more meet texts by the hash of their first words and are rechecked; shorter ones by each length.
-    Needles of SENT_BYTES at most, which is measured, are broadcast; beyond that the texts' hashes are shuffled."""
-    split = lambda df, key: df.select(key, F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), r"\s+"), lambda w: w != "").alias("ws"))
-    own, rows = split(needles, needle_id).filter("size(ws) > 0"), split(texts, text_id)
-    form = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    parts = []
-    own = own.select(needle_id, "ws", form(F.col("ws")).alias("__needle"))
-    sizes = {r["n"]: r["bytes"] for r in own.groupBy(F.least(F.size("ws"), F.lit(LEAD)).alias("n")).agg(F.sum(F.octet_length("__needle") + 64).alias("bytes")).collect()}
-    for n in sorted({*sizes, LEAD}):
-        some = own.filter(F.size("ws") == n) if n < LEAD else own.filter(F.size("ws") >= n)
-        leads = some.select(needle_id, "__needle", F.xxhash64(F.array_join(F.slice("ws", 1, n), " ")).alias("h"))
-        if sizes.get(n, 0) <= SENT_BYTES:
-            leads = F.broadcast(leads)
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, n), " "))))  # noqa: B023
-        posted = rows.filter(F.size("ws") >= n).select(text_id, F.explode(grams).alias("h"))
-        parts.append(posted.join(leads, "h").select(needle_id, text_id, "__needle"))
-    pairs = reduce(DataFrame.unionByName, parts).distinct()
-    return pairs.join(rows.select(text_id, form(F.col("ws")).alias("words")), text_id).filter(F.contains("words", F.col("__needle"))).select(needle_id, text_id)
-
-
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, width: int) -> DataFrame:
     """Rows with equal keys and |a - b| <= width: the right side is dealt to its bucket and both neighbours."""
     bucket = F.expr(f"{a} div {width}")

@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import entities as EN, index as IX, joins as J, scan as SC, search as S, timeline as L
+from ..operators import entities as EN, graph as GH, index as IX, joins as J, pointers as PT, scan as SC, search as S, timeline as L
 from ..registry import query, table
 from ..session import remove, scratch, stored
 from ..sources.corpus import PARAGRAPHS_SQL as P, spread
 from .search_queries import _SCORED, QUERY, pars, spread_pars
+from .table_queries import MICROS
 
 _KEPT: dict[tuple[str, str], IX.Index] = {}
 
@@ -136,3 +137,46 @@ def join_wide_spans(spark, sf_dir):
     spans = table(spark, sf_dir, "supplier").select("s_suppkey", low.alias("low"), (low + F.floor(F.abs("s_acctbal"))).alias("high"))
     found = J.in_spans(table(spark, sf_dir, "orders").select("o_orderkey"), spans, "o_orderkey", "low", "high")
     return found.groupBy("o_orderkey").agg(F.count("*").alias("spans"), F.min("s_suppkey").alias("first_span"))
+
+
+# --- chains of links
+
+_LINKS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 5 WHEN c_custkey > c_nationkey + 1 THEN c_custkey - c_nationkey - 1 END AS next FROM customer"
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    return table(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 97 == 0, c + 5).when(c > n + 1, c - n - 1).alias("next"))
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT * FROM ({_LINKS}) WHERE next IS NOT NULL), r AS (SELECT id, next AS node FROM l UNION SELECT r.id, l.next FROM r JOIN l ON l.id = r.node)
+SELECT id, max(node) FILTER (WHERE node NOT IN (SELECT id FROM l)) AS "end", CASE WHEN count(*) FILTER (WHERE node NOT IN (SELECT id FROM l)) > 0 THEN count(*) END AS steps, count(*) FILTER (WHERE node NOT IN (SELECT id FROM l)) = 0 AS loops FROM r GROUP BY id"""
+)
+def chain_ends(spark, sf_dir):
+    """Each customer points at another: where its chain ends after how many links, or whether it runs into a loop."""
+    return PT.chains(_links(spark, sf_dir))
+
+
+@query(
+    """WITH RECURSIVE m AS (SELECT DISTINCT epoch_us(ts) AS mark FROM events), k AS (SELECT min(mark) AS mark FROM m UNION ALL SELECT (SELECT min(m.mark) FROM m WHERE m.mark >= k.mark + 3600000000) FROM k WHERE k.mark IS NOT NULL)
+SELECT mark FROM k WHERE mark IS NOT NULL"""
+)
+def thinned_one_key(spark, sf_dir):
+    """Marks at least an hour after the last kept one over all events as one key, by doubled links."""
+    return PT.kept_marks(table(spark, sf_dir, "events").select(F.expr(MICROS).alias("mark")), [], "mark", 3_600_000_000)
+
+
+_KINDS = "CASE o_orderkey % 3 WHEN 0 THEN 'spouse' WHEN 1 THEN 'parent' END"
+
+
+@query(
+    f"""WITH n AS (SELECT c_custkey AS id, c_custkey // 20 AS tree FROM customer), e AS (SELECT o_custkey AS a, o_custkey + o_orderkey % 7 AS b, {_KINDS} AS kind FROM orders),
+p AS (SELECT x.tree, count(*) AS parents FROM e JOIN n x ON x.id = e.a JOIN n y ON y.id = e.b AND y.tree = x.tree WHERE kind IS DISTINCT FROM 'spouse' GROUP BY x.tree)
+SELECT tree, count(*) AS persons, coalesce(any_value(parents), 0) AS parents FROM n LEFT JOIN p USING (tree) GROUP BY tree"""
+)
+def graph_trees(spark, sf_dir):
+    """How many persons and parent edges each tree has; an edge without a kind is one of a parent."""
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 20").alias("tree"))
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.expr("o_custkey + o_orderkey % 7").alias("b"), F.expr(_KINDS).alias("kind"))
+    return GH.trees(nodes, edges)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import refs as R, text as T
-from ..operators import ask as ASK, joins as J, rules as RL, timeline as L
+from ..operators import anchors as AN, ask as ASK, joins as J, rules as RL, timeline as L
 from ..registry import query, table
 from ..sources.corpus import PARAGRAPHS_SQL as P, spread
 from .search_queries import GROUPS, java, pars
@@ -144,8 +144,8 @@ d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(re
 SELECT item_id, doc_id FROM n, d WHERE contains(words, needle)"""
 )
 def join_containment(spark, sf_dir):
-    """Needles inside texts as whole words: equality of a needle's first words, then a recheck."""
-    return J.containment(table(spark, sf_dir, "benchmark").select("item_id", "text"), spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "item_id", "doc_id")
+    """Needles inside texts as whole words: equality of a needle's rarest four words, then a recheck."""
+    return AN.containment(table(spark, sf_dir, "benchmark").select("item_id", "text"), spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "item_id", "doc_id")
 
 
 @query(

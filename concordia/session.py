@@ -58,14 +58,19 @@ def keep_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch(spark))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again, for results that several branches use. The
-    table goes when the process ends."""
+def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again, and the folder, for `remove` once nothing reads it.
+    What is left goes when the process ends."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/concordia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df by way of a table in the shared folder, for results that several branches use."""
+    return put(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import language as LG, numbers as N, text as T
 from ..functions.numbers import numbers_udf
 from ..operators import align as AL, banks as BK, cards as CD, claims as CL, entities as EN, grade as GR, graph as GH, links as LK, recall as RC, spell as SP, verify as VF
 from ..registry import query, table
-from ..session import keep_checkpoints, scratch
+from ..session import folder, keep_checkpoints
 from ..sources import readers as RD
 from ..sources.corpus import PARAGRAPHS_SQL as P, spread
 from ..streaming import jobs as ST
@@ -534,7 +532,7 @@ def stream_hourly_counts(spark, sf_dir):
     """Hourly counts by a stream with a watermark, over what the table holds now."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    path = f"{scratch(spark)}/concordia/hourly-{uuid.uuid4().hex}"
+    path = folder(spark, "hourly")
     out = ST.run_to_table(ST.hourly_counts(stream), ["hour", "event_type"], f"{path}/out", f"{path}/state")
     return out.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 

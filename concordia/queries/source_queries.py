@@ -4,7 +4,6 @@ with SQL over the tables."""
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import language as LG, numbers as N, text as T
 from ..operators import align as AL, claims as CL, recall as RC
 from ..registry import query, table
-from ..session import scratch
+from ..session import folder
 from ..sources import corpus as CO, readers as RD
 from ..sources.corpus import PARAGRAPHS_SQL as P
 from ..streaming import jobs as ST
@@ -21,7 +20,7 @@ from .search_queries import _STRIPPED, pars
 
 
 def _place(spark, name: str) -> str:
-    return f"{scratch(spark)}/concordia/{name}-{uuid.uuid4().hex}"
+    return folder(spark, name)
 
 
 def _items(spark, sf_dir):

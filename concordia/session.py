@@ -58,14 +58,18 @@ def keep_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch(spark))
 
 
-def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder and read again, and the folder, for `remove` once nothing reads it.
-    What is left goes when the process ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the process ends."""
     path = f"{scratch(spark)}/concordia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return path
+
+
+def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again, and its path, for `remove` once nothing reads it."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -175,13 +175,23 @@ def entries(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vec").agg(F.first("norm").alias("norm"), F.array_sort(F.collect_list(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id"))).alias("ids")).select("vec", "norm", F.col("ids.vec_id").alias("ids"))
 
 
+def _sampled(table: DataFrame, count: int) -> list[bytes]:
+    """The SAMPLE different vectors that come first by their hash, all if there are fewer. Only hashes under a bound that
+    twice as many are expected to have are sorted: else each task would send so many to the driver."""
+    hashed = table.select(F.xxhash64("vec").alias("h"), "vec")
+    bound = _LONG.min + int(2**64 * min(1.0, 2 * SAMPLE / count)) - 1
+    first = lambda rows: [bytes(r.vec) for r in rows.orderBy("h", "vec").limit(SAMPLE).collect()]
+    found = first(hashed.filter(F.col("h") <= bound))
+    return found if len(found) == min(SAMPLE, count) else first(hashed)
+
+
 def build(table: DataFrame, ring_rows: int = RING_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[Directory | None, DataFrame]:
     """The directory, and blocks (ring, chunk, vec, ids) of at most about block_rows vectors, of a table of entries."""
     spark = table.sparkSession
     count, radius = table.agg(F.count("*"), F.max("norm")).head()
     if not count:
         return None, table.select(F.lit(0).alias("ring"), F.lit(0).alias("chunk"), F.array("vec").alias("vec"), F.array("ids").alias("ids"))
-    sample = [bytes(r.vec) for r in table.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()]
+    sample = _sampled(table, count)
     width = table.agg(F.max(F.when(F.substring("vec", 1, 1) == F.lit(b"h"), F.octet_length("vec") / 2).otherwise(F.octet_length("vec") / 8))).head()[0]
     pivots = choose_pivots(matrix(sample, int(width)), min(MAX_PIVOTS, max(1, round((count / ring_rows) ** 0.5))), radius)
     empty = np.zeros(0)
@@ -193,9 +203,7 @@ def build(table: DataFrame, ring_rows: int = RING_ROWS, block_rows: int = BLOCK_
         rings = min(MAX_RINGS, -(-r.n // ring_rows))
         edges[r.pivot] = sorted({r["at"][MAX_RINGS * k // rings - 1] for k in range(1, rings)})
     first = np.cumsum([0, *(len(edges.get(p, [])) + 1 for p in range(len(pivots)))])
-    numbers = F.create_map(*(x for p in edges for x in (F.lit(p), F.array(*map(F.lit, edges[p])).cast("array<double>"))))
-    ring = F.get(F.array(*map(F.lit, map(int, first))), F.col("pivot")) + F.size(F.filter(numbers[F.col("pivot")], lambda e: e < F.col("d")))
-    placed = materialize(keyed.withColumn("ring", ring), "placed")
+    placed = materialize(_placed(keyed, [np.array(edges.get(p, [])) for p in range(len(pivots))], first), "placed")
     found = sorted(placed.groupBy("ring", "pivot").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n")).collect(), key=lambda r: r.ring)
     directory = Directory(radius, pivots, *(np.array([r[c] for r in found]) for c in ("pivot", "low", "high", "n")))
     chunks = spark.createDataFrame([(r.ring, k, -(-r.n // block_rows)) for k, r in enumerate(found)], "ring int, number int, chunks int")
@@ -219,6 +227,25 @@ def _keyed(table: DataFrame, directory: Directory) -> DataFrame:
     return map_batches(table.select("vec", "ids"), start, f"vec binary, ids {kind}, pivot int, d double")
 
 
+def _placed(keyed: DataFrame, edges: list[np.ndarray], first: np.ndarray) -> DataFrame:
+    """keyed with ring, the number of the annulus: the edges travel as data, so that the plan doesn't grow with them."""
+    shared = Shared(keyed.sparkSession, (edges, first))
+
+    def start():
+        def each(batch):
+            own, at = shared.value
+            pivot, d = batch["pivot"].to_numpy(), batch["d"].to_numpy()
+            ring = np.zeros(len(pivot), np.int32)
+            for p in np.unique(pivot).tolist():
+                ring[pivot == p] = at[p] + np.searchsorted(own[p], d[pivot == p], "left")
+            yield batch_of(**{c: batch[c] for c in batch.schema.names}, ring=pa.array(ring, pa.int32()))
+
+        return each
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema)
+    return map_batches(keyed, start, f"{kinds}, ring int")
+
+
 # --- search
 
 

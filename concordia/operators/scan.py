@@ -40,29 +40,39 @@ def cuts(rows: DataFrame, order: str, parts: int | None = None) -> list:
     return sorted({*(rows.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 100 * n)).head()[0] or [])})
 
 
+def _segment(value: Column, at: list) -> Column:
+    """How many cuts are below the value, 0 for null: first by blocks of cuts, then in one block, so that a row is
+    compared with twice the root of their number."""
+    if not at:
+        return F.lit(0)
+    size = max(1, round(len(at) ** 0.5))
+    blocks = [at[k : k + size] for k in range(0, len(at), size)]
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
+    passed = below(F.array(*[F.lit(b[-1]) for b in blocks]))
+    own = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), passed)
+    return F.when(value.isNull(), 0).when(passed == len(blocks), len(at)).otherwise(passed * size + below(own))
+
+
 def with_running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Running], parts: int | None = None) -> DataFrame:
     """rows with a column for each running value, null where there is nothing to run over (as a sum is of no rows).
 
     order: columns that tell a key's rows apart; segments are cut by the first one, so rows that are equal in it stay
     in one. No keys: all rows are one. Null keys are a key; rows with a null in the first column come first.
     """
-    at = cuts(rows, order[0], parts)
-    seg = F.coalesce(F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c < F.col(order[0]))), F.lit(0)) if at else F.lit(0)
+    seg = _segment(F.col(order[0]), cuts(rows, order[0], parts))
     rows = rows.withColumns({"__seg": seg, **{f"__v{k}": v.value for k, v in enumerate(values.values())}})
-    order_by = [F.col(c).asc_nulls_first() for c in order]
-    within, across = W.partitionBy(*keys, "__seg").orderBy(*order_by), W.partitionBy(*keys).orderBy("__seg")
-    spans = lambda w, v: w.rowsBetween(0 if v.own else 1, W.unboundedFollowing) if v.back else w.rowsBetween(W.unboundedPreceding, 0 if v.own else -1)
-    # backwards, the last one is the first one
-    first = lambda v, w: F.first(v, ignorenulls=True).over(w)
+    # backwards is forwards in the order turned round: a span up to the last row would be read anew for each row
+    ahead, around = [F.col(c).asc_nulls_first() for c in order], [F.col(c).desc_nulls_last() for c in order]
+    within = lambda v: W.partitionBy(*keys, "__seg").orderBy(*(around if v.back else ahead)).rowsBetween(W.unboundedPreceding, 0 if v.own else -1)
+    across = lambda v: W.partitionBy(*keys).orderBy(F.desc("__seg") if v.back else F.asc("__seg")).rowsBetween(W.unboundedPreceding, -1)
     near, totals, carried = {}, [], {}
     ordered = F.struct(*order)
     for k, v in enumerate(values.values()):
         own = F.col(f"__v{k}")
-        near[f"__n{k}"] = first(own, spans(within, v)) if v.kind == "last" and v.back else _over(v.kind, own, spans(within, v))
+        near[f"__n{k}"] = _over(v.kind, own, within(v))
         known = F.when(own.isNotNull(), ordered)
         totals.append(({"max": F.max, "sum": F.sum}[v.kind](own) if v.kind != "last" else (F.min_by if v.back else F.max_by)(own, known)).alias(f"__t{k}"))
-        total, others = F.col(f"__t{k}"), across.rowsBetween(1, W.unboundedFollowing) if v.back else across.rowsBetween(W.unboundedPreceding, -1)
-        carried[f"__c{k}"] = first(total, others) if v.kind == "last" and v.back else _over(v.kind, total, others)
+        carried[f"__c{k}"] = _over(v.kind, F.col(f"__t{k}"), across(v))
     local = rows.withColumns(near)
     held = rows.groupBy(*keys, "__seg").agg(*totals).withColumns(carried).select(*keys, "__seg", *carried)
     names = [*keys, "__seg"]

@@ -23,7 +23,8 @@ def chains(links: DataFrame) -> DataFrame:
     state, path = put(links.withColumns({"steps": F.lit(1).cast("bigint"), "open": F.lit(True)}), "chain")
     for _ in range(state.count().bit_length() + 1):
         onward = state.select(F.col("id").alias("end"), F.col("end").alias("__end"), F.col("steps").alias("__steps"), F.col("open").alias("__open"))
-        moved = state.filter("open").join(onward, "end", "left")
+        # by shuffle: a written table looks small, and a broadcast of it in every round would pass through the driver
+        moved = state.filter("open").join(onward.hint("merge"), "end", "left")
         moved = moved.select("id", F.coalesce("__end", "end").alias("end"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), F.coalesce("__open", F.lit(False)).alias("open"))
         state, new_path = put(state.filter("not open").unionByName(moved), "chain")
         remove(spark, path)
@@ -45,7 +46,7 @@ def reached(links: DataFrame, starts: DataFrame) -> DataFrame:
     seen, seen_path = put(starts.select("id").distinct(), "reached")
     n = seen.count()
     while True:
-        further = seen.join(jumps, "id").select(F.col("next").alias("id"))
+        further = seen.join(jumps.hint("merge"), "id").select(F.col("next").alias("id"))
         new, new_path = put(seen.unionByName(further).distinct(), "reached")
         remove(spark, seen_path)
         seen, seen_path, before, n = new, new_path, n, new.count()
@@ -53,7 +54,7 @@ def reached(links: DataFrame, starts: DataFrame) -> DataFrame:
             remove(spark, jump_path)
             return seen
         onward = jumps.select(F.col("id").alias("next"), F.col("next").alias("__next"))
-        longer, longer_path = put(jumps.join(onward, "next").select("id", F.col("__next").alias("next")), "jumps")
+        longer, longer_path = put(jumps.join(onward.hint("merge"), "next").select("id", F.col("__next").alias("next")), "jumps")
         remove(spark, jump_path)
         jumps, jump_path = longer, longer_path
 

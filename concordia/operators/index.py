@@ -1,8 +1,8 @@
 """A positional inverted index: the corpus' words in order, stored, and searches that read a range of it.
 
-The postings have one row for each occurrence of a word: (token, paper, section, par, pos), range-partitioned and
-sorted by all of these, so that a frequent word is spread over many files and a range of words is a range of
-files and row groups, which a Parquet filter finds by their statistics. Positions number words and
+The postings have one row for each occurrence of a word: (token, paper, section, par, pos, nth), range-partitioned by
+word and place and sorted by position too, so that a frequent word is spread over many files and a range of words is a
+range of files and row groups, which a Parquet filter finds by their statistics. nth counts a word in its paragraph. Positions number words and
 marks alike, so two words with nothing but white space between them have positions one apart. The
 dictionary has each word's occurrences and paragraphs. A prefix is a range of words, a phrase is met
 by its words' positions, and texts are not read.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from .search import ranked
@@ -23,6 +23,8 @@ PLACE = ["paper", "section", "par"]
 _LEXEME = f"({T.WORD}+|[^A-Za-z0-9_\\s])"
 #: Behind every word that starts with a prefix: no word holds it.
 _LAST = "\x7f"
+#: Letters of text whose words one task sorts.
+PART_LETTERS = 8 << 20
 
 
 @dataclass
@@ -31,18 +33,21 @@ class Index:
     dictionary: DataFrame
 
 
-def build(paragraphs: DataFrame, folder: str) -> Index:
-    """Write the index of paragraphs(paper, section, par, text): one shuffle of the words, by range. Null texts have
-    no words."""
+def build(paragraphs: DataFrame, folder: str, part_letters: int = PART_LETTERS) -> Index:
+    """Write the index of paragraphs(paper, section, par, text): one shuffle of the words, by range, to as many parts
+    as the texts' letters ask for, so that what a task sorts doesn't grow with the corpus. Null texts have no words."""
     spark = paragraphs.sparkSession
     lexemes = paragraphs.select(*PLACE, F.posexplode(F.regexp_extract_all(T.search_form(F.col("text")), F.lit(_LEXEME))).alias("pos", "token"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = lexemes.filter(F.col("token").rlike(f"^{T.WORD}")).repartitionByRange(parts, "token", *PLACE, "pos")
-    rows.select("token", *PLACE, "pos").sortWithinPartitions("token", *PLACE, "pos").write.parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
-    # a file holds a range of words, so nearly all of the counting is done before the shuffles
-    once = postings.groupBy("token", *PLACE).agg(F.count("*").alias("n"))
-    once.groupBy("token").agg(F.sum("n").alias("occurrences"), F.count("*").alias("paragraphs")).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{folder}/dictionary")
+    letters = paragraphs.agg(F.sum(F.length("text"))).head()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-letters // part_letters))
+    rows = lexemes.filter(F.col("token").rlike(f"^{T.WORD}")).select("token", F.struct(*PLACE).alias("place"), "pos").repartitionByRange(parts, "token", "place")
+    # within the ranges and in their own sort, so nothing is shuffled; place is one column, as of columns that are
+    # constant the optimizer takes one side away, and the ranges would be dealt anew by hash
+    nth = F.row_number().over(Window.partitionBy("token", "place").orderBy("pos"))
+    rows.withColumn("nth", nth).sortWithinPartitions("token", "place", "pos").select("token", "place.*", "pos", "nth").write.parquet(f"{folder}/postings")
+    # by word alone, so a task holds its words and not a row for each paragraph of a word
+    words = spark.read.parquet(f"{folder}/postings").groupBy("token").agg(F.count("*").alias("occurrences"), F.count_if(F.col("nth") == 1).alias("paragraphs"))
+    words.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{folder}/dictionary")
     return opened(spark, folder)
 
 
@@ -72,6 +77,12 @@ def _positions(words: list[str]) -> list[Column]:
     return [F.array_compact(F.collect_list(F.when(F.col("token") == w, F.col("pos")))).alias(f"w{k}") for k, w in enumerate(words)]
 
 
+def _by_place(rows: DataFrame) -> GroupedData:
+    """Rows by paragraph. They are shuffled before any is aggregated: files are in the order of words, so where they
+    are read hardly two rows are of one paragraph, and a task would hold a group for each row of its range."""
+    return rows.repartition(*PLACE).groupBy(*PLACE)
+
+
 def scored(index: Index, query: str, paper: int | None = None) -> DataFrame:
     """ref, paper, section, par, matched, hits, score of every paragraph that a search finds, as by search.scored()."""
     phrase, terms = T.query_terms(query)
@@ -81,7 +92,7 @@ def scored(index: Index, query: str, paper: int | None = None) -> DataFrame:
         return rows.limit(0).select(_ref(), *PLACE, F.lit(0).alias("matched"), F.lit(0).alias("hits"), F.lit(0.0).alias("score"))
     rows = rows.filter(_any([starts(t) for t in dict.fromkeys([*terms, *words])]))
     counts = [F.count_if(starts(t)).alias(f"c{k}") for k, t in enumerate(terms)]
-    found = rows.groupBy(*PLACE).agg(*counts, *_positions(words))
+    found = _by_place(rows).agg(*counts, *_positions(words))
     n = [F.col(f"c{k}") for k in range(len(terms))]
     matched, hits = reduce(lambda a, b: a + b, [(c > 0).cast("int") for c in n]), reduce(lambda a, b: a + b, n).cast("int")
     whole = _in_order(words) > 0
@@ -99,7 +110,7 @@ def phrase(index: Index, words: str) -> DataFrame:
     asked = T.query_terms(words)[0].split()
     for w in asked:
         starts(w)
-    rows = index.postings.filter(F.col("token").isin(asked)).groupBy(*PLACE).agg(*_positions(asked))
+    rows = _by_place(index.postings.filter(F.col("token").isin(asked))).agg(*_positions(asked))
     return rows.select(_ref(), *PLACE, _in_order(asked).alias("n")).filter("n > 0")
 
 
@@ -111,9 +122,9 @@ def document_frequency(index: Index, terms: list[str], whole: bool = False) -> D
     if whole:
         own = index.dictionary.filter(F.col("token").isin(terms)).select(F.col("token").alias("term"), F.col("paragraphs").alias("df"))
     else:
-        rows = index.postings.filter(_any([starts(t) for t in terms]))
+        rows = index.postings.filter(_any([starts(t) for t in terms])).filter("nth = 1")
         named = F.array_compact(F.array(*[F.when(starts(t), t) for t in dict.fromkeys(terms)]))
-        own = rows.select(F.explode(named).alias("term"), *PLACE).distinct().groupBy("term").agg(F.count("*").alias("df"))
+        own = rows.select(F.explode(named).alias("term"), *PLACE).repartition("term", *PLACE).distinct().groupBy("term").agg(F.count("*").alias("df"))
     return asked.join(own, "term", "left").select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
 
 

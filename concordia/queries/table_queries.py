@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import refs as R, text as T
-from ..operators import anchors as AN, ask as ASK, joins as J, rules as RL, timeline as L
+from ..operators import anchors as AN, ask as ASK, joins as J, recall as RC, rules as RL, timeline as L
 from ..registry import query, table
 from ..sources.corpus import PARAGRAPHS_SQL as P, spread
-from .search_queries import GROUPS, java, pars
+from .search_queries import GROUPS, java, pars, spread_pars
 
 #: Microseconds since the epoch of events.ts, in no time zone.
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
@@ -126,8 +126,7 @@ def join_anti_unread(spark, sf_dir):
 @query(P + "SELECT p.ref, g.id FROM paragraphs p, (VALUES " + ", ".join(f"('{a}', '{c}')" for a, _, c in GROUPS) + ") g(id, book) WHERE regexp_matches(lower(p.text), g.book)")
 def join_theta_regex(spark, sf_dir):
     """Paragraphs and rule patterns that match them: the rules are unrolled into one scan."""
-    hits = F.array_compact(F.array(*[F.when(F.lower("text").rlike(java(b)), a) for a, _, b in GROUPS]))
-    return pars(spark, sf_dir).select("ref", F.explode(hits).alias("id"))
+    return RC.required(spread_pars(spark, sf_dir), [RC.Group(a, java(b), java(c)) for a, b, c in GROUPS]).select("ref", "id")
 
 
 @query("SELECT conv_id, turn, g.id FROM conversations, (VALUES ('tionre', 'r'), ('thand', 't'), ('ing', 'g')) g(phrase, id) WHERE contains(lower(text), phrase)")

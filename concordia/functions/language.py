@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import IntegerType, StringType
@@ -136,9 +137,49 @@ def osa_distance(a: str, b: str, most: int = 2) -> int:
     return rows[-1][-1]
 
 
+#: Letters up to which words are compared many at once.
+SHORT = 64
+
+
+def osa_distances(a: list[str], b: list[str], most: int = 2) -> np.ndarray:
+    """osa_distance() of each a with its b: all pairs of short words step by step together, `most` cells to either
+    side of the diagonal."""
+    la, lb = (np.fromiter(map(len, s), int, len(s)) for s in (a, b))
+    out = np.full(len(la), most + 1, np.int32)
+    long = np.maximum(la, lb) > SHORT
+    for i in np.flatnonzero(long):
+        out[i] = osa_distance(a[i], b[i], most)
+    at = np.flatnonzero(~long & (np.abs(la - lb) <= most))
+    if not len(at):
+        return out
+    # letters in rows, a row for each place, with places before the first and behind the last ones
+    x, y = (np.pad(np.array([s[i] for i in at], f"U{SHORT}").view(np.uint32).reshape(len(at), SHORT).T, ((2, most + 2), (0, 0))) for s in (a, b))
+    la, lb, far = la[at], lb[at], np.full(len(at), most + 1, np.int32)
+    ends = np.full(len(at), most + 1, np.int32)
+    before, last = {}, {k: np.full(len(at), k, np.int32) for k in range(most + 1)}  # by place in b less place in a
+    for i in range(la.max() + 1):
+        row = last if i == 0 else {}
+        for k in range(-most, most + 1) if i else ():
+            j = i + k
+            if j < 0:
+                continue
+            cell = np.minimum(np.minimum(last.get(k + 1, far), row.get(k - 1, far)) + 1, far)
+            if j:
+                cell = np.minimum(cell, last.get(k, far) + (x[i + 1] != y[j + 1]))
+            if i > 1 and j > 1:
+                swap = (x[i + 1] == y[j]) & (x[i] == y[j + 1])
+                cell = np.where(swap, np.minimum(cell, before.get(k, far) + 1), cell)
+            row[k] = cell
+        for k, cell in row.items():
+            ends = np.where((la == i) & (lb == i + k), cell, ends)
+        before, last = (last, row) if i else ({}, row)
+    out[at] = np.minimum(ends, most + 1)
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def osa_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa_distance(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(osa_distances(a.tolist(), b.tolist()), dtype="int32")
 
 
 def title_case(text: str) -> str:

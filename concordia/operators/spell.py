@@ -8,6 +8,12 @@ from ..functions.language import osa_udf
 from ..session import ship, stored
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows for a join by shuffle, whatever Spark takes their size for: it counts a word's keys, which are dozens, as
+    about one, so a table of words that fits its threshold would go to the driver with all keys."""
+    return rows.hint("merge")
+
+
 def _places(word: Column, more: int = 0) -> Column:
     return F.sequence(F.lit(1), F.length(word) + more)
 
@@ -36,7 +42,7 @@ def one_edit(asked: DataFrame, known: DataFrame) -> DataFrame:
     letter_less = F.transform(_places(w), lambda i: key(_without(w, i), whole))
     swapped = F.transform(_places(w, -1), lambda i: key(F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(1)), F.substring(w, i, F.lit(1)), F.substring(w, i + 2, F.length(w))), whole))
     own = known.select("v", "n", F.explode(F.concat(F.array(key(v, whole)), F.transform(_places(v), lambda i: key(_without(v, i), i)))).alias("e")).select("v", "n", "e.*")
-    return asked.select("word", F.explode(F.concat(other_letter, letter_more, letter_less, swapped)).alias("e")).select("word", "e.*").join(own, ["k", "at"]).select("word", "v", "n")
+    return asked.select("word", F.explode(F.concat(other_letter, letter_more, letter_less, swapped)).alias("e")).select("word", "e.*").join(_dealt(own), ["k", "at"]).select("word", "v", "n")
 
 
 def longer_forms(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -44,13 +50,13 @@ def longer_forms(asked: DataFrame, known: DataFrame) -> DataFrame:
     opening has its best word before it is met."""
     openings = known.filter(F.length("v") >= 10).select("v", "n", F.explode(F.transform(F.sequence(F.lit(8), F.length("v") - 2), lambda i: F.substring("v", F.lit(1), i))).alias("k"))
     best = openings.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("less"), "v")).alias("b")).select("k", "b.v", (-F.col("b.less")).alias("n"))
-    return asked.filter(F.length("word") >= 9).withColumn("k", F.expr("substring(word, 1, length(word) - 1)")).join(best, "k").select("word", "v", "n")
+    return asked.filter(F.length("word") >= 9).withColumn("k", F.expr("substring(word, 1, length(word) - 1)")).join(_dealt(best), "k").select("word", "v", "n")
 
 
 def two_edits(asked: DataFrame, known: DataFrame) -> DataFrame:
     """asked(word), known(v, n): word, v, n of those that two edits make equal, by equality of their deletions."""
     posted = lambda rows, name: rows.select("*", F.explode(deletions(F.col(name))).alias("k"))
-    near = posted(asked.select("word"), "word").join(posted(known, "v"), "k").drop("k")
+    near = posted(asked.select("word"), "word").join(_dealt(posted(known, "v")), "k").drop("k")
     return near.filter(osa_udf("word", "v") <= 2)
 
 
@@ -64,10 +70,10 @@ def suggest(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     ship(unknown.sparkSession)
     vocabulary = stored(vocabulary, "vocabulary")  # which is counted once
-    asked = stored(unknown.filter(F.length("word") >= 6).select("word").distinct().join(vocabulary.select("word"), "word", "left_anti"), "asked")
+    asked = stored(unknown.filter(F.length("word") >= 6).select("word").distinct().join(_dealt(vocabulary.select("word")), "word", "left_anti"), "asked")
     known = vocabulary.filter("n >= 2 and length(word) >= 4").select(F.col("word").alias("v"), "n")
     best = lambda rows: rows.groupBy("word").agg(F.min_by("v", F.struct("d", -F.col("n"), "v")).alias("suggestion"))
     first = longer_forms(asked, known).withColumn("d", F.lit(0)).unionByName(one_edit(asked, known).withColumn("d", F.lit(1)))
     first = stored(best(first), "nearest")
-    rest = asked.filter(F.length("word") >= 8).join(first, "word", "left_anti")
+    rest = asked.filter(F.length("word") >= 8).join(_dealt(first), "word", "left_anti")
     return first.unionByName(best(two_edits(rest, known.filter(F.length("v") >= 6)).withColumn("d", F.lit(2))))

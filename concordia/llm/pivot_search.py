@@ -12,7 +12,8 @@ Search: by the triangle inequality no vector of an annulus [lo, hi] is nearer to
 max(lo - d, d - hi), d being the distance of q' to the pivot. A query opens annuli in the order of this
 bound. The first ones, that hold FIRST vectors at least, give its k-th product so far; of all others
 it opens those whose bound doesn't exclude a product as large. Blocks of queries meet blocks of vectors
-by a join on the annulus, and a pair of blocks is one matrix product of whole numbers.
+by a join on groups of neighbouring annuli, so that a query travels once for each group and not for each annulus; a pair
+of blocks is one matrix product of whole numbers.
 
 Rows with the same vector are one entry with its k + 1 smallest ids, which is all that a result can
 need, and equal queries are searched for once: a vector that a third of all rows share costs as one.
@@ -33,6 +34,8 @@ SCALE = 64
 MAX_PIVOTS, MAX_RINGS, SAMPLE = 256, 64, 4096
 #: Vectors of an annulus that are aimed at, of a stored block, of the first annuli, queries whose bounds are held at once.
 RING_ROWS, BLOCK_ROWS, FIRST, BOUND_ROWS = 2048, 2048, 2048, 256
+#: Groups of annuli that are aimed at, and annuli of a group at most.
+GROUPS, GROUP_RINGS = 64, 64
 #: Sums of products below this are exact in double precision.
 _EXACT = 2.0**53
 _LONG = np.iinfo(np.int64)
@@ -137,6 +140,11 @@ class Directory:
     def width(self) -> int:
         return self.pivots.shape[1] - 1
 
+    @property
+    def group(self) -> int:
+        """Annuli of a group."""
+        return min(GROUP_RINGS, max(1, -(-len(self.pivot) // GROUPS)))
+
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each query and annulus: the least distance, the largest product, and the distance to the pivot."""
         queries = _wide(queries, self.width)
@@ -250,8 +258,9 @@ def _placed(keyed: DataFrame, edges: list[np.ndarray], first: np.ndarray) -> Dat
 
 
 def _opened(queries: DataFrame, directory: Directory, least_rows: int) -> DataFrame:
-    """Blocks of queries (qids, vecs, least) for each annulus that they open: the first ones, or the rest if the
-    queries have a product `reached`. A block has the queries of a batch."""
+    """Blocks of queries (qids, vecs, least) for each group of annuli that they open: the first ones, or the rest if the
+    queries have a product `reached`. A block has the queries of a batch. lanes are the annuli of the group that any of
+    them opens, opens has a row of bits for each query."""
     shared, again = Shared(queries.sparkSession, directory), "reached" in queries.columns
 
     def start():
@@ -264,16 +273,18 @@ def _opened(queries: DataFrame, directory: Directory, least_rows: int) -> DataFr
                 part = slice(at, at + BOUND_ROWS)
                 opens.append(shared.value.rest(m[part], least[part].astype(np.float64), least_rows) if again else shared.value.first(m[part], least_rows))
             opens = np.concatenate(opens) if opens else np.zeros((0, 0), bool)
-            for ring in np.flatnonzero(opens.any(axis=0)).tolist():
-                own = np.flatnonzero(opens[:, ring])
+            size = shared.value.group
+            for group in np.unique(np.flatnonzero(opens.any(axis=0)) // size).tolist():
+                part = opens[:, group * size : (group + 1) * size]
+                own = np.flatnonzero(part.any(axis=1))
                 yield batch_of(
-                    ring=pa.array([ring], pa.int32()), qids=pa.array([batch["qid"].take(pa.array(own)).to_pylist()], pa.list_(pa.int64())),
+                    group=pa.array([group], pa.int32()), lanes=pa.array([np.flatnonzero(part.any(axis=0)).tolist()], pa.list_(pa.int32())), opens=pa.array([np.packbits(part[own], axis=1).tobytes()], pa.binary()), qids=pa.array([batch["qid"].take(pa.array(own)).to_pylist()], pa.list_(pa.int64())),
                     vecs=pa.array([[vecs[k] for k in own]], pa.list_(pa.binary())), least=pa.array([least[own].tolist()], pa.list_(pa.int64())),
                 )
 
         return each
 
-    return map_batches(queries, start, "ring int, qids array<bigint>, vecs array<binary>, least array<bigint>")
+    return map_batches(queries, start, "group int, lanes array<int>, opens binary, qids array<bigint>, vecs array<binary>, least array<bigint>")
 
 
 def best(scores: np.ndarray, least: np.ndarray, ids: list[list[int | None]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,21 +299,27 @@ def best(scores: np.ndarray, least: np.ndarray, ids: list[list[int | None]], k:
     return q[place < k], v[place < k]
 
 
-def _compared(opened: DataFrame, blocks: DataFrame, k: int, id_kind: str) -> DataFrame:
-    """qid, score, vec_id: the k + 1 best rows of each query in each block of the annuli that it opens."""
+def _compared(opened: DataFrame, blocks: DataFrame, size: int, k: int, id_kind: str) -> DataFrame:
+    """qid, score, vec_id: the k + 1 best rows of each query in each block of the annuli that it opens, of which a group
+    has `size`. A join by shuffle, whatever Spark takes the sizes for: it sees the queries once, and not as often as
+    they are opened."""
 
     def start():
         def each(batch):
             for pair in range(batch.num_rows):
-                qids, vecs, least, own, ids = (batch[c][pair].as_py() for c in ("qids", "vecs", "least", "vec", "ids"))
-                scores = products(matrix(vecs), matrix(own))
-                q, v = best(scores, np.array(least), ids, k + 1)
+                qids, vecs, least, opens, lane, own, ids = (batch[c][pair].as_py() for c in ("qids", "vecs", "least", "opens", "lane", "vec", "ids"))
+                asks = np.flatnonzero(np.unpackbits(np.frombuffer(opens, np.uint8).reshape(len(qids), -1), axis=1)[:, lane])
+                qids = [qids[a] for a in asks]
+                scores = products(matrix([vecs[a] for a in asks]), matrix(own))
+                q, v = best(scores, np.array(least)[asks], ids, k + 1)
                 out = [(qids[a], int(scores[a, b]), i) for a, b in zip(q.tolist(), v.tolist()) for i in ids[b]]
                 yield batch_of(qid=pa.array([r[0] for r in out], pa.int64()), score=pa.array([r[1] for r in out], pa.int64()), vec_id=pa.array([r[2] for r in out], batch.schema.field("ids").type.value_type.value_type))
 
         return each
 
-    return map_batches(opened.join(blocks, "ring").select("qids", "vecs", "least", "vec", "ids"), start, f"qid bigint, score bigint, vec_id {id_kind}")
+    lanes = blocks.select(F.floor(F.col("ring") / size).cast("int").alias("group"), (F.col("ring") % size).alias("lane"), "vec", "ids")
+    pairs = opened.join(lanes.hint("merge"), "group").filter(F.array_contains("lanes", F.col("lane")))
+    return map_batches(pairs.select("qids", "vecs", "least", "opens", "lane", "vec", "ids"), start, f"qid bigint, score bigint, vec_id {id_kind}")
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -330,14 +347,14 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, first: int = FIR
         return spark.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score bigint")
     # a number for each different query; written, so that it stays the same
     queries = materialize(own.select("vec").distinct().select(F.monotonically_increasing_id().alias("qid"), "vec"), "queries")
-    found = materialize(_top(_compared(_opened(queries, directory, first), blocks, k, id_kind), k).drop("place"), "first")
+    found = materialize(_top(_compared(_opened(queries, directory, first), blocks, directory.group, k, id_kind), k).drop("place"), "first")
     reached = found.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("s")).select("qid", F.when(F.col("n") > k, F.col("s")).otherwise(F.lit(_LONG.min)).alias("reached"))
-    more = _compared(_opened(queries.join(reached, "qid"), directory, first), blocks, k, id_kind)
+    more = _compared(_opened(queries.join(reached, "qid"), directory, first), blocks, directory.group, k, id_kind)
     every = _top(found.unionByName(more), k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "score", "vec_id"))).alias("found"))
     results = materialize(queries.join(every, "qid").select("vec", "found"), "results")
     # the query's own row is one of those with its id and its product with itself
     norm = materialize(_selves(results), "selves")
-    joined = join_unique(own, norm, "vec")
+    joined = join_unique(own, norm, "vec", wide=True)
     return joined.select("query_id", F.posexplode(_without_own(k)).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
